@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import url_filters
+from marlstone.llm import exact_dedup, url_filters
 from marlstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,16 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_url_filters": op7_url_filters,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op7_url_filters": url_filters.ORACLE_SQL,
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
