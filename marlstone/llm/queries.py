@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, url_filters
+from marlstone.llm import bestfit_packing, exact_dedup, url_filters
 from marlstone.sources.tables import table
 
+try:
+    import public_tokenizers
+except ImportError:  # then the caller names the files
+    public_tokenizers = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file: in $MARLSTONE_TOKENIZERS if set, else in the installed package."""
+    folder = os.environ.get("MARLSTONE_TOKENIZERS")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
@@ -21,6 +37,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_bestfit_packing": op3_bestfit_packing,
     "op7_url_filters": op7_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
 }
