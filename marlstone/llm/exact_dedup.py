@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import BROADCAST_BYTES, materialize, partitions, ship
+from marlstone.llm.runtime import hinted, materialize, partitions, ship
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -198,9 +198,7 @@ def _classes(docs: DataFrame, owners_log2: int | None) -> tuple[DataFrame, DataF
     if owners_log2 is None:
         owners_log2 = min(11, partitions(spark).bit_length() - 1)
     prints = materialize(fingerprints(docs), "fingerprints")
-    suspect = materialize(suspects(prints, owners_log2), "suspects")
-    if suspect.count() * 16 <= BROADCAST_BYTES:
-        suspect = F.broadcast(suspect)
+    suspect = hinted(materialize(suspects(prints, owners_log2), "suspects"), 16)
     rank = F.struct("length", F.bitwise_not("doc_id").alias("first"), F.bitwise_not("place").alias("place"))
     best = prints.groupBy("text_sha256").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     best = best.join(verified(docs, suspect), "text_sha256").select(
@@ -210,7 +208,7 @@ def _classes(docs: DataFrame, owners_log2: int | None) -> tuple[DataFrame, DataF
         F.col("best.length").alias("keep_length"),
         F.col("rows").alias("group_size"),
     )
-    return prints, best
+    return prints, hinted(materialize(best, "classes"), 120)  # written, so that a hot digest's rows can be split
 
 
 def groups(docs: DataFrame, owners_log2: int | None = None) -> DataFrame:
@@ -229,9 +227,7 @@ def groups(docs: DataFrame, owners_log2: int | None = None) -> DataFrame:
 def dedup(docs: DataFrame, owners_log2: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     prints, best = _classes(docs, owners_log2)
-    best = materialize(best.select("text_sha256", "keep_id", "keep_length"), "classes")
-    if best.count() * 96 <= BROADCAST_BYTES:
-        best = F.broadcast(best)
+    best = best.select("text_sha256", "keep_id", "keep_length")
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*names.values())
     doc_id, text = F.col(names["doc_id"]), F.col(names["text"])

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A DataFrame is broadcast only if it has been counted and is at most this large.
 BROADCAST_BYTES = 48 << 20
@@ -47,5 +50,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, bytes_per_row: int) -> DataFrame:
+    """df, which must be a written table, with a broadcast hint if its counted size allows it."""
+    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(row of the first, texts as bytes) of runs of about `most` bytes; null is empty."""
+    held, size, start = [], 0, 0
+    for i, x in enumerate(column):
+        b = x.as_py() or b""
+        held.append(b)
+        size += len(b)
+        if size >= most:
+            yield start, held
+            held, size, start = [], 0, i + 1
+    if held:
+        yield start, held
