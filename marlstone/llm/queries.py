@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import bestfit_packing, exact_dedup, url_filters
+from marlstone.llm import bestfit_packing, exact_dedup, exact_topk, simhash_neardup, url_filters
 from marlstone.sources.tables import table
 
 try:
@@ -24,6 +25,14 @@ def tokenizer_path(name: str) -> str:
     return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_neardup.components_of(table(spark, sf_dir, "documents"))
+
+
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -37,12 +46,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_simhash_neardup": op2_simhash_neardup,
     "op3_bestfit_packing": op3_bestfit_packing,
     "op7_url_filters": op7_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_topk": exact_topk.ORACLE_SQL,
     "op7_url_filters": url_filters.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
