@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bestfit_packing, exact_dedup, exact_topk, simhash_neardup, url_filters
+from marlstone.llm import bestfit_packing, exact_dedup, exact_topk, language_id, simhash_neardup, url_filters
 from marlstone.sources.tables import table
 
 try:
@@ -37,6 +37,10 @@ def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_bestfit_packing": op3_bestfit_packing,
+    "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
 }
