@@ -8,7 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bestfit_packing, exact_dedup, exact_topk, language_id, simhash_neardup, url_filters
+from marlstone.llm import (
+    bestfit_packing,
+    exact_dedup,
+    exact_topk,
+    language_id,
+    quality_classifier,
+    simhash_neardup,
+    url_filters,
+)
 from marlstone.sources.tables import table
 
 try:
@@ -49,6 +57,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -56,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
