@@ -82,17 +82,20 @@ def fingerprints_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, bits (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
+def with_bits(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs with the column bits: the fingerprint of text, as a signed long."""
     ship(docs.sparkSession)
+    columns = docs.columns
+    place = columns.index("text")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [fingerprints_of(texts, words) for _, texts in chunks(b.column("text"), 2 << 20)]
+            parts = [fingerprints_of(texts, words) for _, texts in chunks(b.column(place).cast(pa.binary()), 2 << 20)]
             bits = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits.view(np.int64))], [*columns, "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(vote, "doc_id long, bits long")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(vote, f"{types}, bits long")
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -175,12 +178,38 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, at_once: int =
     return sent.groupBy("prefix").applyInArrow(ask, "key long, parent long")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """bits, least (the least doc_id with these bits), rows, root for each distinct bits."""
+    least = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
+    roots = components(links(least.select("bits"), least.count(), radius)).withColumnRenamed("key", "bits")
+    return least.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+
+
 def components_of(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs (doc_id, text)."""
-    prints = materialize(fingerprints(docs, words), "simhash")
-    least = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least.select("bits"), least.count(), radius))
-    rooted = least.join(roots.withColumnRenamed("key", "bits"), "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    prints = materialize(with_bits(docs.select("doc_id", "text"), words).drop("text"), "simhash")
+    rooted = _rooted(prints, radius)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("bits", "component_id")
     named = hinted(materialize(named, "named"), 16)
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component, all columns kept: that of the least doc_id (null comes
+    last), and if several rows have it, the one of the least bits."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*[c if c in ("doc_id", "text") else v for c, v in names.items()])
+    held = materialize(with_bits(inner, words), "texts")
+    prints = held.select("doc_id", "bits")
+    rooted = _rooted(prints, radius)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "bits")).alias("first")
+    wins = F.col("bits") == F.col("first.bits")
+    marks = rooted.join(rooted.groupBy("root").agg(first), "root").where(~wins | (F.col("rows") > 1))
+    marks = hinted(materialize(marks.select("bits", wins.alias("wins"), "least"), "marks"), 24)
+    joined = held.join(marks, "bits", "left")
+    marked = F.col("wins").isNotNull()
+    kept = joined.where(~marked | (F.col("wins") & F.col("doc_id").eqNullSafe(F.col("least"))))
+    # Rows that repeat with their doc_id: one of them stays. Else nothing is shuffled here.
+    if prints.groupBy("doc_id", "bits").count().where("count > 1").limit(1).count():
+        kept = kept.where(~marked).unionByName(kept.where(marked).dropDuplicates(["bits"]))
+    return kept.select([F.col(k if k in ("doc_id", "text") else v).alias(k) for k, v in names.items()])
