@@ -14,6 +14,7 @@ from marlstone.llm import (
     exact_topk,
     language_id,
     quality_classifier,
+    sentencepiece_codec,
     simhash_neardup,
     url_filters,
 )
@@ -53,6 +54,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_and_decode(table(spark, sf_dir, "documents"), model)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op3_bestfit_packing": op3_bestfit_packing,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
