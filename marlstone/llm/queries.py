@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import (
     bestfit_packing,
+    chat_formatting,
     exact_dedup,
     exact_topk,
     language_id,
@@ -46,6 +47,10 @@ def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.format_turns(table(spark, sf_dir, "conversations"), chat_formatting.REPLY, "turns")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_bestfit_packing": op3_bestfit_packing,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_chat_formatting": chat_formatting.ORACLE_SQL,
     "op1_exact_topk": exact_topk.ORACLE_SQL,
     "op7_url_filters": url_filters.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
