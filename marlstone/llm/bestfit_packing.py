@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import materialize, ship
+from marlstone.llm.runtime import chunks, materialize, ship
 
 CAPACITY = 2048
 END_ID = 0
@@ -33,11 +33,8 @@ OPEN_BINS = 2048
 WINDOW = 2000
 PER_BUCKET = 60_000
 
-#: Entries of a worker's cache of words; it is emptied when full.
+#: Entries of each of the two generations of a worker's cache of words.
 CACHE_WORDS = 500_000
-#: Bytes of text whose unknown words are encoded together.
-CHUNK_BYTES = 1 << 20
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SEPARATOR = "\x00"
 _encoders: dict[int, WordEncoder] = {}
@@ -57,36 +54,48 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.separator = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
 
     def _encode(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _SEPARATOR.encode() not in w]
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            text = f" {_SEPARATOR} ".join(w.decode("utf-8", "replace") for w in some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids)).tolist()
-            if len(self.separator) != 1 or len(ends) != len(some):  # a word holds the separator's id
-                plain = plain[:i]
-                break
-            start = 0
-            for w, end in zip(some, ends, strict=True):
-                self.known[w] = ids[start:end].tobytes()
-                start = end + 1
-        for w in {*words}.difference(plain):
+        """Many words are encoded as one text, with a separator between them."""
+        mark, rest = _SEPARATOR.encode(), words
+        if len(self.separator) == 1:
+            runs = [words[i : i + 4096] for i in range(0, len(words), 4096)]
+            texts = [(b" " + mark + b" ").join(run).decode("utf-8", "replace") for run in runs]
+            rest = []
+            for run, coded in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(coded.ids, "<u4")
+                ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids)) * 4
+                if len(ends) != len(run):  # a word holds the separator
+                    rest += run
+                    continue
+                data, ends = ids.tobytes(), ends.tolist()
+                starts = [0, *(x + 4 for x in ends[:-1])]
+                self.known.update({w: data[i:j] for w, i, j in zip(run, starts, ends, strict=True)})
+        for w in rest:
             ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
             self.known[w] = np.array(ids, "<u4").tobytes()
 
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Words that neither generation has; those of the older one move to the newer."""
+        if not self.older:
+            return words
+        again = [w for w in words if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        return words.difference(again)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
+                self.known, self.older = {}, self.known
                 new = set().union(*split)
+            new = self._recall(new)
             stems = {w: w[:-1] for w in new if w[-1:] in b",." and w[-2:-1].isalpha() and b"<|" not in w}
             wanted = new.difference(stems).union(stems.values(), (b",", b".")).difference(self.known)
-            self._encode(sorted(wanted))
+            self._encode(sorted(self._recall(wanted)))
             for w, stem in stems.items():
                 self.known[w] = self.known[stem] + self.known[w[-1:]]
         get = self.known.__getitem__
@@ -101,20 +110,6 @@ def _encoder(definition: str) -> WordEncoder:
     return _encoders[key]
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(row of the first, texts as bytes) of runs of about `most` bytes; null is empty."""
-    held, size, start = [], 0, 0
-    for i, x in enumerate(column):
-        b = x.as_py() or b""
-        held.append(b)
-        size += len(b)
-        if size >= most:
-            yield start, held
-            held, size, start = [], 0, i + 1
-    if held:
-        yield start, held
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of docs (doc_id, text)."""
     spark = docs.sparkSession
