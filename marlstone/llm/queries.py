@@ -17,6 +17,7 @@ from marlstone.llm import (
     quality_classifier,
     sentencepiece_codec,
     simhash_neardup,
+    suffix_tree_lm,
     url_filters,
 )
 from marlstone.sources.tables import table
@@ -51,6 +52,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.format_turns(table(spark, sf_dir, "conversations"), chat_formatting.REPLY, "turns")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_bestfit_packing": op3_bestfit_packing,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
