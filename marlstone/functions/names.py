@@ -7,17 +7,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions.text import positive_int, squeezed, stripped
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unaccented(names: pd.Series) -> pd.Series:
     """Decomposed, without marks. Spark has no such function; apply it to names, not to texts."""
     return names.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(names: pd.Series) -> pd.Series:
     return names.str.casefold()
 

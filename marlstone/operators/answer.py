@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import ANSWER_SENTENCE, REFUSAL_ANSWER, positive_int, refuses, stripped
 from marlstone.operators import citations
+from marlstone.scratch import ship
 
 #: (question, context, n_sources, force_citations) -> answer
 AnswerFn = Callable[[str, str, int, bool], str]
@@ -47,6 +48,8 @@ def generate(asked: DataFrame, answer_fn: AnswerFn = first_sentences) -> DataFra
     """asked (query_id, question, context, retrieved) with raw_answer. An answer that neither refuses
     nor cites is asked for once more."""
 
+    ship(asked.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.scratch import ship
+
 SIZE, SHORT_TAIL = 900, 180
 FULL_ENOUGH, TAIL_ROOM = 0.6, 1.35
 # Where texts may be cut.
@@ -91,6 +93,8 @@ def chunked(pages: DataFrame, size: int = SIZE, short_tail: int = SHORT_TAIL) ->
     """doc_id, title, source_pdf, page_num, page_start, page_end, chunk_index, chunk_id, text, chars of
     pages (doc_id, title, source_pdf, page_num, text)."""
 
+    ship(pages.sparkSession)
+
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: page_chunks(t or "", size, short_tail))

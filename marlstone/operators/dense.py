@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.ranking import top_k
+from marlstone.scratch import ship
 
 #: Queries of one pass over the vectors; more queries take more passes.
 QUERIES_AT_ONCE = 8192
@@ -19,6 +20,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score (cosine, 6 places) for queries (query_id, embedding) over vectors
     (vec_id, embedding). Null vectors, zero vectors and vectors of other lengths take no part."""
     spark = vectors.sparkSession
+    ship(spark)
     usable = queries.where("embedding is not null")
     n = usable.count()
     passes = max(1, -(-n // QUERIES_AT_ONCE))

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.sources.tables import table
+from marlstone.plans import corpus_build, retrieval
+from marlstone.scratch import ship
+
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = {name: _shipped(q) for name, q in (retrieval.QUERIES | corpus_build.QUERIES).items()}
+ORACLES = retrieval.ORACLES | corpus_build.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """BM25 over all pages of the corpus."""
+    return retrieval.bm25_topk(spark, sf_dir)

@@ -1,13 +1,30 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""What a session needs on a cluster: this package on the executors, and tables that cut lineage in
+the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marlstone_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="marlstone-")) / "marlstone_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._marlstone_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; one of our own only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
