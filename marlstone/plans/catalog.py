@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import answers, corpus_build, retrieval
+from marlstone.plans import answers, corpus_build, retrieval, streams
 from marlstone.scratch import ship
 
 
@@ -21,8 +21,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {name: _shipped(q) for name, q in (retrieval.QUERIES | corpus_build.QUERIES | answers.QUERIES).items()}
-ORACLES = retrieval.ORACLES | corpus_build.ORACLES | answers.ORACLES
+QUERIES = {name: _shipped(q) for name, q in (retrieval.QUERIES | corpus_build.QUERIES | answers.QUERIES | streams.QUERIES).items()}
+ORACLES = retrieval.ORACLES | corpus_build.ORACLES | answers.ORACLES | streams.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
