@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import chunks, materialize, ship
+from marlstone.llm.runtime import chunks, materialize, ship, worker_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,10 +34,9 @@ WINDOW = 2000
 PER_BUCKET = 60_000
 
 #: Entries of each of the two generations of a worker's cache of words.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SEPARATOR = "\x00"
-_encoders: dict[int, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -103,11 +102,7 @@ class WordEncoder:
 
 
 def _encoder(definition: str) -> WordEncoder:
-    key = hash(definition)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(definition)
-    return _encoders[key]
+    return worker_cache(f"word encoder {zlib.crc32(definition.encode())}", lambda: WordEncoder(definition))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

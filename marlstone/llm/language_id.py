@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import chunks, ship
+from marlstone.llm.runtime import chunks, ship, worker_cache
 
 ORDER = 5
 UNKNOWN = "und"
 
 #: Characters of each language that the sample has, about, and the longest document in it.
-SAMPLE_CHARS = 1_500_000
+SAMPLE_CHARS = 500_000
 SAMPLE_LONGEST = 20_000
 #: Documents of each language that calibrate, at most about.
 CALIBRATE_DOCS = 400
@@ -41,11 +41,10 @@ CALIBRATE_DOCS = 400
 REJECT_DEVIATIONS = 10.0
 LEAST_DEVIATION = 0.15
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = 1, 2
-_caches: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -183,11 +182,8 @@ def fit(rows: pd.DataFrame, order: int = ORDER) -> Models:
 
 def text_scores(models: Models, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """log2 probability by language, and symbols scored, of each text. Words are kept in a cache."""
-    if models.name not in _caches:
-        _caches.clear()
-        _caches[models.name] = ({}, np.zeros((CACHE_WORDS + 1, len(models.languages) + 1)))
-    known, table = _caches[models.name]
-    split = [t.split() for t in texts]
+    known, table = worker_cache(f"languages {models.name}", lambda: ({}, np.zeros((CACHE_WORDS + 1, len(models.languages) + 1))))
+    split = [t.lower().split() for t in texts]  # bytes: A-Z only, the rest follows in letter_runs
     new = set().union(*split).difference(known)
     if len(known) + len(new) > CACHE_WORDS:
         known.clear()
@@ -238,6 +234,7 @@ def decide(models: Models, entropy: np.ndarray, symbols: np.ndarray) -> tuple[np
 
 def _calibrate(models: Models, rows: pd.DataFrame) -> None:
     """Temperature, and the mean and deviation of each language's entropies, from labelled texts."""
+    rows = rows[rows["lang"].isin(models.languages)]  # a language may have no letters
     entropy, symbols = entropies(models, [t.encode() for t in rows["text"]])
     truth = rows["lang"].map({x: i for i, x in enumerate(models.languages)}).to_numpy()
     use = symbols > 0

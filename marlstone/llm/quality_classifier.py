@@ -26,7 +26,7 @@ import operator
 import string
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import chunks, ship
+from marlstone.llm.runtime import chunks, ship, worker_cache
 
 GRADES = 3
 BUCKETS_LOG2 = 18
@@ -51,12 +51,11 @@ RIDGE = 2e-5
 STEPS = 250
 RATE = 0.08
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Shapes of words, by index; the last is that of a word equal to the one before.
 SHAPES = ("plain", "capitals", "signs at the end", "signs only", "digits", "repeated")
 _PUNCTUATION = string.punctuation
 _ORDINARY = ".,;:!?\"'()"
-_features: dict[bytes, tuple[int, int, int]] = {}
 
 
 def _hash(kind: str, word: str) -> int:
@@ -80,13 +79,14 @@ def word_features(raw: bytes) -> tuple[int, int, int]:
     return _hash("word", core), _hash("prefix", core[:PREFIX_CHARACTERS]) if len(core) >= PREFIX_CHARACTERS else -1, shape
 
 
-def _known(words: set[bytes]) -> dict[bytes, tuple[int, int, int]]:
-    new = words.difference(_features)
-    if len(_features) + len(new) > CACHE_WORDS:
-        _features.clear()
+def _known(words: Iterable[bytes]) -> dict[bytes, tuple[int, int, int]]:
+    features = worker_cache("word features", dict)
+    new = set(words).difference(features)
+    if len(features) + len(new) > CACHE_WORDS:
+        features.clear()
         new = words
-    _features.update((w, word_features(w)) for w in new)
-    return _features
+    features.update((w, word_features(w)) for w in new)
+    return features
 
 
 def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, np.int64), shares
     counts = Counter(words)
-    known = _known(set(counts))
+    known = _known(counts)
     table = np.array([known[w] for w in counts], np.int64)
     times = np.fromiter(counts.values(), np.int64, len(counts))
     shares += np.bincount(table[:, 2], times, len(SHAPES))

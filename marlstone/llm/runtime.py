@@ -2,52 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.scratch import materialize, ship
+
+__all__ = ["chunks", "hinted", "materialize", "partitions", "ship", "worker_cache"]
+
 #: A DataFrame is broadcast only if it has been counted and is at most this large.
 BROADCAST_BYTES = 48 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_marlstone_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="marlstone-")) / "marlstone_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(str(target))
-    sc._marlstone_shipped = True
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        folder = getattr(sc, "_marlstone_scratch", None)
-        if not folder:
-            folder = sc._marlstone_scratch = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-    return folder
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost
-    executor costs no more than the tasks that it ran. Files stay until the folder is cleared."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/marlstone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_cache: tuple[str, Any] = ("", None)
+
+
+def worker_cache(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: of one operator at a time, so that the caches of
+    the stages that a worker has served don't add up."""
+    global _cache
+    if _cache[0] != key:
+        _cache = ("", None)
+        _cache = (key, make())
+    return _cache[1]
 
 
 def hinted(df: DataFrame, bytes_per_row: int) -> DataFrame:

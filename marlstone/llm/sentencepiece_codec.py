@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import chunks, ship
+from marlstone.llm.runtime import chunks, ship, worker_cache
 
 MARKER = "▁"
 MARK = MARKER.encode()
@@ -40,7 +40,6 @@ CACHE_PARTS = 600_000
 LONGEST_CACHED = 256
 
 _NORMAL, _UNKNOWN, _USER, _BYTE, _UNIGRAM = 1, 2, 4, 6, 1
-_codecs: dict[str, Codec] = {}
 
 
 @dataclass
@@ -234,10 +233,7 @@ class Codec:
 
 
 def _codec(v: Vocabulary) -> Codec:
-    if v.name not in _codecs:
-        _codecs.clear()
-        _codecs[v.name] = Codec(v)
-    return _codecs[v.name]
+    return worker_cache(f"codec {v.name}", lambda: Codec(v))
 
 
 def encode(docs: DataFrame, model: Vocabulary) -> DataFrame:
