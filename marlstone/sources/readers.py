@@ -33,17 +33,17 @@ GOLD = (
 
 def json_lines(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
     """Files of a folder and those below it; a line that is no JSON stops the job. BOMs and blank lines
-    are ignored. `file` and `line` say where a row is from; later lines have larger numbers."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    are ignored. `_file` and `_line` say where a row is from; later lines have larger numbers."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
     filled = raw.withColumn("value", stripped(F.translate("value", "﻿", ""))).where("value <> ''")
     row = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return filled.select("file", "line", row.alias("r")).select("file", "line", "r.*")
+    return filled.select("_file", "_line", row.alias("r")).select("_file", "_line", "r.*")
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files that each hold one object or a list of objects."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("line"), *rows.columns)
+    return rows.select(F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_line"), *rows.columns)
 
 
 def _pick(fields: tuple[str, ...], prefixes: tuple[str, ...]) -> Column:
@@ -51,16 +51,16 @@ def _pick(fields: tuple[str, ...], prefixes: tuple[str, ...]) -> Column:
 
 
 def page_texts(objects: DataFrame) -> DataFrame:
-    """doc_id, title, source_pdf, page_num, text of page objects (PAGE_OBJECT with file), which may hold
+    """doc_id, title, source_pdf, page_num, text of page objects (PAGE_OBJECT with _file), which may hold
     lists of pages up to two levels deep. Pages without a number or text drop out."""
     lists = F.coalesce(*(F.when(F.size(n) > 0, F.col(n)) for n in LISTS))
     one = objects.withColumn("kids", lists)
     rename = [F.col(c).alias(f"a_{c}") for c in dict.fromkeys(("doc_id", "title", *SOURCE_FIELDS, *PAGE_FIELDS, *TEXT_FIELDS))]
-    two = one.select("file", *rename, F.explode_outer("kids").alias("b"))
+    two = one.select("_file", *rename, F.explode_outer("kids").alias("b"))
     inner = F.coalesce(*(F.when(F.size(F.col(f"b.{n}")) > 0, F.col(f"b.{n}")) for n in LISTS))
     three = two.withColumn("c", F.explode_outer(inner))
     prefixes = ("c.", "b.", "a_")
-    stem = F.regexp_replace(basename(F.col("file")), r"\.[^.]*$", "")
+    stem = F.regexp_replace(basename(F.col("_file")), r"\.[^.]*$", "")
     own = F.when(F.col("c").isNotNull(), _pick(TEXT_FIELDS, ("c.",))).when(F.col("b").isNotNull(), _pick(TEXT_FIELDS, ("b.",))).otherwise(_pick(TEXT_FIELDS, ("a_",)))
     page = F.coalesce(*(positive_int(F.col(f"{p}{f}")) for p in prefixes for f in PAGE_FIELDS))
     source = F.coalesce(_pick(SOURCE_FIELDS, prefixes), F.concat(stem, F.lit(".pdf")))
@@ -84,13 +84,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(stripped(F.coalesce("text", F.lit(""))) != "").select(
         first_filled(F.col("doc_id"), title).alias("doc_id"), title.alias("title"), name.alias("source_pdf"), page.alias("page_num"),
         F.coalesce(positive_int(F.col("page_start")), page).alias("page_start"), F.coalesce(positive_int(F.col("page_end")), page).alias("page_end"),
-        positive_int(F.col("chunk_index")).alias("chunk_index"), first_filled(F.col("chunk_id")).alias("chunk_id"), "text", "file", "line",
+        positive_int(F.col("chunk_index")).alias("chunk_index"), first_filled(F.col("chunk_id")).alias("chunk_id"), "text", "_file", "_line",
     )
 
 
 def last_by_id(chunks: DataFrame) -> DataFrame:
     """Of chunks with one id the last in the files; those without an id drop out."""
-    place = W.partitionBy("chunk_id").orderBy(F.desc("file"), F.desc("line"))
+    place = W.partitionBy("chunk_id").orderBy(F.desc("_file"), F.desc("_line"))
     return chunks.where("chunk_id is not null").withColumn("_k", F.row_number().over(place)).where("_k = 1").drop("_k")
 
 
@@ -104,21 +104,21 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     rows = json_lines(spark, path, REGISTRY)
     return rows.select(
         first_filled(F.col("filename"), F.col("file")).alias("filename"), "doc_id", "sha256", first_filled(F.col("s3_bucket"), F.col("bucket")).alias("s3_bucket"),
-        first_filled(F.col("s3_key"), F.col("key")).alias("s3_key"), "source", "line",
+        first_filled(F.col("s3_key"), F.col("key")).alias("s3_key"), "source", F.col("_line").alias("line"),
     )
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     rows = json_lines(spark, path, GRAPH).where(stripped(F.coalesce("chunk_id", F.lit(""))) != "")
     near = F.filter(F.coalesce("neighbors", F.array().cast("array<string>")), lambda x: F.coalesce(stripped(x), F.lit("")) != "")
-    return rows.withColumn("neighbors", near).drop("file", "line")
+    return rows.withColumn("neighbors", near).drop("_file", "_line")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold questions; older files name the primary reference at the top."""
     rows = json_lines(spark, path, GOLD)
     older = F.struct("source_filename", "source_pages", "gold_answer")
-    return rows.withColumn("primary_reference", F.coalesce("primary_reference", older)).withColumn("answerable", F.coalesce("answerable", F.lit(False))).drop("file", "line")
+    return rows.withColumn("primary_reference", F.coalesce("primary_reference", older)).withColumn("answerable", F.coalesce("answerable", F.lit(False))).drop("_file", "_line")
 
 
 def latest_file(spark: SparkSession, path: str, pattern: str = "baseline*.jsonl") -> str | None:

@@ -24,7 +24,7 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """All fields quoted. Spark writes no byte-order mark."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_manifest(spark: SparkSession, folder: str, name: str, config: dict[str, str]) -> str:
