@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import names, text
-from marlstone.operators import answer, bm25, citations, evaluate
+from marlstone.operators import answer, bm25, citations, evaluate, transcripts
 from marlstone.plans.retrieval import BENCHMARK_SQL, INDEX_SQL, SCORED_SQL, benchmark_queries
 from marlstone.scratch import materialize
 from marlstone.sources.corpus import pages
@@ -134,11 +134,40 @@ def url_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed output of the benchmark's questions, with sources in two styles."""
+    hits = benchmark_hits(spark, sf_dir)
+    page = F.col("page_start")
+    long = F.concat(F.lit("["), "rank", F.lit("] filename="), "source_pdf", F.lit(" | title=Book  of "), "doc_id", F.lit(" | pages="), page, F.lit("-"), page + 2, F.lit(","), page, F.lit(" | url=http://h/x.pdf#page="), page)
+    short = F.concat("rank", F.lit(") /data/%D1%8F/"), "source_pdf", F.lit(", стр. "), page, F.lit("\nsee also http://h/y#page=3"))
+    line = F.when(F.col("rank") % 2 == 1, long).otherwise(short)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n")
+    said = F.when(F.col("query_id") % 6 == 0, F.lit("в источниках нет ответа")).otherwise(F.concat(F.lit("Yes  [1],\r\n\r\n\r\n\r\n no "), F.col("query_id")))
+    rows = hits.groupBy("query_id").agg(listed.alias("listed"))
+    return rows.select(F.col("query_id").alias("question_id"), F.concat(F.lit("\x1b[1mlog\x1b[0m\n Answer: "), said, F.lit("\nSources:\n"), "listed").alias("stdout"))
+
+
+def transcript_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.parse(_outputs(spark, sf_dir)).select("question_id", "model_answer", F.size("sources").alias("n_sources"))
+
+
+def transcript_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transcripts.parse(_outputs(spark, sf_dir)).select("question_id", F.explode("sources").alias("s"))
+    return rows.select("question_id", "s.index", "s.title", "s.url", F.array_join(F.col("s.page_numbers").cast("array<string>"), ",").alias("pages"), "s.filename")
+
+
+def message_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages: number of parts, their longest, and the first."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", transcripts.message_parts("text").alias("p"))
+    return parts.select("doc_id", F.size("p").alias("n_parts"), F.coalesce(F.array_max(F.transform("p", F.length)), F.lit(0)).alias("longest"), F.try_element_at("p", F.lit(1)).alias("first"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         context_build, citation_best_chunk, citation_assign, citation_renumber, citation_validity, answer_envelope,
         eval_records, eval_summary, analysis_rows, page_range_expand, text_predicates, url_fields,
+        transcript_answers, transcript_sources, message_split,
     )
 }
 
@@ -238,6 +267,10 @@ def _summary_sql() -> str:
 
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 ORACLES = {
+    "transcript_answers": f"""WITH {HITS_SQL} SELECT query_id AS question_id, CASE WHEN query_id % 6 = 0 THEN 'В источниках нет ответа.' ELSE 'Yes [1],' || chr(10) || chr(10) || ' no ' || query_id END AS model_answer, count(*)::INTEGER AS n_sources FROM hits GROUP BY 1""",
+    "transcript_sources": f"""WITH {HITS_SQL} SELECT query_id AS question_id, rank AS index, CASE WHEN rank % 2 = 1 THEN 'Book of ' || doc_id ELSE '/data/%D1%8F/' || source_pdf || ', стр. ' || page_start END AS title,
+        CASE WHEN rank % 2 = 1 THEN 'http://h/x.pdf#page=' || page_start END AS url, source_pdf AS filename,
+        CASE WHEN rank % 2 = 1 THEN page_start || ',' || (page_start + 1) || ',' || (page_start + 2) ELSE array_to_string(list_sort(list_distinct([3, page_start])), ',') END AS pages FROM hits""",
     "context_build": f"""WITH {HITS_SQL} SELECT query_id, string_agg(printf('[%d] doc_id=%s chunk=%s score=%.4f', rank, doc_id, chunk_id, round(score::DECIMAL(18, 6), 4)::DOUBLE) ||
         CASE WHEN page_start = page_end THEN ' page=' || page_start ELSE ' pages=' || page_start || '-' || page_end END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INTEGER AS retrieved FROM hits GROUP BY 1""",
     "citation_best_chunk": f"WITH {BEST_SQL} SELECT query_id, \"at\", sentence, idx, score FROM matched",

@@ -319,3 +319,27 @@ def test_registry(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
     assert sorted(map(tuple, registry.upsert(old, new, "id").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+# Transcripts -------------------------------------------------------------------------------------
+
+
+def test_transcripts(spark):
+    from marlstone.operators import transcripts
+
+    told = "noise\nОтвет: да [2]\nещё\n\n\n\nstill [1]\nИсточники:\nignored\n[1] One.pdf, стр. 3, 5-6\nhttp://h/q#page=9\n2. filename=b%20c.pdf | title=T  x | pages=4–5, 7, x | url=http://h/z.pdf\n(3) no\n4] page: 12-40"
+    rows = {r.question_id: r for r in transcripts.parse(spark.createDataFrame([(1, told), (2, ""), (3, "just text\nSources:\n"), (4, "В ИСТОЧНИКАХ НЕТ ОТВЕТА на это"), (5, None)], "question_id long, stdout string")).collect()}
+    assert rows[1].model_answer == "да [2]\nещё\n\nstill [1]"
+    assert [(s["index"], s.filename, s.page_numbers, s.url) for s in rows[1].sources] == [(1, "One.pdf", [3, 5, 6, 9], None), (2, "b%20c.pdf", [4, 5, 7], "http://h/z.pdf\n(3) no"), (4, None, [12, 40], None)]
+    assert rows[1].sources[1].title == "T x"
+    assert (rows[2].model_answer, rows[2].sources) == ("", None)
+    assert (rows[3].model_answer, rows[4].model_answer, rows[5].model_answer) == ("just text", text.REFUSAL_ANSWER, "")
+
+
+def test_messages():
+    from marlstone.operators.transcripts import cut_message
+
+    assert cut_message("short\n") == ["short"]
+    assert cut_message("") == []
+    assert cut_message("aaa\nbbb\nccc ddd", 8) == ["aaa\nbbb", "ccc ddd"]
+    assert cut_message("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
