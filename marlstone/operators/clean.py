@@ -57,8 +57,8 @@ def cleaned(lined: DataFrame, repeated: DataFrame) -> DataFrame:
     kept = F.filter("lines", stays)
     tidy = F.filter(F.transform(kept, lambda x: tidy_punctuation(line_spaces(x))), lambda x: x != "")
     text = stripped(F.regexp_replace(F.array_join(tidy, "\n"), "\n{3,}", "\n\n"))
-    return joined.select("doc_id", "page_num", text.alias("text"), F.length("text").alias("raw_chars"), (F.col("n") - F.size(kept)).alias("dropped_lines")).select(
-        "*", F.length("text").alias("cleaned_chars")
+    return joined.select("doc_id", "page_num", text.alias("text"), F.length("text").cast("long").alias("raw_chars"), (F.col("n") - F.size(kept)).cast("long").alias("dropped_lines")).select(
+        "*", F.length("text").cast("long").alias("cleaned_chars")
     )
 
 
