@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.scratch import shared_folder
+from marlstone.scratch import new_path
 from marlstone.sources.tables import table
 from marlstone.streaming.ingest import dedupe_into
 
@@ -15,7 +13,7 @@ def stream_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of distinct texts, ingested as a stream of files."""
     docs = table(spark, sf_dir, "documents")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
-    home = f"{shared_folder(spark).rstrip('/')}/marlstone/stream-{uuid.uuid4().hex}"
+    home = new_path(spark, "stream")
     # A pattern, as a stream takes a single file by no other kind of path.
     dedupe_into(spark, f"{sf_dir}/documents*.parquet", types, f"{home}/out", f"{home}/state").awaitTermination()
     return spark.read.parquet(f"{home}/out").select("sha256")

@@ -36,10 +36,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/marlstone/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of this application's own in the shared folder."""
+    return f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost
-    executor costs no more than the tasks that it ran. Files stay until the folder is cleared."""
+    executor costs no more than the tasks that it ran. Files stay until clear() or until the folder
+    is emptied, as results that have not been written yet may read them."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/marlstone/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete what this application has written in the shared folder, once its results are written."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    return bool(home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True))

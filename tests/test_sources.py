@@ -113,6 +113,15 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_scratch_is_cleared():
+    import subprocess
+    import sys
+
+    code = "from marlstone.session import local_session; from marlstone import scratch; s = local_session(1); d = scratch.materialize(s.range(3), 'x'); assert d.count() == 3; assert scratch.clear(s); assert not scratch.clear(s)"
+    root = str(__import__("pathlib").Path(engine.__file__).parents[1])
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
 def test_plans_push_down(spark):
     """Columns that a query does not need are not read; few queries are broadcast."""
     plan = __spark_entry__.queries()["bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
