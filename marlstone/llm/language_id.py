@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,11 @@ CALIBRATE_DOCS = 400
 REJECT_DEVIATIONS = 10.0
 LEAST_DEVIATION = 0.15
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Bytes of text that are scored together.
+CHUNK_BYTES = 1 << 19
+#: A-Z become a-z, all other ASCII characters spaces: none of them is part of a run of letters.
+_ASCII = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 if b < 128 else b for b in range(256))
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = 1, 2
@@ -182,14 +187,14 @@ def fit(rows: pd.DataFrame, order: int = ORDER) -> Models:
 
 def text_scores(models: Models, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """log2 probability by language, and symbols scored, of each text. Words are kept in a cache."""
-    known, table = worker_cache(f"languages {models.name}", lambda: ({}, np.zeros((CACHE_WORDS + 1, len(models.languages) + 1))))
-    split = [t.lower().split() for t in texts]  # bytes: A-Z only, the rest follows in letter_runs
+    known, table = worker_cache(f"languages {models.name}", lambda: ({}, np.zeros((CACHE_WORDS + 1, len(models.languages) + 1), np.float32)))
+    split = [t.translate(_ASCII).split() for t in texts]  # letter_runs does the same for other characters
     new = set().union(*split).difference(known)
     if len(known) + len(new) > CACHE_WORDS:
         known.clear()
         new = set().union(*split)
         if len(new) > CACHE_WORDS:
-            table = np.zeros((len(new) + 1, table.shape[1]))
+            table = np.zeros((len(new) + 1, table.shape[1]), np.float32)
     if new:
         words = sorted(new)
         runs = [letter_runs(w.decode("utf-8", "replace")) for w in words]
@@ -207,9 +212,9 @@ def text_scores(models: Models, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     out = np.zeros((len(texts), table.shape[1]))
     some = np.flatnonzero(sizes)
     if len(some):
-        ids = np.fromiter((known[w] for words in split for w in words), np.int64, int(sizes.sum()))
+        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         begins = (np.cumsum(sizes) - sizes)[some]
-        out[some] = np.add.reduceat(table[ids], begins, axis=0)
+        out[some] = np.add.reduceat(table[ids], begins, axis=0, dtype=np.float64)
     if len(known) > CACHE_WORDS:
         known.clear()
     return out[:, :-1], out[:, -1]
@@ -294,7 +299,7 @@ def predictions(docs: DataFrame, models: Models | None) -> DataFrame:
         names = np.array([*models.languages, UNKNOWN], dtype=object)
         for b in batches:
             preds, scores, outs = [], [], []
-            for _, texts in chunks(b.column(place).cast(pa.binary()), 2 << 20):
+            for _, texts in chunks(b.column(place).cast(pa.binary()), CHUNK_BYTES):
                 entropy, symbols = entropies(models, texts)
                 best, score, rejected = decide(models, entropy, symbols)
                 preds += names[np.where(symbols > 0, best, len(models.languages))].tolist()

@@ -51,7 +51,7 @@ RIDGE = 2e-5
 STEPS = 250
 RATE = 0.08
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: Shapes of words, by index; the last is that of a word equal to the one before.
 SHAPES = ("plain", "capitals", "signs at the end", "signs only", "digits", "repeated")
 _PUNCTUATION = string.punctuation
