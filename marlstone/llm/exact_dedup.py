@@ -198,7 +198,7 @@ def _classes(docs: DataFrame, owners_log2: int | None) -> tuple[DataFrame, DataF
     if owners_log2 is None:
         owners_log2 = min(11, partitions(spark).bit_length() - 1)
     prints = materialize(fingerprints(docs), "fingerprints")
-    suspect = hinted(materialize(suspects(prints, owners_log2), "suspects"), 16)
+    suspect = hinted(materialize(suspects(prints, owners_log2), "suspects"), 48)
     rank = F.struct("length", F.bitwise_not("doc_id").alias("first"), F.bitwise_not("place").alias("place"))
     best = prints.groupBy("text_sha256").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     best = best.join(verified(docs, suspect), "text_sha256").select(
@@ -208,7 +208,7 @@ def _classes(docs: DataFrame, owners_log2: int | None) -> tuple[DataFrame, DataF
         F.col("best.length").alias("keep_length"),
         F.col("rows").alias("group_size"),
     )
-    return prints, hinted(materialize(best, "classes"), 120)  # written, so that a hot digest's rows can be split
+    return prints, hinted(materialize(best, "classes"), 200)  # written, so that a hot digest's rows can be split
 
 
 def groups(docs: DataFrame, owners_log2: int | None = None) -> DataFrame:

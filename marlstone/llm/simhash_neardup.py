@@ -190,7 +190,7 @@ def components_of(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     prints = materialize(with_bits(docs.select("doc_id", "text"), words).drop("text"), "simhash")
     rooted = _rooted(prints, radius)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("bits", "component_id")
-    named = hinted(materialize(named, "named"), 16)
+    named = hinted(materialize(named, "named"), 64)
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -205,7 +205,7 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "bits")).alias("first")
     wins = F.col("bits") == F.col("first.bits")
     marks = rooted.join(rooted.groupBy("root").agg(first), "root").where(~wins | (F.col("rows") > 1))
-    marks = hinted(materialize(marks.select("bits", wins.alias("wins"), "least"), "marks"), 24)
+    marks = hinted(materialize(marks.select("bits", wins.alias("wins"), "least"), "marks"), 64)
     joined = held.join(marks, "bits", "left")
     marked = F.col("wins").isNotNull()
     kept = joined.where(~marked | (F.col("wins") & F.col("doc_id").eqNullSafe(F.col("least"))))
