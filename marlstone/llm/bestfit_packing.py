@@ -21,10 +21,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import chunks, materialize, ship, worker_cache
+from marlstone.llm.runtime import materialize, ship, worker_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,7 +35,9 @@ WINDOW = 2000
 PER_BUCKET = 60_000
 
 #: Entries of each of the two generations of a worker's cache of words.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
+#: Bytes of text whose words are made distinct together.
+CHUNK_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SEPARATOR = "\x00"
 
@@ -54,27 +57,38 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.separator = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
+        separator = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
+        self.separator = separator[0] if len(separator) == 1 else -1
+        suffix = self.tokenizer.model.end_of_word_suffix or "\x00"
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _encode(self, words: list[bytes]) -> None:
-        """Many words are encoded as one text, with a separator between them."""
-        mark, rest = _SEPARATOR.encode(), words
-        if len(self.separator) == 1:
-            runs = [words[i : i + 4096] for i in range(0, len(words), 4096)]
-            texts = [(b" " + mark + b" ").join(run).decode("utf-8", "replace") for run in runs]
-            rest = []
-            for run, coded in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        """Many words are encoded as one text. A word of letters alone ends with its only token that
+        ends a word; other words get a separator between them."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = [t.isalpha() and t.lower().isalpha() for t in texts]
+        rest = []
+        for whole, glue in ((True, " "), (False, f" {_SEPARATOR} ")):
+            own = [i for i, x in enumerate(letters) if x is whole]
+            runs = [own[i : i + 4096] for i in range(0, len(own), 4096)]
+            joined = [glue.join([texts[i] for i in run]) for run in runs]
+            for run, coded in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 ids = np.array(coded.ids, "<u4")
-                ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids)) * 4
-                if len(ends) != len(run):  # a word holds the separator
+                if whole:
+                    ends = np.flatnonzero(self.last[ids]) + 1
+                    starts = np.append(0, ends[:-1])
+                else:
+                    ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
+                    starts = np.append(0, ends[:-1] + 1)
+                if len(ends) != len(run):  # a word that holds the separator, or is no single piece
                     rest += run
                     continue
-                data, ends = ids.tobytes(), ends.tolist()
-                starts = [0, *(x + 4 for x in ends[:-1])]
-                self.known.update({w: data[i:j] for w, i, j in zip(run, starts, ends, strict=True)})
-        for w in rest:
-            ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.known[w] = np.array(ids, "<u4").tobytes()
+                data = ids.tobytes()
+                self.known.update({words[i]: data[x:y] for i, x, y in zip(run, (4 * starts).tolist(), (4 * ends).tolist(), strict=True)})
+        for i in rest:
+            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+            self.known[words[i]] = np.array(ids, "<u4").tobytes()
 
     def _recall(self, words: set[bytes]) -> set[bytes]:
         """Words that neither generation has; those of the older one move to the newer."""
@@ -84,21 +98,39 @@ class WordEncoder:
         self.known.update((w, self.older[w]) for w in again)
         return words.difference(again)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known, self.older = {}, self.known
-                new = set().union(*split)
-            new = self._recall(new)
-            stems = {w: w[:-1] for w in new if w[-1:] in b",." and w[-2:-1].isalpha() and b"<|" not in w}
-            wanted = new.difference(stems).union(stems.values(), (b",", b".")).difference(self.known)
-            self._encode(sorted(self._recall(wanted)))
-            for w, stem in stems.items():
-                self.known[w] = self.known[stem] + self.known[w[-1:]]
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _learn(self, words: list[bytes]) -> None:
+        """Make distinct words known, all at once."""
+        new = {w for w in words if w not in self.known}
+        if not new:
+            return
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+            new = set(words)
+        new = self._recall(new)
+        stems = {w: w[:-1] for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalpha() and b"<|" not in w}
+        wanted = new.difference(stems).union(stems.values(), (b",", b".")).difference(self.known)
+        self._encode(sorted(self._recall(wanted)))
+        for w, stem in stems.items():
+            self.known[w] = self.known[stem] + self.known[w[-1:]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids end. Words are made distinct in
+        Arrow, so that each is looked up once, and ids are gathered by place."""
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        self._learn(words)
+        found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        place = coded.indices.to_numpy()
+        counts = sizes[place]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(begins[place] - (ends - counts), counts) + np.arange(counts.sum())]
+        words_before = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return ids, np.append(0, ends)[words_before]
 
 
 def _encoder(definition: str) -> WordEncoder:
@@ -117,19 +149,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
         for b in batches:
-            doc_ids = b.column("doc_id").to_pylist()
+            doc_ids, column = b.column("doc_id").to_pylist(), b.column("text")
             rows: list[tuple] = []
-            for start, texts in chunks(b.column("text")):
-                for i, ids in enumerate(encoder.encode(texts), start):
-                    ids += end
-                    step = 4 * capacity
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        own = ids[at : at + step]
-                        rows.append((doc_ids[i], k, at // 4, len(own) // 4, zlib.crc32(own)))
+            before = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) // CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                ids, ends = encoder.encode(column.slice(start, stop - start))
+                ends = ends.tolist()
+                for i, first, last in zip(doc_ids[start:stop], [0, *ends], ends, strict=False):
+                    for k, at in enumerate(range(first, last + 1, capacity)):  # the end id stands at `last`
+                        size = min(capacity, last + 1 - at)
+                        crc = zlib.crc32(ids[at : min(at + size, last)])
+                        rows.append((i, k, at - first, size, zlib.crc32(end, crc) if at + size > last else crc))
             columns = list(zip(*rows, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema=schema)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
 class OpenBins:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -182,8 +183,10 @@ def test_words_encode_like_whole_texts():
     tokenizer = Tokenizer.from_file(WORD_BPE)
     encoder = packing.WordEncoder(tokenizer.to_str())
     texts = ["it's we'LL o'ree, x.", "a<|endoftext|>b <|ENDOFTEXT|>", "Σίσυφος ΣΣ é é", "\x00 \x00a", "ab\x1cde\x1ff", "A.B,, 12,5. don't.", "　x y"]
-    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    texts += ["", " lead and trail \n", "\x0b\x0c", None]
+    ids, ends = encoder.encode(pa.array(texts))
+    for text, first, last in zip(texts, [0, *ends], ends, strict=False):
+        assert ids[first:last].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_bins_close_fullest():
