@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from marlstone import engine
 from marlstone.sources import readers, writers
 from marlstone.streaming import ingest
 
+#: How a failed job is raised differs with where it fails.
+FAILURES = (PySparkException, Py4JJavaError)
+
 
 def put(folder, name, *rows, bom=False):
     folder.mkdir(parents=True, exist_ok=True)
@@ -29,7 +33,7 @@ def test_page_files(spark, tmp_path):
 
 def test_bad_lines_stop(spark, tmp_path):
     put(tmp_path, "x.jsonl", {"page": 1, "text": "a"}, "{broken")
-    with pytest.raises(PySparkException):
+    with pytest.raises(FAILURES):
         readers.read_pages(spark, str(tmp_path)).collect()
 
 
@@ -38,7 +42,7 @@ def test_chunks_registry_graph_gold(spark, tmp_path):
     chunks = readers.read_chunks(spark, str(tmp_path / "c"))
     assert {(r.chunk_id, r.doc_id, r.title, r.page_start, r.text) for r in chunks.collect()} == {("1", "f", "f", 2, "old"), ("1", "f", "f", 3, "new"), (None, None, None, None, "nameless")}
     assert [r.text for r in readers.last_by_id(chunks).collect()] == ["new"]
-    with pytest.raises(PySparkException, match="no source"):
+    with pytest.raises(FAILURES, match="no source"):
         readers.require_sources(chunks).collect()
     put(tmp_path / "r", "sources.jsonl", {"file": "a.pdf", "bucket": "b", "key": "k", "sha256": "s"}, bom=True)
     row = readers.read_registry(spark, str(tmp_path / "r")).first()
