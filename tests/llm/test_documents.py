@@ -348,3 +348,42 @@ def test_suffix_tree_learns_contexts(spark):
     assert all(r.score > 0.6 * r.base_score for r in got)
     states = suffix_tree_lm._smooth(np.array([5.0, 0, 1]), np.array([0.2, 0.5, 0.3]))[0]
     assert math.isclose(states.sum(), 1.0)
+
+
+def plain_scores(rows, held):
+    """log10 of each text by a suffix tree over few words, in which every context of two counts."""
+    lm = suffix_tree_lm
+    ordered = Counter(w for i, t in rows if not held(i) for w in t.split())
+    number = {w: k for k, w in enumerate(sorted(ordered, key=lambda w: (-ordered[w], w)))}
+
+    def tokens(text):
+        symbols = [lm.START, lm.START, *(number[w] for w in text.split()), lm.END]
+        return list(zip(symbols[2:], symbols[1:], symbols, strict=False))
+
+    ones, twos = defaultdict(lambda: np.zeros(lm.SYMBOLS)), defaultdict(lambda: np.zeros(lm.SYMBOLS))
+    for i, t in rows:
+        for x, one, two in tokens(t) if not held(i) else []:
+            ones[one][x] += 1
+            twos[two, one][x] += 1
+    root = sum(ones.values())
+    root = (root + 0.5) / (root.sum() + 0.5 * lm.SYMBOLS)
+
+    def state(counts, parent):
+        p, diverges = lm._smooth(counts, parent)
+        return p if diverges and counts.sum() >= 2 else parent
+
+    first = {s: state(c, root) for s, c in ones.items()}
+    second = {k: first[k[1]] if k[1] == lm.START else state(c, first[k[1]]) for k, c in twos.items()}
+    return {i: sum(math.log10(second.get((two, one), first.get(one, root))[x]) for x, one, two in tokens(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("share", [3e-4, 0.01, 2])
+def test_contexts_count_whatever_their_share(spark, monkeypatch, share):
+    """What every task holds changes no score, and no context is lost as unrelated text is added."""
+    monkeypatch.setattr(suffix_tree_lm, "CONTEXT_SHARE", share)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["p m q", "r m s", "t p", "q"]) for _ in range(40))) for i in range(60)]
+    rows += [(i, " ".join(rng.choices("uvwxyz", k=400))) for i in range(60, 160)]
+    want = plain_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 5 == 1)
+    for r in suffix_tree_lm.score(make(spark, rows)).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5)
