@@ -1,0 +1,150 @@
+"""Near-dedup by the similarity of word shingles: MinHash bands find candidates, texts verify them.
+
+Two texts are linked if the Jaccard similarity of their sets of shingles is LEAST or more. Texts with
+equal sets share a key. Each set has BANDS keys of ROWS minima; at a similarity of 0.8 two sets
+share one but for 2 in a million. Pairs are verified on the texts, in two rounds, so that large groups don't
+make all their pairs: every member of a band with the least one, and then those members whose
+components still differ, if their minima allow the similarity (five deviations off).
+
+Defined results: a text that is null or without words is not linked. Fewer words than a shingle: their
+whole sequence is the only shingle. The row that stays is chosen as in simhash_neardup.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from marlstone.llm.components import components
+from marlstone.llm.runtime import chunks, materialize, ship
+from marlstone.llm.simhash_neardup import keep_least, shingle_hashes
+
+WORDS = 5
+LEAST = 0.8
+BANDS, ROWS = 25, 4
+MINIMA = BANDS * ROWS
+#: Share of equal minima from which a pair is verified in the second round.
+PLAUSIBLE = LEAST - 5 * (LEAST * (1 - LEAST) / MINIMA) ** 0.5
+
+_FACTORS = np.random.default_rng(42).integers(0, 2**63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(shingle_hashes(text, WORDS), ">u8").astype(np.uint64))
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The upper 32 bits of the least product with each factor; sets are not empty."""
+    out = np.empty((len(sets), MINIMA), np.uint32)
+    if not sets:
+        return out
+    every = np.concatenate(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    for k in range(MINIMA):
+        out[:, k] = np.minimum.reduceat(every * _FACTORS[k], starts) >> np.uint64(32)
+    return out
+
+
+def with_minima(docs: DataFrame) -> DataFrame:
+    """docs with bits (a key of the shingle set, null if empty) and minima (binary)."""
+    ship(docs.sparkSession)
+    columns = docs.columns
+    place = columns.index("text")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, signs = [], []
+            for _, texts in chunks(b.column(place).cast(pa.binary()), 2 << 20):
+                sets = [shingle_set(t) for t in texts]
+                some = [s for s in sets if len(s)]
+                made = iter(minima(some))
+                for s in sets:
+                    keys.append(xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                    signs.append(next(made).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64()), pa.array(signs, pa.binary())], [*columns, "bits", "minima"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(sign, f"{types}, bits long, minima binary")
+
+
+def _bands(distinct: DataFrame) -> DataFrame:
+    """key, band: BANDS rows for each distinct set."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("bits").to_numpy()
+            size = 4 * ROWS
+            bands = [xxh64_intdigest(m[k * size : (k + 1) * size], k) - 2**63 for m in b.column("minima").to_pylist() for k in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, BANDS)), pa.array(bands, pa.int64())], ["key", "band"])
+
+    return distinct.select("bits", "minima").mapInArrow(cut, "key long, band long")
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of pairs (key, parent) whose texts are as similar as LEAST."""
+    asked = pairs.select("key").union(pairs.select("parent")).distinct()
+    texts = held.select(F.col("bits").alias("key"), F.col("text").cast("binary").alias("text")).join(asked, "key").groupBy("key").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "asked")
+    both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("parent"), F.col("text").alias("other")), "parent")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
+        for b in batches:
+            near = []
+            for text, parent, other in zip(b.column("text"), b.column("parent").to_pylist(), b.column("other"), strict=True):
+                if parent != last:
+                    last, known = parent, shingle_set(other.as_py())
+                one = shingle_set(text.as_py())
+                shared = len(np.intersect1d(one, known, assume_unique=True))
+                near.append(shared >= LEAST * (len(one) + len(known) - shared))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("parent")], ["key", "parent"]).filter(pa.array(near, pa.bool_()))
+
+    return materialize(both.select("key", "parent", "text", "other").mapInArrow(check, "key long, parent long"), "verified")
+
+
+def _across(rows: pa.Table) -> pa.Table:
+    """key, parent: plausible pairs of a band's members whose components differ."""
+    keys, roots = rows.column("key").to_numpy(), rows.column("root").to_numpy()
+    signs = np.frombuffer(b"".join(rows.column("minima").to_pylist()), np.uint32).reshape(-1, MINIMA)
+    found = []
+    for i in range(len(keys) - 1):
+        near = (roots[i + 1 :] != roots[i]) & ((signs[i + 1 :] == signs[i]).mean(axis=1) >= PLAUSIBLE)
+        found.append(np.stack([np.full(near.sum(), keys[i]), keys[i + 1 :][near]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"key": pairs.max(axis=0), "parent": pairs.min(axis=0)})
+
+
+def links(distinct: DataFrame, held: DataFrame) -> DataFrame:
+    """key, parent: links whose components are those of all candidates that are similar."""
+    bands = materialize(_bands(distinct), "bands")
+    crowded = bands.groupBy("band").agg(F.min("key").alias("parent"), F.max("key").alias("most")).where("parent < most").drop("most")
+    members = materialize(bands.join(crowded, "band"), "members")
+    tried = materialize(members.where("parent < key").select("key", "parent").distinct(), "tried")
+    first = verified(tried, held)
+    roots = components(first)
+    rooted = materialize(members.select("band", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    several = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
+    signs = distinct.select(F.col("bits").alias("key"), "minima")
+    across = rooted.join(several, "band").join(signs, "key").groupBy("band").applyInArrow(_across, "key long, parent long")
+    left = materialize(across.distinct().join(tried, ["key", "parent"], "left_anti"), "across")
+    return first.unionByName(verified(left, held))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, all columns kept; rows without words all stay."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*[c if c in ("doc_id", "text") else v for c, v in names.items()])
+    held = materialize(with_minima(inner), "texts")
+    some = held.where("bits is not null")
+    least = some.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min("minima").alias("minima"))
+    least = materialize(least, "distinct")
+    roots = components(links(least, some)).withColumnRenamed("key", "bits")
+    rooted = least.drop("minima").join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    kept = keep_least(held.drop("minima"), rooted)
+    return kept.select([F.col(k if k in ("doc_id", "text") else v).alias(k) for k, v in names.items()])

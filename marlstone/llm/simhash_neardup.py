@@ -200,8 +200,13 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*[c if c in ("doc_id", "text") else v for c, v in names.items()])
     held = materialize(with_bits(inner, words), "texts")
+    kept = keep_least(held, _rooted(held.select("doc_id", "bits"), radius))
+    return kept.select([F.col(k if k in ("doc_id", "text") else v).alias(k) for k, v in names.items()])
+
+
+def keep_least(held: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of held for each root; rooted: bits, least, rows, root. Rows of held whose bits it lacks stay."""
     prints = held.select("doc_id", "bits")
-    rooted = _rooted(prints, radius)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "bits")).alias("first")
     wins = F.col("bits") == F.col("first.bits")
     marks = rooted.join(rooted.groupBy("root").agg(first), "root").where(~wins | (F.col("rows") > 1))
@@ -212,4 +217,4 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
     # Rows that repeat with their doc_id: one of them stays. Else nothing is shuffled here.
     if prints.groupBy("doc_id", "bits").count().where("count > 1").limit(1).count():
         kept = kept.where(~marked).unionByName(kept.where(marked).dropDuplicates(["bits"]))
-    return kept.select([F.col(k if k in ("doc_id", "text") else v).alias(k) for k, v in names.items()])
+    return kept

@@ -387,3 +387,46 @@ def test_contexts_count_whatever_their_share(spark, monkeypatch, share):
     want = plain_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 5 == 1)
     for r in suffix_tree_lm.score(make(spark, rows)).collect():
         assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5)
+
+
+# Near-dedup by shingles --------------------------------------------------------------------------
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_stage_leaves_no_similar_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 120]))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "two words")]
+    group = {i: i for i, _ in rows}
+    for i, t in rows:
+        for j, u in rows[:i]:
+            if t and u and similarity(t, u) >= 0.8:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    docs = make(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["jaccard_neardup"](spark, docs, "")
+    assert after.dtypes == docs.dtypes
+    assert {r.doc_id for r in after.collect()} == set(group.values())
+    assert jaccard_links_equal_sets(spark)
+
+
+def jaccard_links_equal_sets(spark):
+    from marlstone.llm import jaccard_neardup
+
+    twice = make(spark, [(2, "a b c d e f"), (1, "a b  c d e f"), (1, "a b  c d e f"), (None, "g")])
+    return sorted(str(r.doc_id) for r in jaccard_neardup.dedup(twice).collect()) == ["1", "None"]
