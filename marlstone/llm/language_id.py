@@ -1,23 +1,29 @@
 """Language ID by interpolated Kneser-Ney character models, one for each language.
 
-A text is its runs of letters, lower-cased; each run is scored between boundary marks, so a run's
-log probability depends on nothing else and is kept. The models are sorted arrays of n-gram hashes
-with a column for each language. The language of the lowest cross-entropy by character wins; its
-score is a calibrated softmax over the languages. A text is rejected if its cross-entropy is above
-that of the language's own texts by more than chance (calibrated on the sample, by length).
-
-The models learn from a bounded sample: about SAMPLE_CHARS characters of each language, documents
-chosen by a hash of their id. Whole texts are judged.
-
-Defined results: null or letterless texts get `und`, score 0 and are rejected. A null doc_id is
-judged, not held out, and never learned from. Repeated rows get equal results. If no row can be
-learned from, every text gets `und`. Ties go to the alphabetically first language. Empty tables
-give an empty result. Of the columns only doc_id, text and (for learning) lang are read.
+A text is its runs of letters (Unicode category L), lower-cased; each run is scored between boundary
+marks, so a run's log probability depends on nothing else and is kept. The models are sorted arrays
+of n-gram hashes with a column for each language. The language of the lowest cross-entropy by
+character wins; its score is a calibrated softmax over the languages.
+
+The models learn from a bounded sample: about SAMPLE_CHARS characters of each language, in pieces of
+at most PIECE_CHARS characters of its texts, drawn by a hash of their id and place. So no text is
+too long to be learned from. Whole texts are judged.
+
+Rejection is calibrated on texts of their own: one in CALIBRATE_ONE_IN documents, drawn by a hash, is
+never learned from. How far their cross-entropies lie above their language's mean, in deviations for
+their length, gives the limit that FALSE_REJECTION of them exceed; a text beyond it is rejected.
+With too few of them (under LEAST_CALIBRATED) only letterless texts are.
+
+Defined results: null or letterless texts (numerals, signs and marks are no letters) get `und`, score
+0 and are rejected. A null doc_id is judged, not held out, and never learned from. Repeated rows get
+equal results. If no row can be learned from, every text gets `und`. Ties go to the alphabetically
+first language. Empty tables give an empty result. Of the columns only doc_id, text and (for
+learning) lang are read. Languages are as many as there are labels: a column of the models each.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -25,6 +31,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +40,23 @@ from marlstone.llm.runtime import chunks, ship, worker_cache
 ORDER = 5
 UNKNOWN = "und"
 
-#: Characters of each language that the sample has, about, and the longest document in it.
-SAMPLE_CHARS = 500_000
-SAMPLE_LONGEST = 20_000
-#: Documents of each language that calibrate, at most about.
-CALIBRATE_DOCS = 400
-#: A text is rejected if its cross-entropy lies this many deviations above its language's mean.
-REJECT_DEVIATIONS = 10.0
-LEAST_DEVIATION = 0.15
+#: Characters of each language that the sample has, about, and the longest pieces in it.
+SAMPLE_CHARS = 1_500_000
+PIECE_CHARS = 4_000
+#: Documents that calibrate: so many of all, pieces of them for each language, about, and for all at least.
+CALIBRATE_ONE_IN = 10
+CALIBRATE_PIECES = 400
+LEAST_CALIBRATED = 100
+#: Words of the excerpts that calibrate for short texts, and the share of calibrating texts beyond the limit.
+EXCERPT_WORDS = 8
+FALSE_REJECTION = 0.002
 
 CACHE_WORDS = 600_000
 #: Bytes of text that are scored together.
 CHUNK_BYTES = 1 << 19
 #: A-Z become a-z, all other ASCII characters spaces: none of them is part of a run of letters.
 _ASCII = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 if b < 128 else b for b in range(256))
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = 1, 2
 
@@ -100,7 +109,10 @@ class Models:
     name: str = ""
     temperature: float = 1.0
     mean: np.ndarray | None = None
-    deviation: np.ndarray | None = None
+    #: Variance of a text's cross-entropy: of all texts, and by symbol.
+    variance: tuple[float, float] = (0.0, 1.0)
+    #: Deviations above the mean beyond which a text is rejected.
+    limit: float = np.inf
 
     def score(self, runs: list[str]) -> np.ndarray:
         """log2 probability of each run by language."""
@@ -225,61 +237,98 @@ def entropies(models: Models, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return -logs / np.maximum(symbols, 1)[:, None], symbols
 
 
+def deviations(models: Models, best: np.ndarray, entropy: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """How far texts lie above the mean of their language."""
+    fixed, each = models.variance
+    return (entropy - models.mean[best]) / np.sqrt(fixed + each / np.maximum(symbols, 1))
+
+
 def decide(models: Models, entropy: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the language, score, rejected); rows without symbols are to be marked by the caller."""
-    best = entropy.argmin(axis=1)
+    best, least = entropy.argmin(axis=1), entropy.min(axis=1)
     # Entropies of a text vary less, the longer it is.
     sharp = models.temperature * np.sqrt(np.maximum(symbols, 1))
-    odds = np.exp(-(entropy - entropy.min(axis=1)[:, None]) * sharp[:, None])
+    odds = np.exp(-(entropy - least[:, None]) * sharp[:, None])
     score = 1.0 / odds.sum(axis=1)
-    allowed = models.mean[best] + REJECT_DEVIATIONS * models.deviation[best] * (1 + 8 / np.sqrt(np.maximum(symbols, 1)))
-    rejected = (symbols == 0) | (entropy.min(axis=1) > allowed)
+    rejected = (symbols == 0) | (deviations(models, best, least, symbols) > models.limit)
     return best, np.where(symbols > 0, score, 0.0), rejected
 
 
-def _calibrate(models: Models, rows: pd.DataFrame) -> None:
-    """Temperature, and the mean and deviation of each language's entropies, from labelled texts."""
+def calibrate(models: Models, rows: pd.DataFrame) -> None:
+    """Temperature, means, variance and limit, from labelled texts (lang, text) that the models have not
+    learned from. An excerpt of each stands for short texts."""
     rows = rows[rows["lang"].isin(models.languages)]  # a language may have no letters
-    entropy, symbols = entropies(models, [t.encode() for t in rows["text"]])
+    short = rows.assign(text=[" ".join(t.split()[:EXCERPT_WORDS]) for t in rows["text"]])
+    rows = pd.concat([rows, short])
+    entropy, symbols = entropies(models, [t.encode("utf-8", "replace") for t in rows["text"]])
     truth = rows["lang"].map({x: i for i, x in enumerate(models.languages)}).to_numpy()
     use = symbols > 0
     entropy, symbols, truth = entropy[use], symbols[use], truth[use]
-    models.mean = np.full(len(models.languages), 5.0)
-    models.deviation = np.full(len(models.languages), 1.0)
-    for i in range(len(models.languages)):
-        own = entropy[truth == i, i]
-        if len(own) >= 8:
-            models.mean[i], models.deviation[i] = own.mean(), max(LEAST_DEVIATION, own.std())
+    models.mean = np.full(len(models.languages), 0.0)
     if not len(truth):
         return
-    gap = entropy - entropy[np.arange(len(truth)), truth][:, None]
+    own = entropy[np.arange(len(truth)), truth]
+    pooled = np.average(own, weights=symbols)
+    for i in range(len(models.languages)):
+        mine = truth == i
+        models.mean[i] = np.average(own[mine], weights=symbols[mine]) if mine.sum() >= 8 else pooled
+    gap = entropy - own[:, None]
     losses = {}
     for t in (0.25, 0.5, 1.0, 2.0, 4.0):
         losses[t] = np.log(np.exp(np.clip(-gap * t * np.sqrt(symbols)[:, None], -50, 50)).sum(axis=1)).mean()
     models.temperature = min(losses, key=losses.get)
+    if len(truth) < LEAST_CALIBRATED:
+        return
+    # (entropy - mean)^2 is about fixed + each / symbols; the least squares of the two shares.
+    squares = (own - models.mean[truth]) ** 2 * symbols
+    design = np.stack([symbols, np.ones(len(symbols))], axis=1) / np.sqrt(symbols)[:, None]
+    fixed, each = np.linalg.lstsq(design, squares / np.sqrt(symbols), rcond=None)[0]
+    models.variance = (float(max(fixed, 1e-4)), float(max(each, 1e-2)))
+    best = entropy.argmin(axis=1)
+    models.limit = float(np.quantile(deviations(models, best, entropy.min(axis=1), symbols), 1 - FALSE_REJECTION, method="higher"))
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: Counter[tuple[str, str]] = Counter()
+    for b in batches:
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            held.update((lang, r) for r in letter_runs(text))
+    langs, runs = zip(*held, strict=True) if held else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "run", "n"])
 
 
 def learn(docs: DataFrame, order: int = ORDER) -> Models | None:
     """Models of docs (doc_id, text, lang), without those held out."""
+    ship(docs.sparkSession)
     usable = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_LONGEST) & ~held_out(F.col("doc_id"))
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    sizes = {r["lang"]: (r["chars"], r["docs"]) for r in usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("docs")).collect()}
-    if not sizes:
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(CALIBRATE_ONE_IN)) == 0
+    pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / PIECE_CHARS))
+    chars = F.sum(F.when(~apart, F.length("text")).otherwise(0))
+    found = usable.groupBy("lang").agg(chars.alias("chars"), F.sum(F.length("text")).alias("all"), F.sum(F.when(apart, pieces).otherwise(0)).alias("pieces")).collect()
+    if not found:
         return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate, few = F.lit(0.0), F.lit(0.0)
-    for lang, (chars, n) in sizes.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, SAMPLE_CHARS / max(1, chars))).otherwise(rate)
-        few = F.when(F.col("lang") == lang, min(1.0, SAMPLE_CHARS / max(1, chars), CALIBRATE_DOCS / max(1, n))).otherwise(few)
-    sample = usable.withColumn("draw", draw).where(F.col("draw") < rate)
-    runs = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("run")
-    counted = sample.select("lang", runs).groupBy("lang", "run").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    # A language that only such documents have is learned from them.
+    apart = apart & ~F.col("lang").isin([r["lang"] for r in found if not r["chars"]])
+    rate = F.lit(0.0)
+    for r in found:
+        of = F.when(apart, min(1.0, CALIBRATE_PIECES / max(1, r["pieces"]))).otherwise(min(1.0, SAMPLE_CHARS / max(1, r["chars"] or r["all"])))
+        rate = F.when(F.col("lang") == r["lang"], of).otherwise(rate)
+
+    def drawn(place: Column) -> Column:
+        return F.pmod(F.xxhash64("doc_id", place), F.lit(1 << 30)) < F.floor(F.col("rate") * (1 << 30))
+
+    places = F.explode(F.filter(F.sequence(F.lit(0), (pieces - 1).cast("int")), drawn)).alias("place")
+    cut = F.substr(F.col("text"), F.col("place") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text")
+    sample = usable.select("*", apart.alias("apart"), rate.alias("rate")).select("doc_id", "lang", "text", "apart", places)
+    counted = sample.where("not apart").select("lang", cut).mapInArrow(_count_runs, "lang string, run string, n long")
+    counted = counted.groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()
     if counted.empty:
         return None
     models = fit(counted, order)
     models.name = f"{len(counted)}:{counted['n'].sum()}:{abs(hash(tuple(np.round(models.grams[-1][1][:50].ravel(), 6).tolist())))}"
-    _calibrate(models, sample.where(F.col("draw") < few).select("lang", "text").orderBy("draw").toPandas())
+    calibrate(models, sample.where("apart").select("doc_id", "place", "lang", cut).toPandas().sort_values(["doc_id", "place", "lang", "text"]))
     return models
 
 
