@@ -10,8 +10,9 @@ punctuation dropped); and how large a share of the words has each of a few shape
 at the end, bare signs, a repetition of the word before). Whole texts are read; a word's hashes are
 kept in a bounded cache.
 
-The regression learns from at most about SAMPLE_DOCS labelled rows, chosen by a hash of their id,
-each of at most SAMPLE_LONGEST characters. Everything else covers all rows.
+The regression learns from at most about SAMPLE_DOCS labelled rows, chosen by a hash of their id; a
+long text counts like any other. Buckets that don't tell grades apart are found by a sum over the
+written sample, so only the others' are gathered. Everything else covers all rows.
 
 Defined results: a null or blank text has no features; it gets the score of the features' absence
 and is never selected. A null doc_id is scored, not learned from. A labelled row with a null rating
@@ -31,10 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import chunks, ship, worker_cache
+from marlstone.llm.runtime import chunks, materialize, ship, worker_cache
 
 GRADES = 3
 BUCKETS_LOG2 = 18
@@ -42,7 +44,6 @@ PREFIX_CHARACTERS = 5
 SELECT_AT = 0.5
 
 SAMPLE_DOCS = 8_000
-SAMPLE_LONGEST = 20_000
 #: A bucket keeps its weight only if this many rows have it, and if their mean grade is this many
 #: standard errors from the mean of all.
 LEAST_DOCS = 3
@@ -125,47 +126,52 @@ class CumulativeLink:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], steps: int = STEPS) -> CumulativeLink:
-    """rows: (buckets, shares, grade). Adam on the whole sample, over the buckets that tell grades apart."""
-    grades = np.array([g for *_, g in rows])
-    shapes = np.sqrt(np.array([s for _, s, _ in rows]).reshape(len(rows), len(SHAPES)))
-    of = np.repeat(np.arange(len(rows)), [len(b) for b, *_ in rows])
-    bucket = np.concatenate([np.asarray(b, np.int64) for b, *_ in rows])
-    having = np.bincount(bucket, minlength=1 << BUCKETS_LOG2)
-    mean = np.bincount(bucket, grades[of], 1 << BUCKETS_LOG2) / np.maximum(having, 1)
-    errors = np.abs(mean - grades.mean()) * np.sqrt(having) / max(float(grades.std()), 1e-9)
-    telling = (having >= LEAST_DOCS) & (errors >= LEAST_ERRORS)
-    of, bucket = of[telling[bucket]], bucket[telling[bucket]]
+def telling(having: np.ndarray, sums: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Which buckets tell grades apart; of each, having: rows that have it, sums: of their grades."""
+    errors = np.abs(sums / np.maximum(having, 1) - grades.mean()) * np.sqrt(having) / max(float(grades.std()), 1e-9)
+    return (having >= LEAST_DOCS) & (errors >= LEAST_ERRORS)
+
+
+def likelihood(x: np.ndarray, at: np.ndarray, of: np.ndarray, column: np.ndarray, shapes: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with the ridge, and its gradient. x holds, cut at `at`, the weights
+    of the buckets, those of the shapes, the first threshold and the logs of the gaps to the next.
+    Row of[i] has the bucket column[i]."""
+    cuts, n = GRADES - 1, len(grades)
+    gaps = np.exp(x[at[3] :])
+    thresholds = x[at[2]] + np.concatenate([[0.0], np.cumsum(gaps)])
+    score = np.bincount(of, x[column], n) + shapes @ x[at[1] : at[2]]
+    edge = 1 / (1 + np.exp(np.clip(score[:, None] - thresholds[None, :], -60, 60)))  # P(grade < j)
+    full = np.concatenate([np.zeros((n, 1)), edge, np.ones((n, 1))], axis=1)
+    slope = full * (1 - full)
+    rows_at = np.arange(n)
+    p = np.maximum(full[rows_at, grades + 1] - full[rows_at, grades], 1e-12)
+    to_score = (slope[rows_at, grades + 1] - slope[rows_at, grades]) / p / n
+    to_edges = np.zeros((n, GRADES + 1))
+    to_edges[rows_at, grades + 1] -= slope[rows_at, grades + 1] / p
+    to_edges[rows_at, grades] += slope[rows_at, grades] / p
+    to_cuts = to_edges[:, 1:-1].sum(axis=0) / n
+    weights = x[: at[1]]
+    gradient = np.concatenate(
+        [
+            np.bincount(column, to_score[of], at[1]) + RIDGE * weights,
+            shapes.T @ to_score,
+            [to_cuts.sum()],
+            [to_cuts[j + 1 :].sum() * gaps[j] for j in range(cuts - 1)],
+        ]
+    )
+    return float(-np.log(p).mean() + 0.5 * RIDGE * weights @ weights), gradient
+
+
+def fit(of: np.ndarray, bucket: np.ndarray, shapes: np.ndarray, grades: np.ndarray, steps: int = STEPS) -> CumulativeLink:
+    """Row of[i] has bucket[i]; shapes (square roots of the shares) and grades by row. Adam on all rows."""
     used, column = np.unique(bucket, return_inverse=True)
-    cuts = GRADES - 1
     # Thresholds are a first one and the logs of the gaps between them, so that they ascend.
-    sizes = [len(used), len(SHAPES), 1, cuts - 1]
-    at = np.cumsum([0, *sizes])
+    at = np.cumsum([0, len(used), len(SHAPES), 1, GRADES - 2])
     x = np.zeros(at[-1])
     x[at[2]] = -1.0
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
-        gaps = np.exp(x[at[3] :])
-        thresholds = x[at[2]] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(of, x[column], len(rows)) + shapes @ x[at[1] : at[2]]
-        edge = 1 / (1 + np.exp(np.clip(score[:, None] - thresholds[None, :], -60, 60)))  # P(grade < j)
-        full = np.concatenate([np.zeros((len(rows), 1)), edge, np.ones((len(rows), 1))], axis=1)
-        slope = full * (1 - full)
-        rows_at = np.arange(len(rows))
-        p = np.maximum(full[rows_at, grades + 1] - full[rows_at, grades], 1e-12)
-        to_score = (slope[rows_at, grades + 1] - slope[rows_at, grades]) / p / len(rows)
-        to_edges = np.zeros((len(rows), GRADES + 1))
-        to_edges[rows_at, grades + 1] -= slope[rows_at, grades + 1] / p
-        to_edges[rows_at, grades] += slope[rows_at, grades] / p
-        to_cuts = to_edges[:, 1:-1].sum(axis=0) / len(rows)
-        gradient = np.concatenate(
-            [
-                np.bincount(column, to_score[of], len(used)) + RIDGE * x[: at[1]],
-                shapes.T @ to_score,
-                [to_cuts.sum()],
-                [to_cuts[j + 1 :].sum() * gaps[j] for j in range(cuts - 1)],
-            ]
-        )
+        _, gradient = likelihood(x, at, of, column, shapes, grades)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(1 << BUCKETS_LOG2)
@@ -175,7 +181,8 @@ def fit(rows: list[tuple[list[int], list[float], int]], steps: int = STEPS) -> C
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> CumulativeLink | None:
     """A model of the ratings labels (doc_id, quality, toxic) of docs (doc_id, text)."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     rated = labels.select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"), "quality", "toxic")
     rated = rated.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     n = rated.count()
@@ -187,18 +194,35 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [text_features(x.as_py() or b"") for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0].tolist() for f in found], pa.list_(pa.int64())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())), b.column("grade")],
-                ["buckets", "shares", "grade"],
-            )
-
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_LONGEST).join(drawn, "doc_id")
-    texts = texts.select(F.col("text").cast("binary").alias("text"), F.col("grade").cast("int").alias("grade"))
-    sample = texts.mapInArrow(features, "buckets array<long>, shares array<double>, grade int").toArrow()
-    if not sample.num_rows:
+            buckets, shares = (pa.array([f[i] for f in found], t) for i, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64()))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), buckets, shares, b.column("grade")], ["doc_id", "buckets", "shares", "grade"])
+
+    texts = docs.select("doc_id", "text").join(drawn, "doc_id")
+    texts = texts.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("grade").cast("int").alias("grade"))
+    sample = materialize(texts.mapInArrow(features, "doc_id long, buckets array<long>, shares array<double>, grade int"), "features")
+    rows = sample.select("grade").toArrow()
+    if not rows.num_rows:
         return None
-    columns = zip(*(sample.column(c).to_pylist() for c in ("buckets", "shares", "grade")), strict=True)
-    return fit(sorted(columns, key=lambda r: (r[2], r[1], r[0])))
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    counts = sample.select(F.explode("buckets").alias("bucket"), "grade").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("grade").alias("sum")).toArrow()
+    having, sums = np.zeros(1 << BUCKETS_LOG2), np.zeros(1 << BUCKETS_LOG2)
+    having[counts.column("bucket").to_numpy()], sums[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy(), counts.column("sum").to_numpy()
+    known = spark.sparkContext.broadcast(telling(having, sums, grades))  # a flag for each bucket
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("buckets")
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy()))
+            flags = known.value[flat]
+            kept = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(flags))[ends], pa.int32()), pa.array(flat[flags], pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept if c == "buckets" else b.column(c) for c in b.schema.names], b.schema.names)
+
+    found = sample.mapInArrow(keep, sample.schema).toArrow().combine_chunks()
+    found = found.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    lists = found.column("buckets").combine_chunks()
+    of = np.repeat(np.arange(found.num_rows), pc.list_value_length(lists).to_numpy())
+    shares = found.column("shares").combine_chunks().flatten().to_numpy().reshape(-1, len(SHAPES))
+    return fit(of, lists.flatten().to_numpy(), np.sqrt(shares), found.column("grade").to_numpy().astype(np.int64))
 
 
 def graded(docs: DataFrame, model: CumulativeLink | None) -> DataFrame:
