@@ -366,43 +366,107 @@ def test_suffix_tree_learns_contexts(spark):
     assert math.isclose(states.sum(), 1.0)
 
 
-def plain_scores(rows, held):
-    """log10 of each text by a suffix tree over few words, in which every context of two counts."""
+def plain_tree(rows, held, v, depth):
+    """log10 of each text by a suffix tree of dictionaries; v: the words that are symbols and their counts."""
     lm = suffix_tree_lm
-    ordered = Counter(w for i, t in rows if not held(i) for w in t.split())
-    number = {w: k for k, w in enumerate(sorted(ordered, key=lambda w: (-ordered[w], w)))}
-
-    def tokens(text):
-        symbols = [lm.START, lm.START, *(number[w] for w in text.split()), lm.END]
-        return list(zip(symbols[2:], symbols[1:], symbols, strict=False))
-
-    ones, twos = defaultdict(lambda: np.zeros(lm.SYMBOLS)), defaultdict(lambda: np.zeros(lm.SYMBOLS))
+    frequent = min(lm.FREQUENT, v.common)
+
+    def reduced(s):
+        return s if s < frequent or s >= v.end else frequent + (s * 2654435761 >> 15) % lm.GROUPS
+
+    def symbols(text):
+        return [*(v.index.get(w, v.common + zlib.crc32(w) % lm.CLASSES) for w in (text or "").lower().encode().split()), v.end]
+
+    def histories(text):
+        s = symbols(text)
+        return [(tuple(([v.start] * depth + s)[i + depth - 1 : (i - 1 if i else None) : -1]), x) for i, x in enumerate(s)]
+
+    learnt = [t for i, t in rows if not held(i)]
+    root, words = defaultdict(lambda: 0.5), Counter(w for t in learnt for w in (t or "").lower().encode().split())
+    counts, small, twos = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for t in learnt:
+        for h, x in histories(t):
+            root[x] += 1
+            small[h[0]][reduced(x)] += 1
+            twos[h[:2]][reduced(x)] += 1
+            for d in range(1, depth + 1):
+                counts[h[:d]][x] += 1
+    n = sum(words.values()) + len(learnt)
+    total = n + 0.5 * (v.end + 1)
+    whole = defaultdict(float)
+    for s in range(v.end + 1):
+        whole[reduced(s)] += root[s] / total
+
+    def smoothed(c, parent):
+        size = sum(c.values())
+        p = {x: (max(c[x] - 0.5, 0) + 0.5 * len(c) * q) / size for x, q in parent.items()}
+        return p if size >= 2 and sum(k * math.log(p[x] / parent[x]) for x, k in c.items()) > 0.5 * len(c) * math.log(size) else parent
+
+    first = {c: smoothed(small[c], whole) for c in list(small) if c < frequent or c == v.start}
+    held_pairs = [h for h, c in twos.items() if h[0] < frequent and (h[1] < frequent or h[1] == v.start) and sum(c.values()) >= max(2, lm.HOT_SHARE * n)]
+    second = {h: smoothed(twos[h], first[h[0]]) for h in held_pairs}
+
+    def probability(h, x, d):
+        least = 99 if h[0] == v.start else 1 if h[0] >= frequent else 3 if h[:2] in second else 2
+        if d < least:
+            state = second.get(h[:2], first.get(h[0], whole))
+            return root[x] / total * state[reduced(x)] / whole[reduced(x)]
+        above, c = probability(h, x, d - 1), counts[h[:d]]
+        size = sum(c.values())
+        if size < 2:
+            return above
+        ups = {y: probability(h, y, d - 1) for y in c}
+        p = {y: (max(c[y] - 0.5, 0) + 0.5 * len(c) * q) / size for y, q in (ups | {x: above}).items()}
+        gain = sum(k * math.log(p[y] / ups[y]) for y, k in c.items())
+        return p[x] if gain > 0.5 * len(c) * math.log(size) else above
+
+    def share(w):
+        c = zlib.crc32(w) % lm.CLASSES
+        own = [k for u, k in words.items() if u not in v.index and zlib.crc32(u) % lm.CLASSES == c]
+        return (words[w] + 0.5) / (sum(own) + 0.5 * (len(own) + 1))
+
+    out = []
     for i, t in rows:
-        for x, one, two in tokens(t) if not held(i) else []:
-            ones[one][x] += 1
-            twos[two, one][x] += 1
-    root = sum(ones.values())
-    root = (root + 0.5) / (root.sum() + 0.5 * lm.SYMBOLS)
-
-    def state(counts, parent):
-        p, diverges = lm._smooth(counts, parent)
-        return p if diverges and counts.sum() >= 2 else parent
-
-    first = {s: state(c, root) for s, c in ones.items()}
-    second = {k: first[k[1]] if k[1] == lm.START else state(c, first[k[1]]) for k, c in twos.items()}
-    return {i: sum(math.log10(second.get((two, one), first.get(one, root))[x]) for x, one, two in tokens(t)) for i, t in rows}
+        rare = [w for w in (t or "").lower().encode().split() if w not in v.index]
+        out.append((i, sum(math.log10(probability(h, x, depth)) for h, x in histories(t)) + sum(math.log10(share(w)) for w in rare)))
+    return out
+
+
+@pytest.mark.parametrize(("frequent", "share", "common", "owner"), [(1023, 2.0, 10**6, 10**6), (3, 0.01, 10**6, 200), (4, 1e-9, 10, 50), (0, 0.5, 6, 10**6)])
+def test_suffix_tree_scores(spark, monkeypatch, frequent, share, common, owner):
+    """Scores are those of a plain tree, whatever is in the head and however subtrees are dealt out."""
+    monkeypatch.setattr(suffix_tree_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_tree_lm, "GROUPS", 2)
+    monkeypatch.setattr(suffix_tree_lm, "CLASSES", 4)
+    monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", share)
+    monkeypatch.setattr(suffix_tree_lm, "COMMON_WORDS", common)
+    monkeypatch.setattr(suffix_tree_lm, "SENT_AT_ONCE", 97)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["p m q", "r m s", "t p", "q", "R m s T"]) for _ in range(rng.randint(0, 14)))) for i in range(40)]
+    rows += [(i, " ".join(rng.choices("uvwxyz", k=20))) for i in range(40, 60)] + [(60, None), (61, ""), (62, rows[3][1] + " rare"), (63, rows[3][1]), (None, "p m q")]
+
+    def held(i):
+        return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+
+    docs = make(spark, rows).repartition(3)
+    counts = suffix_tree_lm.count_words(docs)
+    v = suffix_tree_lm.vocabulary(counts, sum(not held(i) for i, _ in rows))
+    assert bool(v.class_tokens.sum()) == (common < 100)
+    want = dict(plain_tree(rows, held, v, 4))
+    got = suffix_tree_lm.score(docs, 4, owner).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
 
 
-@pytest.mark.parametrize("share", [3e-4, 0.01, 2])
-def test_contexts_count_whatever_their_share(spark, monkeypatch, share):
-    """What every task holds changes no score, and no context is lost as unrelated text is added."""
-    monkeypatch.setattr(suffix_tree_lm, "CONTEXT_SHARE", share)
-    rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(["p m q", "r m s", "t p", "q"]) for _ in range(40))) for i in range(60)]
-    rows += [(i, " ".join(rng.choices("uvwxyz", k=400))) for i in range(60, 160)]
-    want = plain_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 5 == 1)
-    for r in suffix_tree_lm.score(make(spark, rows)).collect():
-        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5)
+def test_contexts_stay_as_texts_are_added(spark):
+    """A text that occurs twice is told apart, however much else is learned from."""
+    rng = random.Random(7)
+    twice = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    for more in (200, 2000):
+        rows = [(i, twice) for i in (1000000, 1000001)] + [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(60))) for i in range(more)]
+        got = {r.doc_id: r.score / r.base_score for r in suffix_tree_lm.score(make(spark, rows)).collect()}
+        assert got[1000000] < 0.3 < np.median(list(got.values()))
 
 
 # Near-dedup by shingles --------------------------------------------------------------------------
