@@ -15,12 +15,15 @@ REFUSAL_ANSWER = "В источниках нет ответа."
 EDGE_PUNCTUATION = r""" .!?:;"'«»()[]{}"""
 PAGE_NUMBER_LINE = r"^[\-\–\—\s]*\d{1,4}[\-\–\—\s]*$"
 NOISE_LINE = r"^[\-\–\—\_\.\,\:\;\*\·\•\s]+$"
+ANSI = "\x1b(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])"
+#: Characters of the property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 HYPHEN_BREAK = "([A-Za-zА-Яа-яЁё])-\n([A-Za-zА-Яа-яЁё])"
 
 
 def stripped(c: Column) -> Column:
-    """Without white space at the ends (Spark's trim knows only the space)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Without white space at the ends (Spark's plain trim knows only the space)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def squeezed(c: Column) -> Column:
@@ -36,8 +39,12 @@ def line_spaces(c: Column) -> Column:
     return stripped(F.regexp_replace(invisible_out(c), "[ \t]+", " "))
 
 
+def line_ends(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def page_breaks(c: Column) -> Column:
-    c = F.regexp_replace(invisible_out(c), "\r\n|\r", "\n")
+    c = line_ends(invisible_out(c))
     return stripped(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
@@ -47,19 +54,20 @@ def joined_hyphens(c: Column) -> Column:
 
 def is_noise(c: Column) -> Column:
     """Of a line whose spaces are normal."""
-    return (c == "") | c.rlike("(?U)" + NOISE_LINE) | c.rlike("(?U)" + PAGE_NUMBER_LINE)
+    return (c == "") | c.rlike(f"(?U){NOISE_LINE}|{PAGE_NUMBER_LINE}")
 
 
 def clean_lines(text: Column) -> Column:
-    """The useful lines of a raw page, as an array."""
-    lines = F.transform(F.split(page_breaks(joined_hyphens(text)), "\n"), line_spaces)
-    return F.filter(lines, lambda x: ~is_noise(x))
+    """The useful lines of a raw page, as an array; their spaces are as line_spaces makes them."""
+    spaced = F.regexp_replace(line_ends(invisible_out(joined_hyphens(text))), "[ \t]+", " ")
+    return F.filter(F.transform(F.split(spaced, "\n"), stripped), lambda x: ~is_noise(x))
 
 
 def tidy_punctuation(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?U)\s+([,.;:!?])", "$1")
-    c = F.regexp_replace(c, r"(?U)([(\[\{])\s+", "$1")
-    return F.regexp_replace(c, r"(?U)\s+([)\]\}])", "$1")
+    """Of lines joined by line breaks, none of which begins or ends with white space."""
+    space = r"(?U)[\s&&[^\n]]+"
+    c = F.regexp_replace(c, space + r"([,.;:!?)\]\}])", "$1")
+    return F.regexp_replace(c, r"(?U)([(\[\{])[\s&&[^\n]]+", "$1")
 
 
 def ir_tokens(text: Column) -> Column:
@@ -98,8 +106,8 @@ def refuses(answer: Column) -> Column:
 
 def is_refusal(answer: Column) -> Column:
     """In evaluation: an answer that is the refusal."""
-    text = F.regexp_replace(F.coalesce(answer, F.lit("")), "\x1b(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])", "")
-    text = F.regexp_replace(F.regexp_replace(text, "\r\n|\r", "\n"), "[ \t]+", " ")
+    text = F.regexp_replace(F.coalesce(answer, F.lit("")), ANSI, "")
+    text = F.regexp_replace(line_ends(text), "[ \t]+", " ")
     return without_edges(stripped(F.lower(F.regexp_replace(text, "\n{3,}", "\n\n")))) == REFUSAL
 
 

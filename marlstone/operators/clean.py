@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import clean_lines, line_spaces, stripped, tidy_punctuation
+from marlstone.functions.text import clean_lines, stripped, tidy_punctuation
+from marlstone.scratch import hinted, materialize
 
 ZONE = 3
 MIN_RATIO, MIN_REPEATS = 0.30, 3
@@ -18,8 +19,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def _zone_keys(zone: Column) -> Column:
-    keys = F.transform(zone, lambda x: F.lower(line_spaces(x)))
-    return F.array_distinct(F.filter(keys, lambda x: F.length(x) <= LONGEST))
+    return F.array_distinct(F.filter(F.transform(zone, F.lower), lambda x: F.length(x) <= LONGEST))
 
 
 def _bottom(lines: Column) -> Column:
@@ -46,18 +46,20 @@ def cleaned(lined: DataFrame, repeated: DataFrame) -> DataFrame:
     by_doc = repeated.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("kind") == "header", F.col("line"))).alias("headers"), F.collect_list(F.when(F.col("kind") == "footer", F.col("line"))).alias("footers")
     )
+    # Written and counted, so that a large document's pages can be split in the join.
+    by_doc = hinted(materialize(by_doc, "repeated"), 1024)
     none = F.array().cast("array<string>")
     joined = lined.join(by_doc, "doc_id", "left").withColumns({"headers": F.coalesce("headers", none), "footers": F.coalesce("footers", none), "n": F.size("lines")})
 
     def stays(x: Column, i: Column) -> Column:
-        key = F.lower(line_spaces(x))
         top, bottom = i < ZONE, i >= F.col("n") - ZONE
-        return ~((top & F.array_contains(F.col("headers"), key)) | (bottom & F.array_contains(F.col("footers"), key)))
+        return ~((top & F.array_contains(F.col("headers"), F.lower(x))) | (bottom & F.array_contains(F.col("footers"), F.lower(x))))
 
-    kept = F.filter("lines", stays)
-    tidy = F.filter(F.transform(kept, lambda x: tidy_punctuation(line_spaces(x))), lambda x: x != "")
-    text = stripped(F.regexp_replace(F.array_join(tidy, "\n"), "\n{3,}", "\n\n"))
-    return joined.select("doc_id", "page_num", text.alias("text"), F.length("text").cast("long").alias("raw_chars"), (F.col("n") - F.size(kept)).cast("long").alias("dropped_lines")).select(
+    # Only the lines of the two zones are looked at; where none repeats, none at all.
+    kept = F.when((F.size("headers") > 0) | (F.size("footers") > 0), F.filter("lines", stays)).otherwise(F.col("lines"))
+    rows = joined.withColumn("kept", kept)
+    text = stripped(tidy_punctuation(F.array_join("kept", "\n")))
+    return rows.select("doc_id", "page_num", text.alias("text"), F.length("text").cast("long").alias("raw_chars"), (F.col("n") - F.size("kept")).cast("long").alias("dropped_lines")).select(
         "*", F.length("text").cast("long").alias("cleaned_chars")
     )
 

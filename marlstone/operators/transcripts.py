@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.names import basename
-from marlstone.functions.text import REFUSAL, REFUSAL_ANSWER, page_numbers, stripped
+from marlstone.functions.text import ANSI, REFUSAL, REFUSAL_ANSWER, line_ends, page_numbers, stripped
 
 # The marks that printed output has.
-ANSI = "\x1b(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])"
 ANSWER_MARK = r"(?iu)^\s*(?:answer|ответ)\s*:\s*(.*)$"
 SOURCES_MARK = r"(?iu)^\s*(?:sources|источники|evidence|доказательства)\s*:\s*$"
 SOURCE_START = r"^\s*(?:\[(\d+)\]|(\d+)[\].)])\s*(.*)$"
@@ -26,7 +23,7 @@ _SOURCE = "array<struct<index:int,lines:array<string>>>"
 
 def printed(c: Column) -> Column:
     """Without terminal codes, with plain line ends and single spaces."""
-    c = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), ANSI, ""), "\r\n|\r", "\n")
+    c = line_ends(F.regexp_replace(F.coalesce(c, F.lit("")), ANSI, ""))
     return stripped(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
@@ -111,10 +108,17 @@ def parse(outputs: DataFrame) -> DataFrame:
 
 
 def cut_message(text: str, limit: int = MESSAGE_LIMIT) -> list[str]:
-    """Parts of at most limit characters: the rest if it fits, else up to the last line break that
-    fits, else the first characters. Space at a part's ends is dropped."""
-    part = re.compile(rf"(?s)\S.{{0,{limit - 1}}}\Z|\S.{{0,{limit - 2}}}(?=\n)|\S.{{0,{limit - 1}}}")
-    return [m[0].strip() for m in part.finditer(text)]
+    """A text that fits is one part as it is. A longer one is cut at the last line break within the
+    limit (not at its very beginning), or at the limit; parts lose the space at their ends."""
+    at, end, parts = 0, len(text), []
+    while end - at > limit:
+        line_end = text.rfind("\n", at, at + limit)
+        stop = line_end if line_end > at else at + limit
+        parts.append(text[at:stop].strip())
+        left = text[stop:end].strip()
+        at = text.index(left, stop) if left else end
+        end = at + len(left)
+    return [*parts, text[at:end]] if end > at else parts
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import ir_tokens
 from marlstone.operators import bm25, dense, fusion
 from marlstone.sources.corpus import PAGES_SQL, pages
 from marlstone.sources.tables import table
@@ -15,9 +14,8 @@ QUESTION = "the thing and thion of la der que"
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query: the first twelve tokens of each benchmark text."""
-    rows = table(spark, sf_dir, "benchmark")
-    return rows.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(ir_tokens(F.col("text")), 1, 12), " ").alias("query"))
+    """query_id, query: each benchmark text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +58,10 @@ def dense_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector query also asks for the first tokens of the document with its id."""
+    """Each vector query also asks for the document with its id."""
     chunks = pages(spark, sf_dir)
     asked = vector_queries(spark, sf_dir)
-    words = F.array_join(F.slice(ir_tokens(F.col("text")), 1, 12), " ").alias("query")
-    worded = chunks.join(F.broadcast(asked.select(F.col("query_id").alias("row_id"))), "row_id").select(F.col("row_id").alias("query_id"), words)
+    worded = chunks.join(asked.select(F.col("query_id").alias("row_id")), "row_id").select(F.col("row_id").alias("query_id"), F.col("text").alias("query"))
     sparse = bm25.search(bm25.build(chunks), worded, chunks, TOP)
     near = dense.search(vectors(spark, sf_dir), asked, TOP)
     named = near.join(chunks.select(F.col("row_id").alias("vec_id"), "chunk_id"), "vec_id")
@@ -95,7 +92,7 @@ SCORED_SQL = """query_terms AS (
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_num, chunk_id)::INTEGER AS rank
   FROM scored JOIN pages_view USING (chunk_id) WHERE score > 0
 )"""
-BENCHMARK_SQL = f"asked AS (SELECT item_id AS query_id, list_slice({TOKENS.format('text')}, 1, 12) AS tokens FROM benchmark)"
+BENCHMARK_SQL = f"asked AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS tokens FROM benchmark)"
 DENSE_SQL = """norms AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), dense_scored AS (
@@ -104,7 +101,7 @@ DENSE_SQL = """norms AS (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM dense_scored
 )"""
 HYBRID_SQL = f"""WITH {INDEX_SQL}, asked AS (
-  SELECT row_id AS query_id, list_slice({TOKENS.format("text")}, 1, 12) AS tokens
+  SELECT row_id AS query_id, {TOKENS.format("text")} AS tokens
   FROM pages_view WHERE row_id % 100 = 0 AND row_id IN (SELECT vec_id FROM embeddings)
 ), {SCORED_SQL}, {DENSE_SQL.format("q.vec_id % 100 = 0")}, d AS (
   SELECT query_id, chunk_id, h.rank, h.score FROM dense_hits h JOIN pages_view p ON p.row_id = h.vec_id WHERE h.rank <= {TOP}

@@ -3,12 +3,15 @@ the folder that all executors share."""
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,11 +28,22 @@ def ship(spark: SparkSession) -> None:
     sc._marlstone_shipped = True
 
 
+#: A DataFrame is broadcast only if it has been counted and is at most this large.
+BROADCAST_BYTES = 48 << 20
+
+
+def hinted(df: DataFrame, bytes_per_row: int) -> DataFrame:
+    """df, which must be a written table, with a broadcast hint if its counted size allows it."""
+    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """spark.checkpoint.dir; a folder of our own only in a local session that has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(sc, "_marlstone_scratch", None)
         if not folder:
             folder = sc._marlstone_scratch = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
@@ -55,6 +69,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that materialize wrote, when nothing will read it any more: in loops."""
+    spark = df.sparkSession
+    home = _home(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/marlstone/" in folder and folder.split("/marlstone/", 1)[1].startswith(home.split("/marlstone/", 1)[1]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM find what nothing refers to any more, so that Spark deletes the shuffle files
+    of finished steps before the next ones write theirs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> bool:
     """Delete what this application has written in the shared folder, once its results are written."""
     home = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
