@@ -6,16 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from marlstone.scratch import materialize, ship
-
-__all__ = ["chunks", "hinted", "materialize", "partitions", "ship", "worker_cache"]
-
-#: A DataFrame is broadcast only if it has been counted and is at most this large.
-BROADCAST_BYTES = 48 << 20
+from marlstone.scratch import drop, hinted, materialize, release, ship
 
+__all__ = ["chunks", "drop", "hinted", "materialize", "partitions", "release", "ship", "worker_cache"]
 
 _cache: tuple[str, Any] = ("", None)
 
@@ -30,11 +25,6 @@ def worker_cache(key: str, make: Callable[[], Any]) -> Any:
     return _cache[1]
 
 
-def hinted(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """df, which must be a written table, with a broadcast hint if its counted size allows it."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
