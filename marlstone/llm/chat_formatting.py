@@ -7,8 +7,11 @@
    `orphan`, later ones with a used identifier `duplicate`.
 3. Events get a topological order: (level, depth, turn, sub) ascends within a conversation so that a
    result stands behind its call, and a call behind the results of the calls that its arguments refer
-   to. Levels are relaxed by joins until nothing changes; calls that wait for themselves are `cyclic`
-   and keep the place of their turn.
+   to. Calls that wait for others are peeled: one is placed when all that it refers to are. A task
+   peels a range of a conversation's turns of about PART_CALLS calls as far as it can; what waits for
+   another range is tried again when that is placed. So the rounds follow the ranges that a chain crosses, not
+   its calls: one round for a conversation of a single range. Calls that are never placed wait for
+   themselves or for such; they are `cyclic` and keep the place of their turn.
 4. Each event is serialised as canonical JSON: keys sorted, no spaces, no escapes but those needed.
 
 A conversation is never gathered in one task: events stay rows, ordered by their columns.
@@ -16,7 +19,8 @@ A conversation is never gathered in one task: events stay rows, ordered by their
 Two protocols. `tools`: an assistant's text that is a JSON object with a list `tool_calls` of {id,
 name, arguments} holds calls; a turn of role `tool` whose text is a JSON object with `tool_call_id`
 is a result. `turns`, for tables without tool records: a user's turn is a call of the tool `reply`
-named by its turn number, and an assistant's turn is the result of the turn before it.
+named by its turn number, and an assistant's turn is the result of the turn before it. `tool_records`
+makes tool records of such a table, with all that can go wrong in them.
 
 Defined results: a null text is an empty one; a null role is `unknown`. Events of a null
 conv_id form a conversation of their own; a null turn comes first, as turn -1. Repeated rows are
@@ -32,14 +36,26 @@ from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import materialize, ship
+from marlstone.llm.runtime import hinted, materialize, ship
 
 #: The tool of the `turns` protocol.
 REPLY = {"reply": {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}}, "required": ["prompt"], "additionalProperties": False}}
 
+#: The tool of `tool_records`.
+DIALOGUE = {
+    "reply": {
+        "type": "object",
+        "properties": {"after": {"type": "array", "items": {"type": "string"}}, "prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0, "maximum": 1_000_000}},
+        "required": ["prompt", "turn"],
+        "additionalProperties": False,
+    }
+}
+#: Calls of a range of turns that a task peels, about.
+PART_CALLS = 50_000
+
 EVENT = "conv_id long, turn long, sub int, kind string, role string, call_id string, name string, refs array<string>, valid boolean, error string, json string"
 _TYPES = {
     "object": dict,
@@ -177,37 +193,104 @@ def events(turns: DataFrame, schemas: Mapping[str, Mapping], protocol: str) -> D
     return picked.mapInArrow(read, EVENT)
 
 
-def _levels(calls: DataFrame, answers: DataFrame) -> DataFrame:
+def tool_records(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) with tool records as texts, by rules on conversation and turn
+    s = conv_id + turn: a user's turn is a call `c<turn>` that refers to the call two turns before (but if
+    5 divides s), at times to the one two turns behind it (s mod 7 is 3); its identifier is at times that of
+    an earlier call (s mod 13 is 12), its tool unknown (s mod 17 is 5), or its argument `turn` a string
+    (s mod 19 is 7). An assistant's turn is the result of the turn before it, at times of an earlier one
+    (s mod 11 is 10)."""
+    s, t = F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.coalesce("turn", F.lit(0))
+
+    def named(turn: Column) -> Column:
+        return F.concat(F.lit("c"), turn.cast("string"))
+
+    refs = F.array_compact(F.array(F.when((t >= 2) & (s % 5 != 0), F.concat(F.lit("$call:"), named(t - 2))), F.when(s % 7 == 3, F.concat(F.lit("$call:"), named(t + 2)))))
+    number = F.when(s % 19 == 7, F.to_json(F.struct(t.cast("string").alias("x")))).otherwise(F.to_json(F.struct(t.alias("x"))))
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x")))
+    # Numbers and strings can't share a type: the objects are put together from their JSON.
+    value = F.substr(number, F.lit(6), F.length(number) - 6)
+    prompt = F.substr(said, F.lit(6), F.length(said) - 6)
+    call = F.concat(
+        F.lit('{"tool_calls":[{"id":"'), named(F.when(s % 13 == 12, t - 2).otherwise(t)), F.lit('","name":"'), F.when(s % 17 == 5, "forget").otherwise("reply"),
+        F.lit('","arguments":{"after":'), F.to_json(refs), F.lit(',"prompt":'), prompt, F.lit(',"turn":'), value, F.lit("}}]}"),
+    )
+    result = F.concat(F.lit('{"tool_call_id":"'), named(F.when(s % 11 == 10, t - 3).otherwise(t - 1)), F.lit('","content":'), prompt, F.lit("}"))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    return turns.select(
+        "conv_id", "turn",
+        F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(user, call).when(assistant, result).otherwise(F.col("text")).alias("text"),
+    )
+
+
+_PLACED = "conv string, call_id string, level long, depth int"
+
+
+def _after(level: int, depth: int, answered: int | None) -> tuple[int, int]:
+    """What a call waits for ends at the later of the other call's place and its result's."""
+    return (answered, 1) if answered is not None and answered > level else (level, depth + 1)
+
+
+def _peel(rows: pa.Table) -> pa.Table:
+    """Places of the calls of a range whose references are all placed, there or (level, depth) before."""
+    turn, answered, open_refs, waiting, need, placed = {}, {}, {}, {}, {}, {}
+    for call, at, reply, dep, level, depth, dep_reply in zip(*(rows.column(c).to_pylist() for c in ("call_id", "turn", "answered", "dep", "level", "depth", "dep_answered")), strict=True):
+        turn[call], answered[call] = at, reply
+        open_refs.setdefault(call, 0)
+        if level is not None:
+            need[call] = max(need.get(call, (-1, -1)), _after(level, depth, dep_reply))
+        else:
+            open_refs[call] += 1
+            waiting.setdefault(dep, []).append(call)
+    ready = [c for c, n in open_refs.items() if not n]
+    while ready:
+        call = ready.pop()
+        placed[call] = max((turn[call], 0), need.get(call, (-1, -1)))
+        for other in waiting.get(call, ()):
+            need[other] = max(need.get(other, (-1, -1)), _after(*placed[call], answered[call]))
+            open_refs[other] -= 1
+            if not open_refs[other]:
+                ready.append(other)
+    conv = rows.column("conv")[0].as_py()
+    columns = [[conv] * len(placed), list(placed), [p[0] for p in placed.values()], [p[1] for p in placed.values()]]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
+    return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(_PLACED.split(", "), columns, kinds, strict=True)})
+
+
+def _levels(calls: DataFrame, answers: DataFrame, part_calls: int = PART_CALLS) -> DataFrame:
     """conv, call_id, level, depth, cyclic of linked calls that refer to others, directly or not."""
-    wants = calls.select("conv", "call_id", "turn", F.explode("refs").alias("dep"))
+    wants = calls.select("conv", "call_id", F.explode("refs").alias("dep"))
     wants = materialize(wants.join(calls.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_semi"), "references")
-    start = calls.join(answers.select("conv", "call_id", F.col("turn").alias("answered")), ["conv", "call_id"], "left").select("conv", "call_id", "turn", "answered", F.lit(0).alias("depth"), F.col("turn").alias("level"))
+    start = calls.join(answers.select("conv", "call_id", F.col("turn").alias("answered")), ["conv", "call_id"], "left").select("conv", "call_id", "turn", "answered")
     if not wants.limit(1).count():
-        return start.where("false").select("conv", "call_id", "level", "depth", F.lit(False).alias("cyclic"))
-    most = calls.groupBy("conv").agg(F.count(F.lit(1)).alias("most"))
-    state = materialize(start.join(most, "conv").withColumn("cyclic", F.lit(False)), "levels")
+        return start.select("conv", "call_id", F.col("turn").alias("level"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic")).where("false")
+    # Ranges of turns by their share of the conversation's.
+    sizes = wants.groupBy("conv").agg(F.ceil(F.count(F.lit(1)) / part_calls).alias("parts"))
+    span = calls.groupBy("conv").agg(F.max("turn").alias("last"))
+    sizes = hinted(materialize(sizes.join(span, "conv"), "ranges"), 64)
+    start = materialize(start, "calls")
+    waits = wants.join(start, ["conv", "call_id"]).join(sizes, "conv")
+    waits = waits.withColumn("part", F.floor(F.greatest("turn", F.lit(0)) * F.col("parts") / (F.greatest("last", F.lit(0)) + 1))).drop("parts", "last")
+    waits = materialize(waits.join(start.select("conv", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"), F.col("answered").alias("dep_answered")), ["conv", "dep"]), "waits")
+    # A call that refers to none has the place of its turn.
+    idle = waits.select("conv", F.col("dep").alias("call_id"), "dep_turn").distinct().join(wants, ["conv", "call_id"], "left_anti")
+    done = materialize(idle.select("conv", "call_id", F.col("dep_turn").alias("level"), F.lit(0).alias("depth")), "placed")
+    found, left = None, waits
     while True:
-        # What a call waits for ends at the later of the other call's place and its result's.
-        behind = F.struct(F.greatest("level", F.coalesce("answered", "level")).alias("level"), F.when(F.col("answered") > F.col("level"), 1).otherwise(F.col("depth") + 1).alias("depth"))
-        ready = state.select("conv", F.col("call_id").alias("dep"), behind.alias("behind"))
-        need = wants.join(ready, ["conv", "dep"]).groupBy("conv", "call_id").agg(F.max("behind").alias("need"))
-        own = F.struct(F.col("turn").alias("level"), F.lit(0).alias("depth"))
-        place = F.when(F.col("need").isNull() | (own > F.col("need")), own).otherwise(F.col("need"))
-        new = state.join(need, ["conv", "call_id"], "left").withColumn("place", place)
-        new = new.withColumn("stuck", F.col("cyclic") | (F.col("place.depth") > F.col("most"))).select(
-            "conv", "call_id", "turn", "answered", "most",
-            F.when(F.col("stuck"), F.col("turn")).otherwise(F.col("place.level")).alias("level"),
-            F.when(F.col("stuck"), 0).otherwise(F.col("place.depth")).alias("depth"),
-            F.col("stuck").alias("cyclic"),
-            (~F.col("cyclic") & ((F.col("place.level") != F.col("level")) | (F.col("place.depth") != F.col("depth")))).alias("moved"),
-        )
-        new = materialize(new, "levels")
-        if not new.where("moved").limit(1).count():
-            return new.where("depth > 0 or cyclic").select("conv", "call_id", "level", "depth", "cyclic")
-        state = new.drop("moved")
-
-
-def format_turns(turns: DataFrame, schemas: Mapping[str, Mapping], protocol: str = "tools") -> DataFrame:
+        known = done.select("conv", F.col("call_id").alias("dep"), "level", "depth")
+        tried = left.join(known, ["conv", "dep"], "left").select("conv", "part", "call_id", "turn", "answered", "dep", "level", "depth", "dep_answered")
+        new = materialize(tried.groupBy("conv", "part").applyInArrow(_peel, _PLACED), "placed")
+        found = new if found is None else found.unionByName(new)
+        rest = materialize(left.join(new.select("conv", "call_id"), ["conv", "call_id"], "left_anti"), "waits")
+        if not rest.limit(1).count() or not new.limit(1).count():
+            break
+        done, left = done.unionByName(new), rest
+    stuck = rest.select("conv", "call_id", F.col("turn").alias("level"), F.lit(0).alias("depth"), F.lit(True).alias("cyclic")).distinct()
+    return found.withColumn("cyclic", F.lit(False)).unionByName(stuck)
+
+
+def format_turns(turns: DataFrame, schemas: Mapping[str, Mapping], protocol: str = "tools", part_calls: int = PART_CALLS) -> DataFrame:
     """conv_id, turn, sub, kind, role, call_id, status, valid, error, level, depth, json: a row for
     each event of turns (conv_id, turn, role, text)."""
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
@@ -218,7 +301,7 @@ def format_turns(turns: DataFrame, schemas: Mapping[str, Mapping], protocol: str
     calls = named.where("kind = 'call'").join(keys.where("kind = 'call'").select(F.col("first.place").alias("place")), "place", "left_semi")
     calls = materialize(calls.select("place", "conv", "call_id", "turn", "refs"), "calls")
     answers = materialize(keys.where("kind = 'result'").select("conv", "call_id", F.col("first.place").alias("place"), F.col("first.turn").alias("turn")), "answers")
-    levels = _levels(calls, answers)
+    levels = _levels(calls, answers, part_calls)
     pairs = (
         calls.select("conv", "call_id", F.col("place").alias("call_place"), F.col("turn").alias("call_turn"))
         .hint("shuffle_hash")
@@ -256,27 +339,53 @@ def conversations(formatted: DataFrame) -> DataFrame:
     return listed.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")).alias("json"))
 
 
-#: For the `turns` protocol without repeated turns, which the tables do not have.
+#: For the records that tool_records makes of a table without repeated turns, as the tables are. Paths of
+#: references are followed one by one, which small conversations allow.
 ORACLE_SQL = """
-WITH e AS (
-  SELECT conv_id, turn, text, coalesce(role, 'unknown') AS said,
-         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind
-  FROM conversations
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, conv_id + turn AS s, coalesce(text, '') AS said, coalesce(role, 'unknown') AS role,
+         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations
 ), k AS (
-  SELECT e.*, CASE kind WHEN 'call' THEN turn::VARCHAR WHEN 'result' THEN (turn - 1)::VARCHAR END AS call_id FROM e
-), l AS (
-  SELECT a.*, b.conv_id IS NOT NULL AS linked FROM k a
-  LEFT JOIN k b ON a.conv_id = b.conv_id AND a.call_id = b.call_id AND b.kind = CASE a.kind WHEN 'call' THEN 'result' WHEN 'result' THEN 'call' END
+  SELECT *, 'c' || CASE kind WHEN 'call' THEN turn - CASE WHEN s % 13 = 12 THEN 2 ELSE 0 END ELSE turn - CASE WHEN s % 11 = 10 THEN 3 ELSE 1 END END AS id,
+         list_filter([CASE WHEN turn >= 2 AND s % 5 <> 0 THEN 'c' || (turn - 2) END, CASE WHEN s % 7 = 3 THEN 'c' || (turn + 2) END], lambda x: x IS NOT NULL) AS refs FROM t
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, kind, id ORDER BY turn) AS nth FROM k
+), results AS (SELECT conv_id, id, turn AS answered FROM numbered WHERE kind = 'result' AND nth = 1
+), calls AS (
+  SELECT c.conv_id, c.id, c.turn, c.refs, r.answered FROM numbered c LEFT JOIN results r USING (conv_id, id) WHERE c.kind = 'call' AND c.nth = 1
+), pairs AS (SELECT conv_id, id, unnest(refs) AS dep FROM calls
+), wants AS (SELECT p.* FROM pairs p JOIN calls c ON c.conv_id = p.conv_id AND c.id = p.dep
+), paths AS (
+  SELECT conv_id, id, dep, [id, dep] AS seen, id = dep AS closed FROM wants
+  UNION ALL
+  SELECT p.conv_id, p.id, w.dep, list_append(p.seen, w.dep), list_contains(p.seen, w.dep) FROM paths p JOIN wants w ON w.conv_id = p.conv_id AND w.id = p.dep WHERE NOT p.closed
+), cyclic AS (SELECT DISTINCT conv_id, id FROM paths WHERE closed
+), free AS (SELECT c.* FROM calls c WHERE NOT EXISTS (SELECT 1 FROM cyclic y WHERE y.conv_id = c.conv_id AND y.id = c.id)
+), places AS (
+  SELECT conv_id, id, turn, answered, turn AS level, 0 AS depth FROM free
+  UNION ALL
+  SELECT f.conv_id, f.id, f.turn, f.answered, greatest(p.level, coalesce(p.answered, p.level), f.turn),
+         CASE WHEN f.turn > greatest(p.level, coalesce(p.answered, p.level)) THEN 0 WHEN p.answered > p.level THEN 1 ELSE p.depth + 1 END
+  FROM places p JOIN wants w ON w.conv_id = p.conv_id AND w.dep = p.id JOIN free f ON f.conv_id = w.conv_id AND f.id = w.id
+), placed AS (
+  SELECT c.conv_id, c.id, c.turn, c.answered, coalesce(m.place.level, c.turn) AS level, coalesce(m.place.depth, 0) AS depth, m.conv_id IS NULL AS cyclic
+  FROM calls c LEFT JOIN (SELECT conv_id, id, max({'level': level, 'depth': depth}) AS place FROM places GROUP BY 1, 2) m USING (conv_id, id)
+), joined AS (
+  SELECT n.*, p.id IS NOT NULL AS called, p.answered, p.cyclic, CASE WHEN p.id IS NOT NULL AND nth = 1 THEN p.level END AS p_level,
+         CASE WHEN p.id IS NOT NULL AND nth = 1 THEN p.depth + CASE kind WHEN 'result' THEN 1 ELSE 0 END END AS p_depth
+  FROM numbered n LEFT JOIN placed p ON p.conv_id = n.conv_id AND p.id = n.id AND n.kind <> 'message'
+), errors AS (
+  SELECT *, CASE WHEN kind <> 'call' THEN NULL WHEN s % 17 = 5 THEN 'unknown tool' WHEN said = '' THEN '$.prompt: length' WHEN s % 19 = 7 THEN '$.turn: not of type integer' END AS error FROM joined
 )
-SELECT conv_id, turn, 0 AS sub, kind, call_id,
-       CASE kind WHEN 'call' THEN 'assistant' WHEN 'result' THEN 'tool' ELSE said END AS role,
-       CASE WHEN kind = 'message' THEN 'message' WHEN linked THEN 'linked' WHEN kind = 'call' THEN 'unanswered' ELSE 'orphan' END AS status,
-       NOT (kind = 'call' AND coalesce(text, '') = '') AS valid,
-       CASE WHEN kind = 'call' AND coalesce(text, '') = '' THEN '$.prompt: length' END AS error,
-       turn AS level, 0 AS depth,
+SELECT conv_id, turn, 0 AS sub, kind, CASE kind WHEN 'call' THEN 'assistant' WHEN 'result' THEN 'tool' ELSE role END AS role, CASE WHEN kind <> 'message' THEN id END AS call_id,
+       CASE WHEN kind = 'message' THEN 'message' WHEN nth > 1 THEN 'duplicate' WHEN kind = 'call' AND cyclic THEN 'cyclic'
+            WHEN kind = 'call' THEN CASE WHEN answered IS NULL THEN 'unanswered' ELSE 'linked' END WHEN called THEN 'linked' ELSE 'orphan' END AS status,
+       error IS NULL AS valid, error,
+       greatest(turn, coalesce(p_level, turn)) AS level, CASE WHEN p_level >= turn THEN p_depth ELSE 0 END::INTEGER AS depth,
        CASE kind
-         WHEN 'call' THEN '{"role":"assistant","tool_call":{"arguments":{"prompt":' || to_json(coalesce(text, '')) || '},"id":"' || call_id || '","name":"reply"}}'
-         WHEN 'result' THEN '{"content":' || to_json(coalesce(text, '')) || ',"role":"tool","tool_call_id":"' || call_id || '"}'
-         ELSE '{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(said) || '}' END AS json
-FROM l
+         WHEN 'call' THEN '{"role":"assistant","tool_call":{"arguments":{"after":[' || array_to_string(list_transform(refs, lambda x: '"$call:' || x || '"'), ',') || '],"prompt":' || to_json(said) || ',"turn":'
+           || CASE WHEN s % 19 = 7 THEN '"' || turn || '"' ELSE turn::VARCHAR END || '},"id":"' || id || '","name":"' || CASE WHEN s % 17 = 5 THEN 'forget' ELSE 'reply' END || '"}}'
+         WHEN 'result' THEN '{"content":' || to_json(said) || ',"role":"tool","tool_call_id":"' || id || '"}'
+         ELSE '{"content":' || to_json(said) || ',"role":' || to_json(role) || '}' END AS json
+FROM errors
 """

@@ -49,7 +49,8 @@ def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_formatting.format_turns(table(spark, sf_dir, "conversations"), chat_formatting.REPLY, "turns")
+    records = chat_formatting.tool_records(table(spark, sf_dir, "conversations"))
+    return chat_formatting.format_turns(records, chat_formatting.DIALOGUE)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
