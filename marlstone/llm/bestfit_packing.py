@@ -2,7 +2,8 @@
 
 Documents are tokenised word by word through a bounded cache, followed by an end id; only longer
 ones are cut into pieces of the capacity. Pieces that fill a sequence stand alone. The others are
-dealt into buckets of about `per_bucket` pieces, and each bucket is packed online: a fixed number
+dealt by a hash of their place in the written table (so equal pieces don't meet in one task) into
+buckets of about `per_bucket` pieces, and each bucket is packed online: a fixed number
 of open bins, indexed by a bitset keyed by free space; a piece goes to the bin with the least free
 space that holds it; if there is none and all bins are open, the fullest closes first. Pieces come
 in a fixed shuffled order, sorted within windows no larger than the number of open bins.
@@ -206,20 +207,20 @@ class OpenBins:
 def pack(
     cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_bucket: int = PER_BUCKET
 ) -> DataFrame:
-    """cut (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
-
-    cut is read more than once: pass a written table.
-    """
+    """cut (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. cut is read more than
+    once: pass a written table, best with a number for each row in the column place."""
     spark = cut.sparkSession
     ship(spark)
     part = cut.where(F.col("length") < capacity)
+    placed = part if "place" in cut.columns else part.withColumn("place", F.monotonically_increasing_id())
     buckets = max(1, -(-part.count() // per_bucket))
+    cut = cut.drop("place")
     names = cut.columns
-    key = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
+    key = F.xxhash64("place")
 
     def fill(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
-        rows = rows.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("order", "ascending"), ("place", "ascending")])
         bins = OpenBins(capacity, open_bins)
         lengths = rows.column("length").to_numpy()
         window = np.arange(len(lengths)) // min(WINDOW, open_bins)
@@ -230,7 +231,7 @@ def pack(
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     packed = (
-        part.withColumns({"order": key, "bucket": F.pmod(key, F.lit(buckets))})
+        placed.withColumns({"order": key, "bucket": F.pmod(key, F.lit(buckets))})
         .groupBy("bucket")
         .applyInArrow(fill, f"{types}, sequence_id long, offset long")
     )
@@ -241,4 +242,4 @@ def pack(
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer_path), "pieces"))
+    return pack(materialize(pieces(docs, tokenizer_path).withColumn("place", F.monotonically_increasing_id()), "pieces"))
