@@ -12,7 +12,8 @@ A vocabulary of the unigram kind brings its log scores. One of the BPE kind has
 become log scores by the Zipf-Mandelbrot law: -ln(rank + ZIPF_SHIFT), normalised. Nothing is trained.
 
 Defined results: null and empty texts have no pieces. A marker in the text itself decodes to a space,
-so such a text does not come back unchanged (round_trip is false). Texts of any length are encoded
+so such a text does not come back unchanged (round_trip is false). Null and unknown ids decode to a
+replacement character. Texts of any length are encoded
 whole. A null doc_id stays null, repeated rows are encoded once each, empty tables give an empty
 result, and other columns are not read.
 """
@@ -33,6 +34,7 @@ from marlstone.llm.runtime import chunks, ship, worker_cache
 
 MARKER = "▁"
 MARK = MARKER.encode()
+REPLACEMENT = "\ufffd".encode()
 ZIPF_SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
 
@@ -226,9 +228,18 @@ class Codec:
             return b""
         return self.line_break.join([self._line(x) for x in (b" " + text).split(b"\n")])
 
+    def decode_any(self, ids: list[int | None]) -> str:
+        """A null id, or one that is not in the vocabulary, becomes a replacement character."""
+        surface = self.vocabulary.surface
+        return self._text([surface[i] if i is not None and 0 <= i < len(surface) else REPLACEMENT for i in ids])
+
     def decode(self, ids: list[int]) -> str:
         surface = self.vocabulary.surface
-        text = b"".join([surface[i] for i in ids]).replace(MARK, b" ").decode("utf-8", "replace")
+        return self._text([surface[i] for i in ids])
+
+    @staticmethod
+    def _text(pieces: list[bytes]) -> str:
+        text = b"".join(pieces).replace(MARK, b" ").decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -278,7 +289,8 @@ def _coded(docs: DataFrame, model: Vocabulary, decoded: bool) -> DataFrame:
 
 
 def decode(coded: DataFrame, model: Vocabulary) -> DataFrame:
-    """coded (ids) with the column text; null ids give a null text."""
+    """coded (ids) with the column text. A null list gives a null text; a null id, or one that is not in
+    the vocabulary, gives a replacement character."""
     spark = coded.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -288,7 +300,7 @@ def decode(coded: DataFrame, model: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for b in batches:
-            text = [None if x is None else codec.decode(x) for x in b.column(columns.index("ids")).to_pylist()]
+            text = [None if x is None else codec.decode_any(x) for x in b.column(columns.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*columns, "text"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
