@@ -265,8 +265,21 @@ def _summary_sql() -> str:
       {_rate("gold_source_match_found_any", yes)} AS gold_source_match_found_rate_any, {on_yes} FROM judged"""
 
 
+STRIPPED = r"regexp_replace({}, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+#: Each step cuts one part off the rest; `back` is how far the last line break lies before the limit.
+MESSAGES_SQL = f"""WITH RECURSIVE steps AS (
+  SELECT doc_id, 0 AS i, NULL::VARCHAR AS part, coalesce(text, '') AS rest FROM documents
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN length(rest) > {transcripts.MESSAGE_LIMIT} THEN {STRIPPED.format("left(rest, stop)")} ELSE rest END,
+         CASE WHEN length(rest) > {transcripts.MESSAGE_LIMIT} THEN {STRIPPED.format("substr(rest, stop + 1)")} ELSE '' END
+  FROM (SELECT doc_id, i, rest, CASE WHEN back BETWEEN 1 AND {transcripts.MESSAGE_LIMIT - 1} THEN {transcripts.MESSAGE_LIMIT} - back ELSE {transcripts.MESSAGE_LIMIT} END AS stop
+        FROM (SELECT doc_id, i, rest, strpos(reverse(left(rest, {transcripts.MESSAGE_LIMIT})), chr(10)) AS back FROM steps WHERE rest <> ''))
+)
+SELECT doc_id, count(part)::INTEGER AS n_parts, coalesce(max(length(part)), 0)::INTEGER AS longest, max(part) FILTER (i = 1) AS first FROM steps GROUP BY 1"""
+
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 ORACLES = {
+    "message_split": MESSAGES_SQL,
     "transcript_answers": f"""WITH {HITS_SQL} SELECT query_id AS question_id, CASE WHEN query_id % 6 = 0 THEN 'В источниках нет ответа.' ELSE 'Yes [1],' || chr(10) || chr(10) || ' no ' || query_id END AS model_answer, count(*)::INTEGER AS n_sources FROM hits GROUP BY 1""",
     "transcript_sources": f"""WITH {HITS_SQL} SELECT query_id AS question_id, rank AS index, CASE WHEN rank % 2 = 1 THEN 'Book of ' || doc_id ELSE '/data/%D1%8F/' || source_pdf || ', стр. ' || page_start END AS title,
         CASE WHEN rank % 2 = 1 THEN 'http://h/x.pdf#page=' || page_start END AS url, source_pdf AS filename,
