@@ -33,13 +33,13 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, place int, score string")
 
 
-@pytest.mark.parametrize("shard_rows", [7, 1000])
-def test_topk(spark, shard_rows):
+@pytest.mark.parametrize(("tile_rows", "block_bytes"), [(7, 200), (1000, 1 << 24)])
+def test_topk(spark, tile_rows, block_bytes):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.3, 6).astype(np.float32).tolist()) for i in range(350)]
     rows += [(1000 + i, rows[3][1]) for i in range(30)] + [(200, rows[200][1]), (400, rows[3][1])]
     rows += [(500, None), (600, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (700, [float("nan")] * 6), (800, [1.0, 2.0]), (801, [-1.0, 2.5]), (None, rows[0][1]), (900, [])]
-    got = exact_topk.search(vectors(spark, rows), F.pmod("vec_id", F.lit(100)) == 0, shard_rows=shard_rows)
+    got = exact_topk.search(vectors(spark, rows), F.pmod("vec_id", F.lit(100)) == 0, tile_rows=tile_rows, block_bytes=block_bytes)
     assert Counter(map(tuple, got.collect())) == plain_topk(rows, 10)
 
 
@@ -50,6 +50,34 @@ def test_topk_of_huge_components(spark):
     assert exact_topk.search(vectors(spark, []), F.col("vec_id") == 100).count() == 0
 
 
+def test_topk_beyond_64_bits(spark):
+    """Components beyond 64 bits take no part, scores beyond them are held at their end."""
+    rows = [(100, [1e15, 1.0]), (1, [1e20, 0.0]), (2, [1e15, 0.0]), (3, [2e15, 0.0]), (4, [-1e15, 0.0]), (5, [0.0, 1.0])]
+    got = [(r.vec_id, r.score) for r in exact_topk.search(vectors(spark, rows), F.col("vec_id") == 100).orderBy("rank").collect()]
+    assert got == [(2, 2**63 - 1), (3, 2**63 - 1), (5, 1024 * 1024), (4, -(2**63))]
+
+
+def test_threshold_spares_products():
+    """On clustered vectors most tiles are passed over before any product is made, and none that counts."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 400, (40, 32))
+    matrix = np.floor(np.repeat(centres, 250, axis=0) + rng.normal(0, 20, (10_000, 32)))
+    own = []
+    for rows in exact_topk.tiles_of(matrix, 128):
+        v = matrix[rows]
+        c = v.mean(axis=0)
+        radii = np.array([np.sqrt(((v[:, x] - c[x]) ** 2).sum(axis=1)).max() for x in exact_topk.list_cuts(32, 4)])
+        own.append(exact_topk.Tile(32, rows, rows, np.zeros(len(rows), bool), v, c, radii))
+    assert sum(len(t.ids) for t in own) == len(matrix)
+    queries = matrix[::100]
+    every = queries @ matrix.T
+    block = exact_topk.Block(np.arange(len(queries)), np.arange(len(queries)), queries, np.sort(every, axis=1)[:, -10])
+    wanted = exact_topk.collected(block, own, 4)
+    assert wanted.mean() < 0.1
+    for t, tile in enumerate(own):
+        assert wanted[:, t][(every[:, tile.ids] >= block.cutoffs[:, None]).any(axis=1)].all()
+
+
 # URL filters -------------------------------------------------------------------------------------
 
 
