@@ -67,7 +67,7 @@ def quantised(ids: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, n
 
 
 def tiles_of(matrix: np.ndarray, most: int) -> list[np.ndarray]:
-    """Rows in tiles of at most `most`, halved along the line between two that lie far apart."""
+    """Rows in tiles of at most `most`, cut along the line between two that lie far apart."""
     todo, out = [np.arange(len(matrix))], []
     while todo:
         rows = todo.pop()
@@ -77,8 +77,11 @@ def tiles_of(matrix: np.ndarray, most: int) -> list[np.ndarray]:
         own = matrix[rows]
         a = own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmax()]
         b = own[((own - a) ** 2).sum(axis=1).argmax()]
-        order = np.argsort(own @ (b - a), kind="stable")
-        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+        along = own @ (b - a)
+        order = np.argsort(along, kind="stable")
+        low, high = max(1, len(rows) // 4), len(rows) - len(rows) // 4  # the widest gap between the quarters
+        cut = low + int(np.diff(along[order][low - 1 : high]).argmax())
+        todo += [rows[order[:cut]], rows[order[cut:]]]
     return out
 
 
