@@ -32,7 +32,14 @@ def build_index(pages: DataFrame, vectors: DataFrame | None = None, files: DataF
     lined = materialize(clean.page_lines(pages), "lines")
     texts = clean.cleaned(lined, clean.repeated_lines(lined, min_ratio)).select("doc_id", "page_num", "text")
     named = pages.select("doc_id", "title", "source_pdf", "page_num").join(texts, ["doc_id", "page_num"])
-    chunks = registry.points(chunk.chunked(named))
+    return index_chunks(chunk.chunked(named), vectors, files)
+
+
+def index_chunks(chunks: DataFrame, vectors: DataFrame | None = None, files: DataFrame | None = None) -> Index:
+    """From ready chunks (doc_id, title, source_pdf, page_num, page_start, page_end, chunk_id, text):
+    enriched from the registry `files`, with term statistics and the chunk graph."""
+    ship(chunks.sparkSession)
+    chunks = registry.points(chunks)
     if files is not None:
         chunks = registry.enrich(chunks, files)
     chunks = materialize(chunks, "chunks")

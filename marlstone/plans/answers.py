@@ -105,6 +105,10 @@ def analysis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.analysis(gold, runs, evaluate.records(gold, runs))
 
 
+def analysis_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.totals(analysis_rows(spark, sf_dir))
+
+
 def page_range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     a, b = (i % 60).cast("string"), (i % 97).cast("string")
@@ -166,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         context_build, citation_best_chunk, citation_assign, citation_renumber, citation_validity, answer_envelope,
-        eval_records, eval_summary, analysis_rows, page_range_expand, text_predicates, url_fields,
+        eval_records, eval_summary, analysis_rows, analysis_totals, page_range_expand, text_predicates, url_fields,
         transcript_answers, transcript_sources, message_split,
     )
 }
@@ -295,6 +299,8 @@ ORACLES = {
     "analysis_rows": f"""WITH {RUNS_SQL} SELECT question_id::VARCHAR AS question_id, {SQUEEZE.format("question")} AS question, p_file AS gold_source_filename, array_to_string(p_pages, ',') AS gold_pages_prim_ref,
         array_to_string(a_pages, ',') AS gold_pages_alt_ref, CASE WHEN gold_source_match_found_any THEN 'True' ELSE 'False' END AS gold_source_match_found, cited_source_pages_any_gold AS gold_source_cited_pages,
         CASE WHEN page_hit_any THEN 'True' ELSE 'False' END AS page_hit, model_answer, '' AS manual_error_type FROM judged""",
+    "analysis_totals": f"""WITH {RUNS_SQL} SELECT count(*) AS total, count(*) FILTER (gold_source_match_found_any) AS gold_source_match_true,
+        count(*) FILTER (page_hit_any) AS page_hit_true, count(*) FILTER (NOT page_hit_any) AS page_hit_false FROM judged""",
     "page_range_expand": """WITH t AS (SELECT doc_id, doc_id % 60 AS a, doc_id % 97 AS b, doc_id % 5 AS kind FROM documents)
       SELECT doc_id, CASE kind WHEN 0 THEN a::VARCHAR WHEN 1 THEN a || '-' || b WHEN 2 THEN ' ' || a || '–' || b WHEN 3 THEN a || '-x' ELSE '' END AS token,
         CASE WHEN kind = 0 THEN a::VARCHAR WHEN kind > 2 THEN '' WHEN a <= b AND b - a <= 20 THEN array_to_string(generate_series(a, b), ',') ELSE a || ',' || b END AS pages FROM t""",

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import sys
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions.names import basename, slug
 from marlstone.functions.text import first_filled, positive_int, stripped
+from marlstone.scratch import ship
 
 # The field names that files of different ages use.
 PAGE_FIELDS = ("page_num", "page", "page_no", "page_number", "pdf_page")
@@ -15,11 +21,6 @@ TEXT_FIELDS = ("text", "cleaned_text", "page_text", "content")
 SOURCE_FIELDS = ("source_pdf", "filename", "pdf_file", "pdf_name", "file", "source")
 LISTS = ("pages", "items", "records")
 
-_FIELDS = ", ".join(f"{n} string" for n in dict.fromkeys(("doc_id", "title", *SOURCE_FIELDS, *PAGE_FIELDS, *TEXT_FIELDS)))
-_INNER = f"struct<{_FIELDS.replace(' string', ':string')}>"
-_MIDDLE = f"struct<{_FIELDS.replace(' string', ':string')},{','.join(f'{n}:array<{_INNER}>' for n in LISTS)}>"
-PAGE_OBJECT = f"{_FIELDS}, " + ", ".join(f"{n} array<{_MIDDLE}>" for n in LISTS)
-
 CHUNK = "doc_id string, title string, source_pdf string, filename string, page_num string, page_start string, page_end string, chunk_index string, chunk_id string, text string"
 GRAPH = "chunk_id string, doc_id string, title string, source_pdf string, page_start int, page_end int, neighbors array<string>"
 REGISTRY = "ts_utc string, doc_id string, filename string, file string, sha256 string, bytes long, mime string, s3_bucket string, bucket string, s3_key string, key string, source string"
@@ -31,47 +32,114 @@ GOLD = (
 )
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Files of a folder and those below it; a line that is no JSON stops the job. BOMs and blank lines
-    are ignored. `_file` and `_line` say where a row is from; later lines have larger numbers."""
+def raw_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """value, _file, _line of the lines of a folder's files and of those below it, without BOMs and blank
+    lines. Later lines of a file have larger numbers; numbers of several files don't compare."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    filled = raw.withColumn("value", stripped(F.translate("value", "﻿", ""))).where("value <> ''")
-    row = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return filled.select("_file", "_line", row.alias("r")).select("_file", "_line", "r.*")
+    return raw.withColumn("value", stripped(F.translate("value", "﻿", ""))).where("value <> ''")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl", mode: str = "FAILFAST") -> DataFrame:
+    """Rows of JSON lines; a line that is no JSON stops the job. `_file` and `_line` say where a row is from."""
+    row = F.from_json("value", schema, {"mode": mode})
+    return raw_lines(spark, path, pattern).select("_file", "_line", row.alias("r")).select("_file", "_line", "r.*")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that each hold one object or a list of objects."""
+    """Files that each hold one object or a list of objects, read whole."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
     return rows.select(F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_line"), *rows.columns)
 
 
-def _pick(fields: tuple[str, ...], prefixes: tuple[str, ...]) -> Column:
-    return first_filled(*(F.col(f"{p}{f}") for p in prefixes for f in fields))
+_PAGE = "_file string, doc_id string, title string, source string, page string, text string"
+
+
+def _flat_pages(value: str, file: str) -> Iterator[tuple]:
+    """The pages of an object that may hold lists of pages, to any depth. What a page does not say of its
+    document is that of the object around it."""
+    try:
+        todo = [(json.loads(value), {})]
+    except ValueError as e:
+        raise ValueError(f"{file}: {e}: {value[:200]}") from None
+    while todo:
+        found, around = todo.pop()
+        if isinstance(found, list):
+            todo += [(x, around) for x in reversed(found)]
+        if not isinstance(found, dict):
+            continue
+
+        def filled(names: tuple[str, ...], found: dict = found) -> str | None:
+            said = (str(found[n]).strip() for n in names if found.get(n) is not None)
+            return next((x for x in said if x), None)
+
+        own = {n: filled(f) or around.get(n) for n, f in (("doc_id", ("doc_id",)), ("title", ("title",)), ("source", SOURCE_FIELDS))}
+        kids = next((found[n] for n in LISTS if isinstance(found.get(n), list)), None)
+        if kids is None:
+            numbers = (str(found[n]).strip() for n in PAGE_FIELDS if found.get(n) is not None)
+            page = next((n for n in numbers if n.isdigit() and int(n) > 0), None)
+            yield file, own["doc_id"], own["title"], own["source"], page, filled(TEXT_FIELDS)
+        else:
+            todo += [(x, own) for x in reversed(kids)]
 
 
 def page_texts(objects: DataFrame) -> DataFrame:
-    """doc_id, title, source_pdf, page_num, text of page objects (PAGE_OBJECT with _file), which may hold
-    lists of pages up to two levels deep. Pages without a number or text drop out."""
-    lists = F.coalesce(*(F.when(F.size(n) > 0, F.col(n)) for n in LISTS))
-    one = objects.withColumn("kids", lists)
-    rename = [F.col(c).alias(f"a_{c}") for c in dict.fromkeys(("doc_id", "title", *SOURCE_FIELDS, *PAGE_FIELDS, *TEXT_FIELDS))]
-    two = one.select("_file", *rename, F.explode_outer("kids").alias("b"))
-    inner = F.coalesce(*(F.when(F.size(F.col(f"b.{n}")) > 0, F.col(f"b.{n}")) for n in LISTS))
-    three = two.withColumn("c", F.explode_outer(inner))
-    prefixes = ("c.", "b.", "a_")
+    """doc_id, title, source_pdf, page_num, text of page objects (value as JSON, _file). Pages without a
+    number or text drop out; a value that is no JSON stops the job."""
+    ship(objects.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _PAGE.split(", ")]
+        for b in batches:
+            rows = [r for v, f in zip(b.column("value").to_pylist(), b.column("_file").to_pylist(), strict=True) for r in _flat_pages(v, f)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * len(names), names)
+
+    rows = objects.select("value", "_file").mapInArrow(run, _PAGE)
     stem = F.regexp_replace(basename(F.col("_file")), r"\.[^.]*$", "")
-    own = F.when(F.col("c").isNotNull(), _pick(TEXT_FIELDS, ("c.",))).when(F.col("b").isNotNull(), _pick(TEXT_FIELDS, ("b.",))).otherwise(_pick(TEXT_FIELDS, ("a_",)))
-    page = F.coalesce(*(positive_int(F.col(f"{p}{f}")) for p in prefixes for f in PAGE_FIELDS))
-    source = F.coalesce(_pick(SOURCE_FIELDS, prefixes), F.concat(stem, F.lit(".pdf")))
-    title = F.coalesce(_pick(("title",), prefixes), F.regexp_replace(basename(source), r"\.[^.]*$", ""))
-    doc = F.coalesce(_pick(("doc_id",), prefixes), slug(F.regexp_replace(basename(source), r"\.[^.]*$", "")))
-    rows = three.select(doc.alias("doc_id"), title.alias("title"), source.alias("source_pdf"), page.alias("page_num"), own.alias("text"))
-    return rows.where("page_num is not null and text is not null")
+    source = F.coalesce("source", F.concat(stem, F.lit(".pdf")))
+    name = F.regexp_replace(basename(source), r"\.[^.]*$", "")
+    pages = rows.select(F.coalesce("doc_id", slug(name)).alias("doc_id"), F.coalesce("title", name).alias("title"), source.alias("source_pdf"), positive_int(F.col("page")).alias("page_num"), "text")
+    return pages.where("page_num is not null and text is not null")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return page_texts(json_lines(spark, path, PAGE_OBJECT))
+    """Pages of the JSON lines and JSON files of a folder. A folder without any stops the job."""
+    lines = raw_lines(spark, path).select("value", "_file")
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    whole = whole.select(stripped(F.translate("value", "\ufeff", "")).alias("value"), F.col("_metadata.file_path").alias("_file")).where("value <> ''")
+    if not lines.limit(1).count() and not whole.limit(1).count():
+        raise FileNotFoundError(f"no JSON or JSONL in {path}")
+    return page_texts(lines.unionByName(whole))
+
+
+#: content of a file -> the texts of its pages
+ExtractFn = Callable[[bytes], list[str]]
+
+
+def read_documents(spark: SparkSession, path: str, extract: ExtractFn, pattern: str = "*.pdf") -> DataFrame:
+    """doc_id, title, source_pdf, page_num, text of every page of a folder's files, whose text the caller's
+    function extracts. A file that it fails on has no pages; the others are not stopped."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("_file"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column("_file").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    texts = extract(content)
+                except Exception as e:  # a broken file must not stop the others
+                    print(f"{file}: {e}", file=sys.stderr)
+                    texts = []
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(texts), pa.string()), pa.array(range(1, len(texts) + 1), pa.int32()), pa.array(texts, pa.string())], ["_file", "page_num", "text"])
+
+    pages = files.mapInArrow(run, "_file string, page_num int, text string")
+    name = basename(F.col("_file"))
+    title = F.regexp_replace(name, r"\.[^.]*$", "")
+    return pages.select(slug(title).alias("doc_id"), title.alias("title"), name.alias("source_pdf"), "page_num", "text")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +156,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def graph_chunks(chunks: DataFrame) -> DataFrame:
+    """The chunks that a graph can be built of: those with an id and a document."""
+    return chunks.where((stripped(F.coalesce("chunk_id", F.lit(""))) != "") & (stripped(F.coalesce("doc_id", F.lit(""))) != ""))
+
+
 def last_by_id(chunks: DataFrame) -> DataFrame:
     """Of chunks with one id the last in the files; those without an id drop out."""
     place = W.partitionBy("chunk_id").orderBy(F.desc("_file"), F.desc("_line"))
@@ -101,15 +174,17 @@ def require_sources(chunks: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    rows = json_lines(spark, path, REGISTRY)
+    """The rows of a registry, in the order of files and lines; none if there is no registry yet."""
+    rows = json_lines(spark, path, REGISTRY, "*.{jsonl,json}") if exists(spark, path) else spark.createDataFrame([], f"_file string, _line long, {REGISTRY}")
     return rows.select(
         first_filled(F.col("filename"), F.col("file")).alias("filename"), "doc_id", "sha256", first_filled(F.col("s3_bucket"), F.col("bucket")).alias("s3_bucket"),
-        first_filled(F.col("s3_key"), F.col("key")).alias("s3_key"), "source", F.col("_line").alias("line"),
+        first_filled(F.col("s3_key"), F.col("key")).alias("s3_key"), "source", F.struct("_file", "_line").alias("line"),
     )
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    rows = json_lines(spark, path, GRAPH).where(stripped(F.coalesce("chunk_id", F.lit(""))) != "")
+    """Nodes with an id; what is no list of neighbours counts as none, as do other fields of a wrong type."""
+    rows = json_lines(spark, path, GRAPH, mode="PERMISSIVE").where(stripped(F.coalesce("chunk_id", F.lit(""))) != "")
     near = F.filter(F.coalesce("neighbors", F.array().cast("array<string>")), lambda x: F.coalesce(stripped(x), F.lit("")) != "")
     return rows.withColumn("neighbors", near).drop("_file", "_line")
 
@@ -132,5 +207,5 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """filename, sha256, bytes, mime of all files below a folder."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    mime = F.when(suffix == ".pdf", "application/pdf").when(suffix.isin(".txt", ".md"), "text/plain").when(suffix == ".json", "application/json").when(suffix == ".html", "text/html").otherwise("application/octet-stream")
+    mime = F.when(suffix == ".pdf", "application/pdf").when(suffix.isin(".txt", ".md"), "text/plain").when(suffix == ".json", "application/json").when(suffix == ".html", "text/html").when(suffix == ".csv", "text/csv").when(suffix == ".png", "image/png").when(suffix.isin(".jpg", ".jpeg"), "image/jpeg").when(suffix == ".zip", "application/zip").when(suffix == ".docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("application/octet-stream")
     return rows.select(basename(F.col("path")).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), mime.alias("mime"), suffix.alias("suffix"))
