@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import materialize
+from marlstone.llm.runtime import drop, materialize
 
 MOST_ROUNDS = 64
 
@@ -38,6 +38,11 @@ def components(links: DataFrame) -> DataFrame:
         jumped = materialize(jumped, "jumped")
         up = materialize(up, "up")
         if not jumped.where("moved").limit(1).count() and not up.limit(1).count():
+            for table in (links, jumped, up):
+                drop(table)
             return direct.select("key", F.col("parent").alias("root"))
+        old = (links, least, jumped, up)
         links = materialize(jumped.select("key", "parent").unionByName(up).distinct(), "links")
+        for table in old:  # nothing reads a round's tables once the next links are written
+            drop(table)
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
