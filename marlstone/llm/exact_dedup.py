@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.runtime import hinted, materialize, partitions, ship
 
+#: Fingerprints that an owner gets, about.
+OWNER_FINGERPRINTS = 2_000_000
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -195,9 +197,10 @@ def _classes(docs: DataFrame, owners_log2: int | None) -> tuple[DataFrame, DataF
     """The small rows of all documents; of each group of equal texts, which row stays."""
     spark = docs.sparkSession
     ship(spark)
-    if owners_log2 is None:
-        owners_log2 = min(11, partitions(spark).bit_length() - 1)
     prints = materialize(fingerprints(docs), "fingerprints")
+    if owners_log2 is None:
+        # As many owners as tasks run at once, and more if each would get too many fingerprints.
+        owners_log2 = max(min(11, partitions(spark).bit_length() - 1), min(20, (prints.count() // OWNER_FINGERPRINTS).bit_length()))
     suspect = hinted(materialize(suspects(prints, owners_log2), "suspects"), 48)
     rank = F.struct("length", F.bitwise_not("doc_id").alias("first"), F.bitwise_not("place").alias("place"))
     best = prints.groupBy("text_sha256").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
