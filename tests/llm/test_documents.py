@@ -205,6 +205,13 @@ def test_words_encode_like_whole_texts():
         assert ids[first:last].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_equal_pieces_are_spread(spark):
+    cut = spark.range(600).selectExpr("cast(null as long) doc_id", "0 piece", "0L start", "700L length", "1L ids_crc32")
+    sizes = Counter(r.sequence_id >> 40 for r in packing.pack(cut, per_bucket=100).collect())
+    assert len(sizes) == 6
+    assert max(sizes.values()) < 2 * 100
+
+
 def test_bins_close_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]  # bin 1 closes, the fuller one
@@ -249,6 +256,81 @@ def test_kneser_ney_sums_to_one():
     assert 0.5 < total <= 1.0 + 1e-9
 
 
+def plain_kneser_ney(words, order, symbols):
+    """log2 probability of a run by an interpolated model over dictionaries of counts."""
+    grams = [Counter() for _ in range(order + 1)]
+    for w, c in words.items():
+        marked = f"\x01{w}\x02"
+        for i in range(1, len(marked)):
+            for n in range(1, min(order, i + 1) + 1):
+                grams[n][marked[i - n + 1 : i + 1]] += c
+    counts = [None]
+    for n in range(1, order + 1):
+        before = Counter(g[1:] for g in grams[n + 1]) if n < order else {}
+        counts.append({g: c if g[0] == "\x01" or not before.get(g) else before[g] for g, c in grams[n].items()})
+    discounts = [None]
+    for c in counts[1:]:
+        ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+        discounts.append(min(0.95, max(0.1, ones / max(1, ones + 2 * twos))))
+
+    def probability(context, x):
+        n = len(context) + 1
+        below = 1 / symbols if n == 1 else probability(context[1:], x)
+        own = [c for g, c in counts[n].items() if g[:-1] == context]
+        if not own:
+            return below
+        d = discounts[n]
+        return max(counts[n].get(context + x, 0) - d, 0) / sum(own) + d * len(own) / sum(own) * below
+
+    def score(run):
+        marked = f"\x01{run}\x02"
+        return sum(math.log2(probability(marked[max(0, i - order + 1) : i], marked[i])) for i in range(1, len(marked)))
+
+    return score
+
+
+def test_kneser_ney_like_plain_counts():
+    import pandas as pd
+
+    rng = random.Random(12)
+    both = {lang: Counter("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(80)) for lang, letters in (("x", "aabbc"), ("y", "abcdd"))}
+    rows = pd.DataFrame([(lang, w, n) for lang, c in both.items() for w, n in c.items()], columns=["lang", "run", "n"])
+    models = language_id.fit(rows, 4)
+    runs = [*list(both["x"])[:20], *list(both["y"])[:20], "zzz", "a", "ab" * 30]
+    got = models.score(runs)
+    for i, lang in enumerate(models.languages):
+        plain = plain_kneser_ney(both[lang], 4, len(set("".join(rows["run"]))) + 2)
+        assert np.allclose(got[:, i], [plain(r) for r in runs])
+
+
+def test_long_texts_are_learned_and_numerals_are_no_letters(spark):
+    rng = random.Random(15)
+    syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ein"]}
+    rows, langs = [], {}
+    for i in range(120):
+        lang = "bb" if i % 6 == 0 else "aa"  # all texts of bb are long
+        rows.append((i, " ".join("".join(rng.choices(syllables[lang], k=2)) for _ in range(6000 if lang == "bb" else 20))))
+        langs[i] = lang
+    odd = [(500, "½ ² ① ٣ _ 12"), (501, "ka½to"), (502, "ka to mi " * 40_000)]
+    got = {r.doc_id: r for r in language_id.identify(make(spark, rows + odd, langs | {500: "aa"})).collect()}
+    assert all(got[i].lang_pred == langs[i] for i in langs)
+    assert (got[500].lang_pred, got[500].score, got[500].rejected) == ("und", 0.0, True)
+    assert got[501].lang_pred == got[502].lang_pred == "aa"
+
+
+def test_rejection_catches_other_languages(spark):
+    rng = random.Random(16)
+    rows, langs = [], {}
+    for i in range(900):
+        letters = "aeiounst" if i % 3 else "aeiokmrl"
+        rows.append((i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(rng.randint(5, 40)))))
+        langs[i] = "x" if i % 3 else "y"
+    other = [(5000 + i, " ".join("".join(rng.choices("pqwvzghj", k=5)) for _ in range(30))) for i in range(100)]
+    got = language_id.identify(make(spark, rows + other, langs | {i: None for i, _ in other})).collect()
+    assert sum(r.rejected for r in got if r.doc_id < 5000) <= 9
+    assert sum(r.rejected for r in got if r.doc_id >= 5000) >= 95
+
+
 # Quality -----------------------------------------------------------------------------------------
 
 
@@ -278,6 +360,54 @@ def test_quality(spark, empty):
     assert not any(r.selected for r in quality.grade(docs, labels.limit(0)).collect())
 
 
+def test_likelihood_of_cumulative_links():
+    """Against the plain sum over rows, and against differences of itself."""
+    rng = np.random.default_rng(9)
+    of, column = np.repeat(np.arange(12), 3), rng.integers(0, 5, 36)
+    shapes, grades = rng.random((12, len(quality.SHAPES))), rng.integers(0, 3, 12)
+    at = np.cumsum([0, 5, len(quality.SHAPES), 1, 1])
+    x = rng.normal(0, 0.7, at[-1])
+
+    def plain(x):
+        cuts = [x[at[2]], x[at[2]] + math.exp(x[at[3]])]
+        total = 0.0
+        for i, g in enumerate(grades):
+            score = sum(x[c] for r, c in zip(of, column, strict=True) if r == i) + sum(a * b for a, b in zip(shapes[i], x[5 : at[2]], strict=True))
+            reach = [1.0, *(1 / (1 + math.exp(c - score)) for c in cuts), 0.0]
+            total -= math.log(reach[g] - reach[g + 1])
+        return total / len(grades) + quality.RIDGE / 2 * sum(w * w for w in x[:5])
+
+    value, gradient = quality.likelihood(x, at, of, column, shapes, grades)
+    assert math.isclose(value, plain(x), rel_tol=1e-9)
+    for i in range(len(x)):
+        step = np.zeros(len(x))
+        step[i] = 1e-5
+        assert math.isclose(gradient[i], (plain(x + step) - plain(x - step)) / 2e-5, rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_quality_of_long_and_repeated_rows(spark):
+    rng = random.Random(18)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(100)]
+    rows = [(i, " ".join([*rng.choices(words, k=9000 if i % 4 == 0 else 30), "zzbad" if i % 2 else "fine"])) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows if i < 160], "doc_id long, quality int, toxic int")
+    got = quality.grade(make(spark, rows + rows[:3]), labels).collect()
+    assert len(got) == 203
+    assert all(r.selected == (r.doc_id % 2 == 0) for r in got)
+    assert len({(r.doc_id, r.score) for r in got}) == 200
+    # The score is the plain sum over the text's buckets and shapes.
+    model = quality.learn(make(spark, rows), labels)
+    text = rows[4][1].encode()
+    buckets, shares = set(), [0.0] * len(quality.SHAPES)
+    split = text.split()
+    for w, last in zip(split, [None, *split], strict=False):
+        a, b, shape = quality.word_features(w)
+        buckets |= {a, b} - {-1}
+        shares[shape] += 1
+        shares[-1] += w == last
+    plain = sum(model.weights[b] for b in buckets) + sum(math.sqrt(n / len(split)) * w for n, w in zip(shares, model.shape_weights, strict=True))
+    assert math.isclose(model.scores([text])[0], plain)
+
+
 # SentencePiece -----------------------------------------------------------------------------------
 
 
@@ -309,6 +439,14 @@ def test_pieces_like_the_library(spark, odd, empty):
     assert sentencepiece_codec.encode(empty, vocabulary).count() == 0
 
 
+def test_any_ids_decode(spark):
+    vocabulary = sentencepiece_codec.vocabulary(PIECE_BPE)
+    ids = np.frombuffer(sentencepiece_codec.Codec(vocabulary).encode(b"a b"), "<i4").tolist()
+    coded = spark.createDataFrame([(1, None), (2, []), (3, [*ids, None, -1, 10**9, *ids])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in sentencepiece_codec.decode(coded, vocabulary).collect()}
+    assert got == {1: None, 2: "", 3: "a b\ufffd\ufffd\ufffd a b"}
+
+
 def test_double_array():
     keys = {b"a": 1, b"ab": 2, b"abc": 3, b"b\xff": 4, b"\x00": 5}
     trie = sentencepiece_codec.DoubleArray.build(keys)

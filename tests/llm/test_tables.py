@@ -165,6 +165,24 @@ def test_turns_repeat(spark):
     assert got == Counter([("call", "linked", True), ("call", "duplicate", True), ("result", "linked", True), ("result", "orphan", True), ("call", "unanswered", False)])
 
 
+@pytest.mark.parametrize("part_calls", [400, 10**6])
+def test_long_chains_and_a_cycle(spark, part_calls):
+    """Each call of a long conversation refers to the next one; two refer to each other at its end."""
+    n = 3000
+
+    def said(t):
+        ref = {n - 1: n - 2}.get(t, t + 1)
+        return json.dumps({"tool_calls": [{"id": str(t), "name": "find", "arguments": {"q": f"$call:{ref}"}}]})
+
+    chain = [(1, t, "assistant", json.dumps({"tool_calls": [{"id": str(t), "name": "find", "arguments": {"q": f"$call:{t + 1}"}}]})) for t in range(n)]
+    cycle = [(2, t, "assistant", said(t)) for t in range(n - 40, n)]
+    turns = spark.createDataFrame([*chain, *cycle], "conv_id long, turn long, role string, text string")
+    rows = {(r.conv_id, r.turn): r for r in chat.format_turns(turns, TOOLS, part_calls=part_calls).collect()}
+    # The last of the chain refers to a call that is not there, so it waits for nothing.
+    assert all((rows[1, t].level, rows[1, t].depth) == (n - 1, n - 1 - t) for t in range(n))
+    assert all(rows[2, t].status == "cyclic" and rows[2, t].depth == 0 for t in range(n - 40, n))
+
+
 def test_schemas():
     assert chat.schema_error({"a": [1, True]}, {"properties": {"a": {"type": "array", "items": {"type": "integer"}}}}) == "$.a[1]: not of type integer"
     assert chat.schema_error(5, {"enum": [1, 2]}) == "$: not in enum"
@@ -207,6 +225,35 @@ def test_pipeline_stages(spark):
     assert {p[0] for p in pieces} == kept["simhash_neardup"][1]
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bits long, rejected string, signature int, place int, length string"
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and columns with the operators' own names."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("aeiounstrl", k=rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(30, 80))) for _ in range(120)]
+    bad = [" ".join(w.upper() + "!!" for w in rng.choices(words, k=40)) for _ in range(60)]
+    rows = [*enumerate(texts), *((200 + i, t) for i, t in enumerate(bad))]
+    long = " ".join(rng.choices(words, k=60_000))
+    rows += [(300, None), (301, ""), (302, " \n"), (303, "12 34 ½"), (None, " ".join(rng.choices(words, k=50))), (304, long), (0, texts[0]), (0, texts[0]), (305, texts[1] + " "), (306, long + " more")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1, 2, "r", 3, 4, "y") for i, t in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i, _ in rows[:180]], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = Counter(r.doc_id for r in got if r.piece == 0)
+    assert set(kept.values()) == {1}
+    assert set(kept).isdisjoint({300, 301, 302, 303, 306, *range(200, 260)})
+    # Of texts that are equal but for space the longest stays; long ones are packed whole.
+    assert {0, 305, 304, None} <= set(kept) and 1 not in kept
+    assert len(kept) >= 118
+    assert sum(r.length for r in got if r.doc_id == 304) > 60_000
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_random_links_stay_whole(spark):
     """Turns of random conversations link as a plain reading says."""
     rng = random.Random(6)
