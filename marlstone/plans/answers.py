@@ -66,8 +66,11 @@ def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the stand-in; a line for each source."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return answer.envelopes(asked, benchmark_hits(spark, sf_dir))
+    rows = answer.envelopes(asked, benchmark_hits(spark, sf_dir))
+    line = F.transform("sources", lambda x: F.concat_ws("|", *(x[c].cast("string") for c in ("n", "title", "filename", "page_start", "page_end", "url"))))
+    return rows.withColumn("sources", F.array_join(line, "\n"))
 
 
 def _gold_and_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -181,8 +184,8 @@ HITS_SQL = f"""{INDEX_SQL}, {BENCHMARK_SQL}, {SCORED_SQL}, hits AS (
 )"""
 MATCH = r"trim(regexp_replace(regexp_replace(lower({}), '\[\d+\]', '', 'g'), '\s+', ' ', 'g'))"
 MATCH_TOKENS = "list_distinct(list_filter(regexp_extract_all({}, '[A-Za-zА-Яа-яЁё0-9-]+'), lambda t: length(t) >= 3))"
-BEST_SQL = rf"""{HITS_SQL}, answers AS (SELECT item_id AS query_id, text || ' Of the [7] thing . 12 ?' AS answer FROM benchmark
-), split_answers AS (
+ANSWERS_SQL = f"""{HITS_SQL}, answers AS (SELECT item_id AS query_id, text || ' Of the [7] thing . 12 ?' AS answer FROM benchmark)"""
+MATCHED_SQL = rf""", split_answers AS (
   SELECT query_id, list_filter(list_transform(regexp_extract_all(trim(answer), '[^.!?]+[.!?]+|[^.!?]+$'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS parts FROM answers
 ), said AS (
   SELECT query_id, unnest(parts) AS sentence, unnest(generate_series(0, len(parts) - 1)) AS "at" FROM split_answers
@@ -198,7 +201,8 @@ BEST_SQL = rf"""{HITS_SQL}, answers AS (SELECT item_id AS query_id, text || ' Of
 ), matched AS (
   SELECT p.query_id, p."at"::INTEGER AS "at", p.sentence, b.idx::INTEGER AS idx, b.score FROM plain p LEFT JOIN best b USING (query_id, "at")
 )"""
-ASSIGN_SQL = rf"""{BEST_SQL}, starts AS (
+BEST_SQL = ANSWERS_SQL + MATCHED_SQL
+CITED_SQL = r""", starts AS (
   SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(idx) OVER w IS DISTINCT FROM idx THEN 1 ELSE 0 END AS s FROM matched WINDOW w AS (PARTITION BY query_id ORDER BY "at")
 ), runs AS (SELECT *, sum(s) OVER (PARTITION BY query_id ORDER BY "at") AS run FROM starts
 ), blocks AS (
@@ -208,16 +212,17 @@ ASSIGN_SQL = rf"""{BEST_SQL}, starts AS (
 ), cited AS (SELECT *, CASE WHEN idx IS NULL THEN block ELSE block || ' [' || (idx + 1) || ']' END AS part FROM blocks
 ), firsts AS (SELECT query_id, idx, min(run) AS run FROM cited WHERE idx IS NOT NULL GROUP BY 1, 2
 ), used AS (SELECT query_id, string_agg(idx::VARCHAR, ',' ORDER BY run) AS used FROM firsts GROUP BY 1
-), whole AS (SELECT query_id, string_agg(part, ' ' ORDER BY run) AS answer FROM cited GROUP BY 1)
-SELECT query_id, coalesce(whole.answer, '') AS answer, coalesce(used, '') AS used FROM answers LEFT JOIN whole USING (query_id) LEFT JOIN used USING (query_id)"""
+), whole AS (SELECT query_id, string_agg(part, ' ' ORDER BY run) AS answer FROM cited GROUP BY 1
+), assigned AS (SELECT query_id, coalesce(whole.answer, '') AS answer, coalesce(used, '') AS used FROM answers LEFT JOIN whole USING (query_id) LEFT JOIN used USING (query_id))"""
+ASSIGN_SQL = f"{BEST_SQL}{CITED_SQL} SELECT * FROM assigned"
 TURNS_SQL = """turns AS (
-  SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 9 = 8 THEN ' [8] none [0]' ELSE ' [3][1]. More [' || (turn % 5 + 1) || '] and [9][2][2][4] then  [9] end [1]' END AS answer FROM conversations
-), numbered AS (
+  SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 9 = 8 THEN ' [8] none [0]' ELSE ' [3][1]. More [' || (turn % 5 + 1) || '] and [9][2][2][4] then  [9] end [1]' END AS answer FROM conversations)"""
+ORDERED_SQL = """, numbered AS (
   SELECT *, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT) AS nums FROM turns
 ), ordered AS (
   SELECT *, list_filter(list_filter(nums, lambda x: x BETWEEN 1 AND 5), lambda x, i: list_position(list_filter(nums, lambda y: y BETWEEN 1 AND 5), x) = i) AS ord FROM numbered
 )"""
-RENUMBER_SQL = rf"""WITH {TURNS_SQL}, cut AS (
+JOINED_SQL = r""", cut AS (
   SELECT *, regexp_split_to_array(answer, '(?:\[\d+\])+') AS gaps, regexp_extract_all(answer, '(?:\[\d+\])+') AS clusters FROM ordered
 ), pieces AS (
   SELECT conv_id, turn, answer, ord, gaps, unnest(generate_series(1, len(gaps))) AS i, clusters FROM cut
@@ -227,8 +232,21 @@ RENUMBER_SQL = rf"""WITH {TURNS_SQL}, cut AS (
   SELECT *, CASE WHEN len(new) > 1 THEN list_sort(list_distinct(new)) ELSE new END AS final FROM news
 ), joined AS (
   SELECT conv_id, turn, any_value(answer) AS answer, any_value(ord) AS ord, string_agg(gaps[i] || array_to_string(list_transform(final, lambda n: '[' || n || ']'), ''), '' ORDER BY i) AS changed FROM tidy GROUP BY 1, 2
+)"""
+RENUMBER_SQL = rf"""WITH {TURNS_SQL}{ORDERED_SQL}{JOINED_SQL} SELECT conv_id, turn, CASE WHEN len(ord) = 0 THEN answer ELSE trim(regexp_replace(changed, '\s+', ' ', 'g')) END AS answer, array_to_string(list_transform(ord, lambda x: (x - 1)::VARCHAR), ',') AS used FROM joined"""
+ENVELOPE_SQL = rf"""WITH {HITS_SQL}, first_said AS (
+  SELECT query_id, rank, trim(regexp_extract(regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g'), '[^.!?]+[.!?]+|[^.!?]+$')) AS said FROM hits
+), answers AS (
+  SELECT query_id, string_agg(said || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM first_said WHERE said <> '' GROUP BY 1
+){MATCHED_SQL}{CITED_SQL}, turns AS (SELECT query_id AS conv_id, 0 AS turn, answer FROM assigned){ORDERED_SQL}{JOINED_SQL}, final AS (
+  SELECT conv_id AS query_id, CASE WHEN len(ord) = 0 THEN answer ELSE trim(regexp_replace(changed, '\s+', ' ', 'g')) END AS answer,
+         CASE WHEN len(ord) = 0 THEN generate_series(1, {K}) ELSE ord END AS ord FROM joined
+), listed AS (SELECT query_id, unnest(ord) AS rank, unnest(generate_series(1, len(ord))) AS n FROM final
+), sourced AS (
+  SELECT query_id, string_agg(concat_ws('|', n, title, source_pdf, page_start, page_end, 'https://files.example/' || source_pdf || '#page=' || page_start || '&zoom=page-fit'), chr(10) ORDER BY n) AS sources
+  FROM listed JOIN hits USING (query_id, rank) GROUP BY 1
 )
-SELECT conv_id, turn, CASE WHEN len(ord) = 0 THEN answer ELSE trim(regexp_replace(changed, '\s+', ' ', 'g')) END AS answer, array_to_string(list_transform(ord, lambda x: (x - 1)::VARCHAR), ',') AS used FROM joined"""
+SELECT query_id, answer, sources, (SELECT count(*) FROM hits h WHERE h.query_id = final.query_id)::INTEGER AS retrieved FROM final JOIN sourced USING (query_id)"""
 RUNS_SQL = f"""{HITS_SQL}, gold AS (
   SELECT item_id AS question_id, benchmark.text AS question, item_id % 4 <> 0 AS answerable, p.source_pdf AS p_file, [p.page_start, p.page_start + 1] AS p_pages, a.source_pdf AS a_file, [a.page_start] AS a_pages
   FROM benchmark JOIN hits p ON p.query_id = item_id AND p.rank = item_id % 3 + 1 JOIN hits a ON a.query_id = item_id AND a.rank = 4
@@ -283,6 +301,7 @@ SELECT doc_id, count(part)::INTEGER AS n_parts, coalesce(max(length(part)), 0)::
 
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 ORACLES = {
+    "answer_envelope": ENVELOPE_SQL,
     "message_split": MESSAGES_SQL,
     "transcript_answers": f"""WITH {HITS_SQL} SELECT query_id AS question_id, CASE WHEN query_id % 6 = 0 THEN 'В источниках нет ответа.' ELSE 'Yes [1],' || chr(10) || chr(10) || ' no ' || query_id END AS model_answer, count(*)::INTEGER AS n_sources FROM hits GROUP BY 1""",
     "transcript_sources": f"""WITH {HITS_SQL} SELECT query_id AS question_id, rank AS index, CASE WHEN rank % 2 = 1 THEN 'Book of ' || doc_id ELSE '/data/%D1%8F/' || source_pdf || ', стр. ' || page_start END AS title,
@@ -293,7 +312,7 @@ ORACLES = {
     "citation_best_chunk": f"WITH {BEST_SQL} SELECT query_id, \"at\", sentence, idx, score FROM matched",
     "citation_assign": f"WITH {ASSIGN_SQL}",
     "citation_renumber": RENUMBER_SQL,
-    "citation_validity": f"WITH {TURNS_SQL} SELECT conv_id, turn, len(ord) > 0 AS valid FROM ordered",
+    "citation_validity": f"WITH {TURNS_SQL}{ORDERED_SQL} SELECT conv_id, turn, len(ord) > 0 AS valid FROM ordered",
     "eval_records": f"WITH {RUNS_SQL} SELECT * EXCLUDE (question, model_answer, p_file, p_pages, a_pages) FROM judged",
     "eval_summary": _summary_sql(),
     "analysis_rows": f"""WITH {RUNS_SQL} SELECT question_id::VARCHAR AS question_id, {SQUEEZE.format("question")} AS question, p_file AS gold_source_filename, array_to_string(p_pages, ',') AS gold_pages_prim_ref,

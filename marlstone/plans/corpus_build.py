@@ -222,11 +222,59 @@ SELECT *, CASE WHEN begin_page IS NOT NULL AND mid_page IS NOT NULL AND end_page
   WHEN begin_page IS NOT NULL AND mid_page IS NOT NULL THEN 'check the end' WHEN mid_page IS NOT NULL OR end_page IS NOT NULL THEN 'unstable' ELSE 'poor' END AS verdict FROM found"""
 
 
+# Chunks in SQL: runs of parts are strings with chr(1) between them, a paragraph's end is the part chr(2), and
+# chr(3) begins the runs of a clause that is too long.
+_LAST = "split_part(a, chr(1), -1)"
+_STEP = f"CASE WHEN {_LAST} = '' THEN a || x WHEN length({_LAST}) + 1 + length(x) <= {chunk.SIZE} THEN a || ' ' || x ELSE a || chr(1) || x END"
+_WORDS = (
+    f"list_reduce(list_prepend('', flatten(list_transform(string_split({{}}, ' '), lambda w: list_transform(generate_series(0, greatest(0, (length(w) - 1) // {chunk.SIZE})),"
+    f" lambda i: substr(w, i * {chunk.SIZE} + 1, {chunk.SIZE}))))), lambda a, x: {_STEP})"
+)
+CHUNKS_SQL = rf"""{PAGES_SQL}, paragraphs AS (
+  SELECT doc_id, page_num, list_filter(list_transform(regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n'),
+         lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '') AS paras FROM pages_view
+), sized AS (SELECT *, length(array_to_string(paras, chr(10) || chr(10))) AS size FROM paragraphs
+), split_paras AS (
+  SELECT doc_id, page_num, p, list_filter(string_split(regexp_replace(paras[p], '([.!?…]) ([A-ZА-ЯЁ0-9"«(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS said
+  FROM sized, generate_series(1, len(paras)) AS g(p) WHERE size > {chunk.SIZE}
+), sentences AS (SELECT doc_id, page_num, p, unnest(said) AS s, unnest(generate_series(1, len(said))) AS k FROM split_paras
+), clauses AS (
+  SELECT doc_id, page_num, p, k, CASE WHEN length(s) <= {chunk.SIZE} THEN [s]
+         ELSE list_filter(list_transform(string_split(regexp_replace(s, '([;:,])\s+', '\1' || chr(1), 'g'), chr(1)), lambda c: trim(c)), lambda c: c <> '') END AS parts FROM sentences
+), each_clause AS (SELECT doc_id, page_num, p, k, unnest(parts) AS part, unnest(generate_series(1, len(parts))) AS c FROM clauses
+), worded AS (
+  SELECT doc_id, page_num, p, k, c, CASE WHEN length(part) <= {chunk.SIZE} THEN part ELSE chr(3) || {_WORDS.format("part")} END AS part FROM each_clause
+), fitted AS (
+  SELECT doc_id, page_num, p, k, list_reduce(list_prepend('', list(part ORDER BY c)),
+         lambda a, x: CASE WHEN left(x, 1) = chr(3) THEN CASE WHEN a = '' THEN '' ELSE a || chr(1) END || substr(x, 2) ELSE {_STEP} END) AS runs
+  FROM worded GROUP BY 1, 2, 3, 4
+), para_parts AS (
+  SELECT doc_id, page_num, p, list_append(flatten(list(string_split(runs, chr(1)) ORDER BY k)), chr(2)) AS parts FROM fitted GROUP BY 1, 2, 3
+), packed AS (
+  SELECT doc_id, page_num, list_filter(string_split(list_reduce(list_prepend('', flatten(list(parts ORDER BY p))),
+         lambda a, x: CASE WHEN x = chr(2) THEN CASE WHEN length({_LAST}) >= {int(chunk.FULL_ENOUGH * chunk.SIZE)} THEN a || chr(1) ELSE a END ELSE {_STEP} END), chr(1)), lambda t: t <> '') AS chunks
+  FROM para_parts GROUP BY 1, 2
+), with_tails AS (
+  SELECT doc_id, page_num, CASE WHEN len(chunks) > 1 AND length(chunks[-1]) < {chunk.SHORT_TAIL} AND length(chunks[-2]) + 1 + length(chunks[-1]) <= {int(chunk.TAIL_ROOM * chunk.SIZE)}
+         THEN list_append(list_slice(chunks, 1, len(chunks) - 2), chunks[-2] || ' ' || chunks[-1]) ELSE chunks END AS chunks FROM packed
+  UNION ALL
+  SELECT doc_id, page_num, CASE WHEN size = 0 THEN [] ELSE [array_to_string(paras, chr(10) || chr(10))] END FROM sized WHERE size <= {chunk.SIZE}
+), chunk_rows AS (
+  SELECT doc_id, doc_id AS title, doc_id || '.pdf' AS source_pdf, page_num, page_num AS page_start, page_num AS page_end, i::INTEGER AS chunk_index,
+         printf('%s_p%04d_c%03d', doc_id, page_num, i) AS chunk_id, chunks[i] AS text, length(chunks[i])::INTEGER AS chars
+  FROM with_tails, generate_series(1, len(chunks)) AS g(i)
+)"""
+
+
 def _oracles() -> dict[str, str]:
     from marlstone.plans.retrieval import DENSE_SQL
 
     spaced = r"regexp_replace(strip_accents({}), '\s+', ' ', 'g')"
     return {
+        "chunk_documents": f"WITH {CHUNKS_SQL} SELECT * FROM chunk_rows",
+        "chunk_stats": f"""WITH {CHUNKS_SQL} SELECT count(DISTINCT doc_id) AS total_docs, count(DISTINCT (doc_id, page_num)) AS total_pages_with_text, count(*) AS total_chunks,
+          min(chars) AS chunk_chars_min, max(chars) AS chunk_chars_max, round(avg(chars), 2) AS chunk_chars_avg FROM chunk_rows""",
+        "chunk_stats_by_doc": f"WITH {CHUNKS_SQL} SELECT doc_id, any_value(title) AS title, any_value(source_pdf) AS source_pdf, count(DISTINCT page_num) AS pages_with_text, count(*) AS chunks FROM chunk_rows GROUP BY 1",
         "clean_lines": f"WITH {LINED_SQL} SELECT doc_id, page_num, len(lines)::INTEGER AS n_lines, array_to_string(lines, chr(10)) AS text FROM lined",
         "repeated_header_footer": f"WITH {LINED_SQL}, {REPEATED_SQL} SELECT doc_id, line, kind, top_count, bottom_count FROM repeated WHERE kind IS NOT NULL",
         "cleaned_pages": f"WITH {LINED_SQL}, {REPEATED_SQL}, {CLEANED_SQL} SELECT doc_id, page_num, text, raw_chars, dropped_lines, length(text) AS cleaned_chars FROM cleaned",
