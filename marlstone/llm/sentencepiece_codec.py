@@ -6,7 +6,7 @@ Decoding joins the pieces, turns markers into spaces and drops the first one.
 
 No piece but runs of markers has a marker after its first place, and none has a line break, so the
 best sequence is that of its parts: each space with what follows it, and each line. Parts are kept
-in a bounded cache.
+in a bounded cache; the new ones of many texts run through the Viterbi together, byte by byte.
 
 A vocabulary of the unigram kind brings its log scores. One of the BPE kind has ranks instead; they
 become log scores by the Zipf-Mandelbrot law: -ln(rank + ZIPF_SHIFT), normalised. Nothing is trained.
@@ -40,6 +40,9 @@ UNKNOWN_PENALTY = 10.0
 
 CACHE_PARTS = 600_000
 LONGEST_CACHED = 256
+#: Bytes of parts that run through the Viterbi together, at most, and parts at once.
+LONGEST_TOGETHER = 64
+PARTS_AT_ONCE = 8_192
 
 _NORMAL, _UNKNOWN, _USER, _BYTE, _UNIGRAM = 1, 2, 4, 6, 1
 
@@ -153,6 +156,7 @@ class Codec:
     def __post_init__(self) -> None:
         trie = self.vocabulary.trie
         self._base, self._check, self._value = trie.base.tolist(), trie.check.tolist(), trie.value.tolist()
+        self._scores, self._byte_ids = np.array(self.vocabulary.scores), np.array(self.vocabulary.byte_ids, np.int32)
         self.line_break = np.array([self.vocabulary.byte_ids[10]], "<i4").tobytes()
 
     def best(self, part: bytes) -> bytes:
@@ -192,6 +196,73 @@ class Codec:
             n = start
         return np.array(ids[::-1], "<i4").tobytes()
 
+    def together(self, parts: list[bytes]) -> list[bytes]:
+        """best() of parts of one length: each step of the trie and the Viterbi is made for all of them."""
+        trie, scores, byte_ids = self.vocabulary.trie, self._scores, self._byte_ids
+        n = len(parts[0])
+        data = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), n)
+        reached = np.full((len(parts), n + 1), -np.inf)
+        back, piece = np.zeros((len(parts), n + 1), np.int32), np.full((len(parts), n + 1), -1, np.int32)
+        reached[:, 0] = 0.0
+        widths = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        for i in range(n):
+            heads = np.flatnonzero((data[:, i] & 0xC0) != 0x80)  # where a character begins
+            if not len(heads):
+                continue
+            single = np.zeros(len(parts), bool)
+            rows, node = heads, np.zeros(len(heads), np.int64)
+            for j in range(i, n):
+                child = trie.base[node] + data[rows, j].astype(np.int64)
+                there = trie.check[child] == node
+                rows, node = rows[there], child[there]
+                if not len(rows):
+                    break
+                value = trie.value[node]
+                hit = np.flatnonzero(value >= 0)
+                at, found = rows[hit], value[hit]
+                single[at[widths[at, i] == j + 1 - i]] = True
+                total = reached[at, i] + scores[found]
+                better = total > reached[at, j + 1]
+                at = at[better]
+                reached[at, j + 1], back[at, j + 1], piece[at, j + 1] = total[better], i, found[better]
+            rest = heads[~single[heads]]
+            end = i + widths[rest, i]
+            total = reached[rest, i] + self.vocabulary.unknown
+            better = total > reached[rest, end]
+            rest, end = rest[better], end[better]
+            reached[rest, end], back[rest, end], piece[rest, end] = total[better], i, -1
+        # Each piece's id is put where it begins, those of bytes at the bytes.
+        ids, rows, at = np.full((len(parts), n), -1, "<i4"), np.arange(len(parts)), np.full(len(parts), n)
+        while len(rows):
+            start, found = back[rows, at], piece[rows, at]
+            known = found >= 0
+            ids[rows[known], start[known]] = found[known]
+            for r, a, b in zip(rows[~known].tolist(), start[~known].tolist(), at[~known].tolist(), strict=True):
+                ids[r, a:b] = byte_ids[data[r, a:b]]
+            more = start > 0
+            rows, at = rows[more], start[more]
+        flat = ids[ids >= 0].tobytes()
+        ends = (4 * np.cumsum((ids >= 0).sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Put the words of texts that stand behind a space into the cache, all new ones together."""
+        new: set[bytes] = set()
+        for t in texts:
+            new.update(t.replace(b"\n", b" ").split(b" "))
+        new = {w for w in new.difference(self.marked) if 0 < len(w) <= LONGEST_TOGETHER}
+        if len(self.marked) + len(new) > CACHE_PARTS:
+            self.marked.clear()
+            return self.learn(texts) if len(new) <= CACHE_PARTS // 2 else None
+        by_length: dict[int, list[bytes]] = {}
+        for w in new:
+            by_length.setdefault(len(w), []).append(w)
+        for words in by_length.values():
+            for i in range(0, len(words), PARTS_AT_ONCE):
+                some = words[i : i + PARTS_AT_ONCE]
+                self.marked.update(zip(some, self.together([MARK + w for w in some]), strict=True))
+        return None
+
     def _part(self, cache: dict[bytes, bytes], word: bytes, before: bytes) -> bytes:
         found = cache.get(word)
         if found is None:
@@ -268,6 +339,7 @@ def _coded(docs: DataFrame, model: Vocabulary, decoded: bool) -> DataFrame:
         codec = _codec(shared.value)
         for b in batches:
             for start, texts in chunks(b.column("text"), 4 << 20):
+                codec.learn(texts)
                 coded = [codec.encode(t) for t in texts]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
                 ids = np.frombuffer(b"".join(coded), "<i4")
