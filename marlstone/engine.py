@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.names import source_url
-from marlstone.operators import answer, bm25, chunk, clean, dense, fusion, graph, registry
+from marlstone.operators import answer, bm25, chunk, clean, dense, fusion, graph, models, registry
 from marlstone.scratch import materialize, ship
 
 MODES = (*fusion.MODES, "graph")
@@ -83,10 +83,14 @@ def search(index: Index, queries: DataFrame, mode: str = "hybrid", k: int = 5) -
     return hits.join(index.chunks, "chunk_id")
 
 
-def ask(index: Index, questions: DataFrame, mode: str = "hybrid", k: int = 5, answer_fn: answer.AnswerFn = answer.first_sentences, strict: bool = True, base_url: str | None = None) -> DataFrame:
-    """query_id, answer, sources, retrieved for questions (query_id, query, embedding)."""
+def ask(index: Index, questions: DataFrame, mode: str = "hybrid", k: int = 5, answer_fn: answer.AnswerFn = answer.first_sentences, strict: bool = True, base_url: str | None = None, sign: models.SignFn | None = None) -> DataFrame:
+    """query_id, answer, sources, retrieved for questions (query_id, query, embedding). Links to sources
+    begin with base_url, or are signed by the caller's function."""
     hits = search(index, questions, mode, k)
     have = set(hits.columns)
     bucket, key, source = (F.col(c) if c in have else F.lit(None).cast("string") for c in ("s3_bucket", "s3_key", "source"))
-    linked = materialize(hits.withColumn("url", source_url(base_url, bucket, key, source, F.col("page_start"))), "hits")
+    if sign and {"s3_bucket", "s3_key"} <= have:
+        linked = materialize(models.signed_links(hits, sign), "hits")
+    else:
+        linked = materialize(hits.withColumn("url", source_url(base_url, bucket, key, source, F.col("page_start"))), "hits")
     return answer.envelopes(questions.select("query_id", F.col("query").alias("question")), linked, answer_fn, strict)

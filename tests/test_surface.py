@@ -166,3 +166,25 @@ def test_full_records(spark):
     assert [r.ref_kind for r in one.matched_gold_references] == ["primary", "alternative"]
     assert (one.page_hit, one.all_gold_pages_covered, one.all_gold_pages_covered_any) == (True, False, True)
     assert (rows["2"].status, rows["2"].matched_gold_references) == ("invalid_input", [])
+
+
+def test_signed_links(spark):
+    def sign(bucket, key):
+        if key == "lost":
+            raise OSError("away")
+        return f"https://{bucket}/{key}?signed"
+
+    hits = spark.createDataFrame([(1, "b", "k.pdf", 3), (2, "b", "lost", 1), (3, None, None, 1), (4, "b", "k.pdf", None)], "rank int, s3_bucket string, s3_key string, page_start int")
+    got = {r.rank: r.url for r in models.signed_links(hits, sign).collect()}
+    assert got == {1: "https://b/k.pdf?signed#page=3&zoom=page-fit", 2: "", 3: "", 4: "https://b/k.pdf?signed"}
+
+
+def test_commands_answer_questions(spark):
+    import sys
+
+    code = "import sys, time; q = sys.argv[1]; time.sleep(9 * (q == 'slow')); print('Answer:', q); sys.exit(q == 'bad')"
+    asked = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", "slow"), ("4", " ")], "question_id string, question string")
+    rows = {r.question_id: r for r in models.asked_by_command(asked, [sys.executable, "-c", code], 3.0).collect()}
+    assert [rows[i].status for i in "1234"] == ["ok", "cli_error", "timeout", "invalid_input"]
+    assert (rows["1"].stdout, rows["2"].returncode, rows["3"].duration_sec >= 3) == ("Answer: good\n", 1, True)
+    assert {r.question_id: r.model_answer for r in transcripts.parse(spark.createDataFrame([("1", rows["1"].stdout)], "question_id string, stdout string")).collect()} == {"1": "good"}
