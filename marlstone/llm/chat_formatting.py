@@ -13,6 +13,7 @@
    its calls: one round for a conversation of a single range. Calls that are never placed wait for
    themselves or for such; they are `cyclic` and keep the place of their turn.
 4. Each event is serialised as canonical JSON: keys sorted, no spaces, no escapes but those needed.
+   `conversations` puts them together, in pieces of bounded length.
 
 A conversation is never gathered in one task: events stay rows, ordered by their columns.
 
@@ -40,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.runtime import hinted, materialize, ship
+from marlstone.operators.ranking import ranked
 
 #: The tool of the `turns` protocol.
 REPLY = {"reply": {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}}, "required": ["prompt"], "additionalProperties": False}}
@@ -55,6 +57,8 @@ DIALOGUE = {
 }
 #: Calls of a range of turns that a task peels, about.
 PART_CALLS = 50_000
+#: Events of a piece of a serialised conversation.
+PIECE_EVENTS = 1_000
 
 EVENT = "conv_id long, turn long, sub int, kind string, role string, call_id string, name string, refs array<string>, valid boolean, error string, json string"
 _TYPES = {
@@ -331,12 +335,14 @@ def format_turns(turns: DataFrame, schemas: Mapping[str, Mapping], protocol: str
     )
 
 
-def conversations(formatted: DataFrame) -> DataFrame:
-    """conv_id, json: a conversation's events in order as one canonical JSON array. For tables whose
-    conversations are known to be of moderate length: this gathers each in one place."""
-    row = F.struct("level", "depth", "turn", "sub", "json")
-    listed = formatted.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return listed.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")).alias("json"))
+def conversations(formatted: DataFrame, piece_events: int = PIECE_EVENTS) -> DataFrame:
+    """conv_id, piece, json: a conversation's events in order as canonical JSON arrays of at most
+    piece_events events each, so that no conversation is gathered in one place."""
+    keyed = formatted.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv"), "level", "depth", "turn", "sub", "json")
+    placed = ranked(keyed, ["conv"], ["level", "depth", "turn", "sub", "json"], "nth")
+    piece = F.floor((F.col("nth") - 1) / piece_events).cast("int").alias("piece")
+    listed = placed.groupBy("conv_id", "conv", piece).agg(F.array_sort(F.collect_list(F.struct("nth", "json"))).alias("rows"))
+    return listed.select("conv_id", "piece", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")).alias("json"))
 
 
 #: For the records that tool_records makes of a table without repeated turns, as the tables are. Paths of

@@ -31,6 +31,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def _grams(codes: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[
 
 def _inside(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The place of each symbol in its run."""
-    return np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    return np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(codes))))
 
 
 @dataclass
@@ -140,7 +141,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _kneser_ney(words: list[str], counts: np.ndarray, order: int, symbols: int) -> tuple[list, list]:
     """For each order (hashes, log2 probabilities) and (context hashes, log2 weights) of a language."""
     codes, starts = _symbols(words)
-    weight = np.repeat(counts, np.diff(np.append(starts, len(codes)))).astype(np.float64)
+    weight = np.repeat(counts.astype(np.float32), np.diff(np.append(starts, len(codes))))
     inside = _inside(codes, starts)
     levels = []
     for n, at, value, context, suffix in _grams(codes, starts, order):
@@ -173,14 +174,15 @@ def _kneser_ney(words: list[str], counts: np.ndarray, order: int, symbols: int)
     return grams, contexts
 
 
-def fit(rows: pd.DataFrame, order: int = ORDER) -> Models:
+def fit(rows: pa.Table, order: int = ORDER) -> Models:
     """rows: lang, run, n."""
-    languages = sorted(rows["lang"].unique())
-    symbols = len(set("".join(rows["run"]))) + 2
+    languages = sorted(pc.unique(rows.column("lang")).to_pylist())
+    own = {lang: rows.filter(pc.equal(rows.column("lang"), lang)).sort_by("run") for lang in languages}
+    symbols = len(set().union(*(set("".join(t.column("run").to_pylist())) for t in own.values()))) + 2
     parts = []
     for lang in languages:
-        own = rows[rows["lang"] == lang].sort_values("run")
-        parts.append(_kneser_ney(own["run"].tolist(), own["n"].to_numpy(), order, symbols))
+        t = own.pop(lang)  # one language at a time
+        parts.append(_kneser_ney(t.column("run").to_pylist(), t.column("n").to_numpy(), order, symbols))
 
     def joined(which: int, n: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
         keys = np.unique(np.concatenate([p[which][n][0] for p in parts]))
@@ -260,7 +262,9 @@ def calibrate(models: Models, rows: pd.DataFrame) -> None:
     rows = rows[rows["lang"].isin(models.languages)]  # a language may have no letters
     short = rows.assign(text=[" ".join(t.split()[:EXCERPT_WORDS]) for t in rows["text"]])
     rows = pd.concat([rows, short])
-    entropy, symbols = entropies(models, [t.encode("utf-8", "replace") for t in rows["text"]])
+    texts = pa.array(rows["text"].tolist(), pa.string()).cast(pa.binary())
+    parts = [entropies(models, own) for _, own in chunks(texts, CHUNK_BYTES)] or [entropies(models, [])]
+    entropy, symbols = (np.concatenate(x) for x in zip(*parts, strict=True))
     truth = rows["lang"].map({x: i for i, x in enumerate(models.languages)}).to_numpy()
     use = symbols > 0
     entropy, symbols, truth = entropy[use], symbols[use], truth[use]
@@ -323,12 +327,13 @@ def learn(docs: DataFrame, order: int = ORDER) -> Models | None:
     cut = F.substr(F.col("text"), F.col("place") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text")
     sample = usable.select("*", apart.alias("apart"), rate.alias("rate")).select("doc_id", "lang", "text", "apart", places)
     counted = sample.where("not apart").select("lang", cut).mapInArrow(_count_runs, "lang string, run string, n long")
-    counted = counted.groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()
-    if counted.empty:
+    counted = counted.groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
+    if not counted.num_rows:
         return None
     models = fit(counted, order)
-    models.name = f"{len(counted)}:{counted['n'].sum()}:{abs(hash(tuple(np.round(models.grams[-1][1][:50].ravel(), 6).tolist())))}"
+    models.name = f"{counted.num_rows}:{pc.sum(counted.column('n')).as_py()}:{abs(hash(tuple(np.round(models.grams[-1][1][:50].ravel(), 6).tolist())))}"
     calibrate(models, sample.where("apart").select("doc_id", "place", "lang", cut).toPandas().sort_values(["doc_id", "place", "lang", "text"]))
+    worker_cache("", lambda: None)  # the driver keeps no words
     return models
 
 

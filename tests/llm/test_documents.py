@@ -250,7 +250,7 @@ def test_kneser_ney_sums_to_one():
     import pandas as pd
 
     rows = pd.DataFrame([("x", w, n) for w, n in [("ab", 3), ("abc", 1), ("ca", 2), ("bab", 1)]], columns=["lang", "run", "n"])
-    models = language_id.fit(rows, 3)
+    models = language_id.fit(pa.Table.from_pandas(rows), 3)
     letters = "abc"
     total = sum(2.0 ** models.score([a + b + c + d])[0, 0] for a in letters for b in ["", *letters] for c in ([""] if b == "" else ["", *letters]) for d in ([""] if c == "" else ["", *letters]))
     assert 0.5 < total <= 1.0 + 1e-9
@@ -295,7 +295,7 @@ def test_kneser_ney_like_plain_counts():
     rng = random.Random(12)
     both = {lang: Counter("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(80)) for lang, letters in (("x", "aabbc"), ("y", "abcdd"))}
     rows = pd.DataFrame([(lang, w, n) for lang, c in both.items() for w, n in c.items()], columns=["lang", "run", "n"])
-    models = language_id.fit(rows, 4)
+    models = language_id.fit(pa.Table.from_pandas(rows), 4)
     runs = [*list(both["x"])[:20], *list(both["y"])[:20], "zzz", "a", "ab" * 30]
     got = models.score(runs)
     for i, lang in enumerate(models.languages):

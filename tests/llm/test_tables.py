@@ -156,6 +156,8 @@ def test_tool_calls(spark):
     assert sum(r.conv_id is None for r in rows) == 4
     whole = {r.conv_id: json.loads(r.json) for r in chat.conversations(chat.format_turns(turns, TOOLS)).collect()}
     assert len(whole[1]) == 9
+    parts = {(r.conv_id, r.piece): json.loads(r.json) for r in chat.conversations(chat.format_turns(turns, TOOLS), 4).collect()}
+    assert [x for p in range(3) for x in parts[1, p]] == whole[1] and len(parts[1, 2]) == 1
     assert chat.format_turns(turns.limit(0), TOOLS).count() == 0
 
 
