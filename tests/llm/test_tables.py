@@ -113,6 +113,41 @@ def test_url_plan_is_native(spark):
     assert "html" not in plan
 
 
+SKEWED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@pytest.mark.parametrize("operator", ["urls", "fingerprints"])
+def test_rows_of_a_hot_key_are_split(spark, monkeypatch, operator):
+    """One key holds nine tenths of the rows; Spark splits them in the last join."""
+    from marlstone import scratch
+    from marlstone.llm import simhash_neardup
+
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)
+    before = {k: spark.conf.get(k, None) for k in SKEWED}
+    try:
+        for k, v in SKEWED.items():
+            spark.conf.set(k, v)
+        i = F.col("id")
+        if operator == "urls":
+            pages = spark.range(0, 40_000, 1, 8).select(i.alias("page_id"), F.when(i % 10 > 0, "http://a.com/en/x").otherwise(F.concat(F.lit("http://b"), i, F.lit(".net/de/8"))).alias("url"))
+            got = url_filters.judge(pages)
+            want = Counter({("com/en/", "block"): 36_000, ("net/de/", "block"): 4_000})
+            rows = Counter((r.rule, r.verdict) for r in got.collect())
+        else:
+            docs = spark.range(0, 40_000, 1, 8).select(i.alias("doc_id"), F.when(i % 10 > 0, "the same text here").otherwise(F.md5(i.cast("string"))).alias("text"))
+            got = simhash_neardup.components_of(docs)
+            rows = Counter(r.component_id == 1 for r in got.collect())
+            want = Counter({True: 36_000, False: 4_000})
+        assert rows == want
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 # Chat --------------------------------------------------------------------------------------------
 
 TOOLS = {"find": {"type": "object", "properties": {"q": {"type": "string", "minLength": 1}, "n": {"type": "integer", "minimum": 1}, "after": {"type": "array", "items": {"type": "string"}}}, "required": ["q"], "additionalProperties": False}}
