@@ -147,15 +147,15 @@ def test_simhash_components(odd, empty):
     assert simhash_neardup.components_of(empty).count() == simhash_neardup.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("at_once", [200, 10**9])
-def test_balls_lose_no_link(spark, at_once):
+@pytest.mark.parametrize(("at_once", "most"), [(200, 10**9), (10**9, 10**9), (10**9, 30)])
+def test_balls_lose_no_link(spark, at_once, most):
     rng = random.Random(1)
     seeds = [rng.getrandbits(64) for _ in range(30)]
     prints = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for s in seeds for _ in range(12)} | {0, 2**64 - 1}
     prints = sorted(prints)
     signed = [p - (p >> 63 << 64) for p in prints]
     df = spark.createDataFrame([(s,) for s in signed], "bits long")
-    found = dict(components.components(simhash_neardup.links(df, len(prints), 4, at_once)).collect())
+    found = dict(components.components(simhash_neardup.links(df, len(prints), 4, at_once, most)).collect())
     got, want = defaultdict(set), defaultdict(set)
     for p, s, r in zip(prints, signed, plain_components(prints, 4), strict=True):
         got[found.get(s, s)].add(p)
@@ -163,6 +163,20 @@ def test_balls_lose_no_link(spark, at_once):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("most", [8, 10**6])
+def test_crowded_bands_are_divided(spark, monkeypatch, most):
+    """Copies of one text with a few other words: linked like any, however many a prefix may have."""
+    monkeypatch.setattr(simhash_neardup, "MOST_NODES", most)
+    monkeypatch.setattr(simhash_neardup, "MOST_SUSPECTS", most)
+    rng = random.Random(30)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    base = rng.choices(words, k=150)
+    texts = [" ".join(w if rng.random() > 0.006 else rng.choice(words) for w in base) for _ in range(80)]
+    texts += [" ".join(rng.choices(words, k=60)) for _ in range(80)]
+    kept = {r.doc_id for r in simhash_neardup.dedup(make(spark, enumerate(texts))).collect()}
+    assert kept == set(similar_components(texts))
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i - 1) for i in range(1, 200)] + [(500, 300), (500, 400), (600, 400)], "key long, parent long")
     found = dict(components.components(links).collect())
