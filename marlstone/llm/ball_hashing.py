@@ -47,13 +47,12 @@ def _packed(prefix: np.ndarray, of: np.ndarray, records: np.ndarray, depth: int)
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BALLS.split(", ")])
 
 
-def emitted(points: np.ndarray, records: np.ndarray, width: int, prefix_bits: int, half: int) -> pa.RecordBatch:
-    """points: (bands, n), records: what is sent of each. A prefix has its band above it."""
+def emitted(points: np.ndarray, band: np.ndarray, records: np.ndarray, width: int, prefix_bits: int, half: int) -> pa.RecordBatch:
+    """records: what is sent of each point. A prefix has its band above it."""
     masks = ball(prefix_bits, half)[:, 0]
-    band = np.arange(len(points), dtype=np.uint64)[:, None] << np.uint64(prefix_bits)
-    tops = (points >> np.uint64(width - prefix_bits)) | band
-    prefix = (tops.ravel()[:, None] ^ masks).ravel()
-    return _packed(prefix, np.repeat(np.arange(points.size), len(masks)), records.ravel(), prefix_bits)
+    tops = (points >> np.uint64(width - prefix_bits)) | (band.astype(np.uint64) << np.uint64(prefix_bits))
+    prefix = (tops[:, None] ^ masks).ravel()
+    return _packed(prefix, np.repeat(np.arange(len(points)), len(masks)), records, prefix_bits)
 
 
 def _deeper(depth: int, step: int, width: int, half: int, kind: np.dtype, point: Callable):

@@ -225,7 +225,7 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, at_once: int =
         for b in batches:
             prints = b.column("bits").to_numpy().view(np.uint64)
             if len(prints):
-                yield emitted(prints[None, :], prints.view(_PRINT), BITS, prefix_bits, half)
+                yield emitted(prints, np.zeros(len(prints), np.uint64), prints.view(_PRINT), BITS, prefix_bits, half)
 
     def ask(rows: pa.Table) -> pa.Table:
         depth, prefix, records = group_of(rows, _PRINT)
@@ -255,17 +255,20 @@ def _signs(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _dealt_bands(nodes: DataFrame, each: int, most: int, kind: np.dtype, records_of: Callable, point: Callable) -> DataFrame:
+    """The groups of a ball hashing of nodes (signature, bands: a bit for each band that takes part)."""
     prefix_bits, half = min(BAND_BITS, prefix_bits_for(nodes.count(), each)), BAND_RADIUS // 2
     step = max(1, DEAL_BYTES // (kind.itemsize * BANDS * (prefix_bits + 1)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, step):
-                signs = _signs(b.slice(start, step))
-                bands = _bands(signs)
-                yield emitted(bands.astype(np.uint64), records_of(signs, bands), BAND_BITS, prefix_bits, half)
+                part = b.slice(start, step)
+                signs = _signs(part)
+                band, node = np.nonzero((part.column("bands").to_numpy() >> np.arange(BANDS)[:, None]) & 1)
+                points = _bands(signs)[band, node]
+                yield emitted(points.astype(np.uint64), band, records_of(signs[node], points), BAND_BITS, prefix_bits, half)
 
-    return dealt(nodes.select("signature").mapInArrow(emit, BALLS), BAND_BITS, prefix_bits, half, most, kind, point).groupBy("depth", "prefix", "chunk")
+    return dealt(nodes.select("signature", "bands").mapInArrow(emit, BALLS), BAND_BITS, prefix_bits, half, most, kind, point).groupBy("depth", "prefix", "chunk")
 
 
 def _band_group(rows: pa.Table, kind: np.dtype) -> tuple[int, int, int, np.ndarray]:
@@ -275,15 +278,16 @@ def _band_group(rows: pa.Table, kind: np.dtype) -> tuple[int, int, int, np.ndarr
 
 
 def suspects(nodes: DataFrame) -> DataFrame:
-    """bits of nodes (bits, signature) that meet in some band and whose first 64 bits are near."""
+    """bits of nodes (bits, signature) that meet in some band and whose first 64 bits are near, and the
+    bands in which they do."""
 
-    def records_of(signs: np.ndarray, bands: np.ndarray) -> np.ndarray:
-        out = np.empty(bands.shape, _NODE)
-        out["key"], out["point"] = signs[:, 0].view(np.int64), bands
+    def records_of(signs: np.ndarray, points: np.ndarray) -> np.ndarray:
+        out = np.empty(len(points), _NODE)
+        out["key"], out["point"] = signs[:, 0].view(np.int64), points
         return out
 
     def ask(rows: pa.Table) -> pa.Table:
-        depth, _, prefix, records = _band_group(rows, _NODE)
+        depth, band, prefix, records = _band_group(rows, _NODE)
         keys = records["key"].view(np.uint64) if len(records) else np.zeros(0, np.uint64)
         variant, at = meetings(records["point"].astype(np.uint64), prefix, depth, BAND_BITS, BAND_RADIUS // 2)
         found = np.zeros(len(keys), bool)
@@ -299,10 +303,13 @@ def suspects(nodes: DataFrame) -> DataFrame:
         else:  # variants that more share: all of them
             crowded = np.isin(variant, variant[left])
             found[at[crowded]] = True
-        return pa.table({"bits": pa.array(np.unique(keys[found]).view(np.int64), pa.int64())})
+        near = np.unique(keys[found]).view(np.int64)
+        return pa.table({"bits": pa.array(near, pa.int64()), "band": pa.array(np.full(len(near), band), pa.int64())})
 
+    nodes = nodes.withColumn("bands", F.lit((1 << BANDS) - 1))
     groups = _dealt_bands(nodes, BAND_NODES, MOST_NODES, _NODE, records_of, lambda records, band: records["point"].astype(np.uint64))
-    return groups.applyInArrow(ask, "bits long").distinct()
+    found = groups.applyInArrow(ask, "bits long, band long").select("bits", F.expr("shiftleft(1L, cast(band as int))").alias("bands"))
+    return found.groupBy("bits").agg(F.bit_or("bands").alias("bands"))
 
 
 def _near_pairs(words: np.ndarray, points: np.ndarray, variant: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,10 +341,11 @@ def _near_pairs(words: np.ndarray, points: np.ndarray, variant: np.ndarray, at:
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """key, parent, apart: a forest for each group of suspects that meet, of all links up to FAR."""
+    """key, parent, apart: a forest for each group of suspects (signature, bands) that meet, of all
+    links up to FAR."""
 
-    def records_of(signs: np.ndarray, bands: np.ndarray) -> np.ndarray:
-        return np.broadcast_to(np.ascontiguousarray(signs).view(_SUSPECT).ravel(), bands.shape)
+    def records_of(signs: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(signs).view(_SUSPECT).ravel()
 
     def point(records: np.ndarray, band: int) -> np.ndarray:
         return _bands(records["words"])[band].astype(np.uint64)
@@ -378,7 +386,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """key, parent: links between nodes (bits, signature) of similar texts (bits, text)."""
     few = materialize(suspects(nodes), "suspects")
-    found = near_links(materialize(nodes.join(hinted(few, 48), "bits", "left_semi").select("signature"), "signatures"))
+    found = near_links(materialize(nodes.join(hinted(few, 64), "bits").select("signature", "bands"), "signatures"))
     found = materialize(found.groupBy("key", "parent").agg(F.min("apart").alias("apart")), "found")
     sure, doubtful = found.where(F.col("apart") <= SURE), found.where(F.col("apart") > SURE)
     return sure.select("key", "parent").unionByName(verified(doubtful.select("key", "parent"), texts))
