@@ -71,7 +71,8 @@ def tidy_punctuation(c: Column) -> Column:
 
 
 def ir_tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(IR_TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
+    """Tokens of two characters at least."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(IR_TOKEN[:-1] + "{2,}"), F.lit(0))
 
 
 def match_text(c: Column) -> Column:

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from marlstone.scratch import materialize
 
 
+ROWS_OF_A_TASK = 500_000
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """df with its 1-based rank within keys by order. Groups are ranked in ranges, whose sizes give
-    each range its offset, so no task needs a whole group. Pass narrow rows: they are written."""
+    each range its offset, so no task needs a whole group. Pass narrow rows: they are counted and written.
+    So few rows that one task could hold them all need no ranges."""
+    if df.count() <= ROWS_OF_A_TASK:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("int"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     placed = materialize(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = placed.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_size"))

@@ -37,6 +37,13 @@ def hinted(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table's rows over as many partitions as tasks run at once, if it is so small that its scan has
+    fewer; others are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only in a local session that has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

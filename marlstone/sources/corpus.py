@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.ranking import ranked
-from marlstone.scratch import hinted, materialize
+from marlstone.scratch import hinted, materialize, spread
 from marlstone.sources.tables import table
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title, source_pdf, page_num, chunk_id, text, row_id of every document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("text"), "source")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("text"), "source"))
     # Only sources and ids are shuffled to be numbered; texts meet the numbers in a join that is a
     # broadcast as long as the numbers' counted size allows it.
-    numbers = hinted(materialize(ranked(docs.select("source", "row_id"), ["source"], ["row_id"], "page_num"), "numbers"), 64)
+    ids = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("row_id"))
+    numbers = hinted(materialize(ranked(ids, ["source"], ["row_id"], "page_num"), "numbers"), 64)
     return docs.join(numbers, ["source", "row_id"]).select(
         F.col("source").alias("doc_id"),
         F.col("source").alias("title"),

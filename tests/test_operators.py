@@ -68,7 +68,9 @@ def test_point_id(spark):
     assert spark.range(1).select(names.point_id(F.lit("f.pdf"), F.lit("c1")).alias("p")).first().p == want
 
 
-def test_ranks_in_large_groups(spark):
+@pytest.mark.parametrize("of_a_task", [0, 10**6])
+def test_ranks_in_large_groups(spark, monkeypatch, of_a_task):
+    monkeypatch.setattr("marlstone.operators.ranking.ROWS_OF_A_TASK", of_a_task)
     rows = [("a", i) for i in range(500)] + [("b", i) for i in range(0, 30, 3)] + [(None, 1), (None, 0)]
     random.Random(0).shuffle(rows)
     got = {(r.k, r.v): r.n for r in ranked(spark.createDataFrame(rows, "k string, v int").where("k is not null"), ["k"], ["v"], "n").collect()}
@@ -339,7 +341,7 @@ def test_transcripts(spark):
 def test_messages():
     from marlstone.operators.transcripts import cut_message
 
-    assert cut_message("short\n") == ["short"]
+    assert cut_message("short\n") == ["short\n"]  # a text that fits stays as it is
     assert cut_message("") == []
     assert cut_message("aaa\nbbb\nccc ddd", 8) == ["aaa\nbbb", "ccc ddd"]
     assert cut_message("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
