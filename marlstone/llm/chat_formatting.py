@@ -339,7 +339,7 @@ def conversations(formatted: DataFrame, piece_events: int = PIECE_EVENTS) -> Dat
     """conv_id, piece, json: a conversation's events in order as canonical JSON arrays of at most
     piece_events events each, so that no conversation is gathered in one place."""
     keyed = formatted.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv"), "level", "depth", "turn", "sub", "json")
-    placed = ranked(keyed, ["conv"], ["level", "depth", "turn", "sub", "json"], "nth")
+    placed = ranked(materialize(keyed, "events"), ["conv"], ["level", "depth", "turn", "sub", "json"], "nth")
     piece = F.floor((F.col("nth") - 1) / piece_events).cast("int").alias("piece")
     listed = placed.groupBy("conv_id", "conv", piece).agg(F.array_sort(F.collect_list(F.struct("nth", "json"))).alias("rows"))
     return listed.select("conv_id", "piece", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")).alias("json"))
