@@ -49,6 +49,8 @@ TILE_ROWS = 128
 LEADING_TILES = 2
 #: Bytes of a block of queries, as doubles, and scores that a task holds at once.
 BLOCK_BYTES = 16 << 20
+#: Bytes of vectors, as doubles, that are put into tiles together.
+TILED_BYTES = 64 << 20
 SCORES_AT_ONCE = 1 << 21
 _LARGEST = (1 << 63) - 1
 
@@ -92,13 +94,21 @@ def list_cuts(dims: int, lists: int) -> list[np.ndarray]:
 TILE = "dims int, ids binary, places binary, queries binary, vectors binary, kind string, centre binary, radii binary"
 
 
+def _slices(b: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about TILED_BYTES each, but for the rows of a tile at least."""
+    size = 8 * len(b.column("embedding").flatten())
+    step = max(least, b.num_rows * TILED_BYTES // max(1, size), 1)
+    for start in range(0, b.num_rows, step):
+        yield b.slice(start, step)
+
+
 def tiles(vectors: DataFrame, is_query: Column, lists: int = LISTS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """A row for each tile of vectors (vec_id, embedding): ids, places and whether each is a query;
     vectors in the smallest kind of whole numbers that holds them; the centre, and a radius by list."""
     ship(vectors.sparkSession)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole, tile_rows)):
             named = b.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
             ids, places = pc.fill_null(b.column("vec_id"), 0).to_numpy(), b.column("place").to_numpy()
             asks = pc.fill_null(b.column("asks"), False).to_numpy(zero_copy_only=False)
