@@ -609,9 +609,11 @@ def test_suffix_tree_scores(spark, monkeypatch, frequent, share, common, owner):
     monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", share)
     monkeypatch.setattr(suffix_tree_lm, "COMMON_WORDS", common)
     monkeypatch.setattr(suffix_tree_lm, "SENT_AT_ONCE", 97)
+    monkeypatch.setattr(suffix_tree_lm, "MANY_COPIES", 3 if owner < 10**6 else 100)
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["p m q", "r m s", "t p", "q", "R m s T"]) for _ in range(rng.randint(0, 14)))) for i in range(40)]
     rows += [(i, " ".join(rng.choices("uvwxyz", k=20))) for i in range(40, 60)] + [(60, None), (61, ""), (62, rows[3][1] + " rare"), (63, rows[3][1]), (None, "p m q")]
+    rows += [(70 + i, rows[5][1]) for i in range(9)]
 
     def held(i):
         return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
