@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from marlstone.scratch import drop, hinted, materialize, release, ship
 
-__all__ = ["chunks", "drop", "hinted", "materialize", "partitions", "release", "ship", "worker_cache"]
+__all__ = ["chunks", "drop", "give_back", "hinted", "materialize", "partitions", "release", "ship", "worker_cache"]
 
 _cache: tuple[str, Any] = ("", None)
 
@@ -21,10 +24,19 @@ def worker_cache(key: str, make: Callable[[], Any]) -> Any:
     global _cache
     if _cache[0] != key:
         _cache = ("", None)
+        give_back()
         _cache = (key, make())
     return _cache[1]
 
 
+def give_back() -> None:
+    """Return what is no longer used to the system, or a worker keeps what its largest stage took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
