@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.ball_hashing import BALLS, DEAL_BYTES, ball, dealt, emitted, forest, group_of, meetings, roots
 from marlstone.llm.components import components
-from marlstone.llm.runtime import chunks, hinted, materialize, ship
+from marlstone.llm.runtime import chunks, hinted, materialize, ship, worker_cache
 
 BITS = 64
 WORDS = 4
@@ -141,6 +141,7 @@ def _with(docs: DataFrame, made: Callable[[list[bytes]], list[pa.Array]], names:
     new = [x.split()[0] for x in names.split(", ")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("", lambda: None)  # nothing that another operator has left
         for b in batches:
             for start, texts in chunks(b.column(place).cast(pa.binary()), 2 << 20):
                 yield pa.RecordBatch.from_arrays([*b.slice(start, len(texts)).columns, *made(texts)], [*columns, *new])
