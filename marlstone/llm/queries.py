@@ -13,10 +13,12 @@ from marlstone.llm import (
     chat_formatting,
     exact_dedup,
     exact_topk,
+    jaccard_join,
     language_id,
     quality_classifier,
     sentencepiece_codec,
     simhash_neardup,
+    spelling_variants,
     suffix_tree_lm,
     url_filters,
 )
@@ -78,6 +80,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), spoil=True)
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -89,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_jaccard_join": op12_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -96,4 +108,6 @@ ORACLES: dict[str, str] = {
     "op1_exact_topk": exact_topk.ORACLE_SQL,
     "op7_url_filters": url_filters.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_spelling_variants": spelling_variants.ORACLE_SQL,
+    "op12_jaccard_join": jaccard_join.ORACLE_SQL,
 }
