@@ -124,8 +124,8 @@ def node_of(hashes: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def described(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n, node, second, texted for every row: the size of its set, two hashes of it (null for
-    an empty set) and one of its text."""
+    """doc_id, n, node, second, bits, texted for every row: the size of its set, two hashes and the bitmap
+    of it (null for an empty set), and a hash of its text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +139,14 @@ def described(docs: DataFrame, seed: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x[0] for x in names], pa.int64()),
                         pa.array([x[1] for x in names], pa.int64()),
+                        pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                         b.column("texted").slice(start, len(texts)),
                     ],
-                    ["doc_id", "n", "node", "second", "texted"],
+                    ["doc_id", "n", "node", "second", "bits", "texted"],
                 )
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("texted"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, node long, second long, texted long")
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, node long, second long, bits binary, texted long")
 
 
 def bucket_count(shingles: int) -> int:
@@ -203,27 +204,20 @@ def emitted(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
 
 
 def arrays(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """node, n, bits, hashes of the wanted nodes: read again from one text of each."""
-    texts = rows.join(hinted(wanted, 24), "node").groupBy("node").agg(F.min("texted").alias("texted")).select("texted").distinct()
+    """node, hashes of the wanted nodes (node): read again from one text of each."""
+    wanted = hinted(materialize(wanted, "wanted"), 24)
+    texts = rows.join(wanted, "node").groupBy("node").agg(F.min("texted").alias("texted")).select("texted").distinct()
     texts = hinted(materialize(texts, "texted"), 24)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, held in chunks(b.column("text")):
                 found = {node_of(s, seed)[0]: s for s in map(shingle_set, held) if len(s)}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(list(found), pa.int64()),
-                        pa.array([len(s) for s in found.values()], pa.int64()),
-                        pa.array([bitmap(s) for s in found.values()], pa.binary()),
-                        pa.array([s.tobytes() for s in found.values()], pa.binary()),
-                    ],
-                    ["node", "n", "bits", "hashes"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "hashes"])
 
     read = docs.select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("texted")).join(texts, "texted")
-    found = read.select("text").mapInArrow(run, "node long, n long, bits binary, hashes binary")
-    return found.dropDuplicates(["node"])
+    found = read.select("text").mapInArrow(run, "node long, hashes binary")
+    return materialize(found.dropDuplicates(["node"]), "arrays")
 
 
 # Pairs -------------------------------------------------------------------------------------------
@@ -254,16 +248,20 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("parent")], ["key", "parent"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (key, parent) of nodes that are similar: by their bitmaps, then by their arrays."""
+def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of pairs (key, parent) of nodes that their bitmaps (node, n, bits) admit."""
+    return _both(pairs, bits, ["n", "bits"]).mapInArrow(_bound, "key long, parent long")
 
-    def both(pairs: DataFrame, what: list[str]) -> DataFrame:
-        one = sets.select(F.col("node").alias("key"), *what)
-        two = sets.select(F.col("node").alias("parent"), *[F.col(c).alias(f"{c}2") for c in what])
-        return pairs.join(one, "key").join(two, "parent").select("key", "parent", *what, *[f"{c}2" for c in what])
 
-    few = materialize(both(pairs, ["n", "bits"]).mapInArrow(_bound, "key long, parent long"), "bounded")
-    return both(few, ["hashes"]).mapInArrow(_intersect, "key long, parent long")
+def intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (key, parent) of nodes whose sets (node, hashes) are similar."""
+    return _both(pairs, sets, ["hashes"]).mapInArrow(_intersect, "key long, parent long")
+
+
+def _both(pairs: DataFrame, held: DataFrame, what: list[str]) -> DataFrame:
+    one = held.select(F.col("node").alias("key"), *what)
+    two = held.select(F.col("node").alias("parent"), *[F.col(c).alias(f"{c}2") for c in what])
+    return pairs.join(one, "key").join(two, "parent").select("key", "parent", *what, *[f"{c}2" for c in what])
 
 
 def relabelled(keys: DataFrame, links: DataFrame) -> DataFrame:
@@ -357,19 +355,24 @@ def _linked(tile: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(a, pa.int64()), "parent": pa.array(b, pa.int64())})
 
 
-def tile_links(keys: DataFrame, sets: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
-    """key, parent: links between nodes of different components that share a key."""
+def needed_rows(keys: DataFrame, bits: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
+    """The rows of tiles that have a possible partner, of tiles that need the same nodes in the same way
+    only one."""
     rows = tiled(keys, most_nodes)
+    with_bits = rows.join(bits.select("node", "bits"), "node").select(*TILE, "node", "n", "comp", "home", "part", "bits")
     shape = "key long, band int, one int, two int, node long, n long, comp long, home boolean, part int"
-    with_bits = rows.join(sets.select("node", "bits"), "node").select(*TILE, "node", "n", "comp", "home", "part", "bits")
     needed = materialize(with_bits.groupBy(*TILE).applyInArrow(_needed, shape), "needed")
-    # Tiles that need the same nodes in the same way are one.
     marks = [F.bit_xor(F.xxhash64("node", "home", "part", F.lit(i))).alias(f"mark{i}") for i in range(2)]
     same = F.col("one") == F.col("two")
     groups = needed.groupBy(*TILE).agg(F.count(F.lit(1)).alias("nodes"), *marks)
     kept = groups.groupBy("band", same.alias("same"), "nodes", "mark0", "mark1").agg(F.min(F.struct("key", "one", "two")).alias("t"))
     kept = hinted(materialize(kept.select("t.key", "band", "t.one", "t.two"), "kept"), 64)
-    full = needed.join(kept, TILE).join(sets.select("node", "bits", "hashes"), "node")
+    return materialize(needed.join(kept, TILE), "needed")
+
+
+def tile_links(needed: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, parent: links between nodes of different components in one tile."""
+    full = needed.join(bits.select("node", "bits"), "node").join(sets, "node")
     return full.select(*TILE, "node", "n", "comp", "home", "part", "bits", "hashes").groupBy(*TILE).applyInArrow(_linked, "key long, parent long")
 
 
@@ -382,14 +385,17 @@ def similar_nodes(docs: DataFrame, rows: DataFrame, shingles: int, seed: int, mo
     shared = hinted(materialize(shared, "shared"), 24)
     keys = materialize(prefixes.join(shared, "key", "left_semi").distinct().withColumn("comp", F.col("node")), "keys")
     drop(prefixes)
-    sets = materialize(arrays(docs, rows, materialize(keys.select("node").distinct(), "wanted"), seed), "arrays")
+    bits = rows.join(hinted(materialize(keys.select("node").distinct(), "wanted"), 24), "node")
+    bits = materialize(bits.select("node", "n", "bits").dropDuplicates(["node"]), "bitmaps")
     links = None
     for turn in range(rounds):
         pairs = materialize(led(keys, turn), "led")
         asked = pairs.count()
         if not asked:
             break
-        found = materialize(verified(pairs, sets), "links")
+        few = materialize(bounded(pairs, bits), "bounded")
+        ends = few.select(F.explode(F.array("key", "parent")).alias("node")).distinct()
+        found = materialize(intersected(few, arrays(docs, rows, ends, seed)), "links")
         links = links.unionByName(found) if links is not None else found
         linked = found.count()
         smaller = relabelled(keys.drop("comp"), links)
@@ -398,7 +404,9 @@ def similar_nodes(docs: DataFrame, rows: DataFrame, shingles: int, seed: int, mo
         if linked < WORTHWHILE * asked:
             break
     if keys.limit(1).count():
-        found = materialize(tile_links(keys, sets, most_nodes), "links")
+        needed = needed_rows(keys, bits, most_nodes)
+        sets = arrays(docs, rows, needed.select("node").distinct(), seed)
+        found = materialize(tile_links(needed, bits, sets), "links")
         links = links.unionByName(found) if links is not None else found
     return links if links is not None else keys.select("key", F.col("node").alias("parent"))
 
