@@ -11,13 +11,13 @@ more: size-banded tiles, bitmap signatures, exact intersection.
    near copies costs a comparison for each node, not for each pair.
 4. What is left goes into tiles: a key's nodes of a band of sizes, and of the band below, as sizes of
    similar sets differ by a quarter at most. A key with more nodes than a tile holds is cut into parts,
-   each pair of which is a tile. Keys with the same nodes share their tiles.
+   each pair of which is a tile. Two nodes are compared at the first key that they share.
 5. In a tile, sets are bitmaps as wide as their band's sizes. Bits that two bitmaps don't share bound the
    overlap from above; nodes with a partner that this bound admits, in another component, get their
    arrays, and a second pass intersects these exactly and returns a forest of links.
 
 Nodes are told apart by 64-bit hashes of whole sets, and a second hash is compared with the first: if two
-different sets had one, all is done again with another seed. Shingles are their XXH64.
+different sets had one, all is done again with another seed. Shingles are 64-bit hashes of their words'.
 
 Defined results: A-Z alone are lower-cased. A null text, or one without words, has an empty set, is linked
 with nothing and names its own component. Fewer words than a shingle: their whole sequence is the only
@@ -29,45 +29,58 @@ columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.runtime import chunks, drop, hinted, materialize, ship
+from marlstone.llm.runtime import chunks, drop, hinted, materialize, partitions, ship
 from marlstone.scratch import spread
 
 WORDS, THRESHOLD = 5, 80
+#: Previous keys of a node that a tile knows.
+KNOWN_KEYS = 16
 SEED = 42
-#: Shingles for each bucket of the frequency table on average, and the number of buckets.
-PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 128, 1 << 12, 1 << 24
-#: A bucket is frequent beyond so many times the mean, and this number.
-FREQUENT, LEAST_FREQUENT = 4, 64
+#: Shingles for each bucket of the frequency table on average, the number of buckets, and those of a slice.
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS, SLICE = 16, 1 << 12, 1 << 24, 1 << 16
+#: Steps of a frequency's logarithm: 255 stand for more texts than there are.
+LEVELS = 4
 #: Times that leaders are drawn before tiles are made, at most: while so large a part of their pairs is linked.
 LEADER_ROUNDS, WORTHWHILE = 3, 0.1
 #: Sizes of a band differ by less than this factor, a little above 1 / THRESHOLD.
 BAND = 1.26
 #: Bytes of the arrays of a part of a tile, and nodes in it at most.
 PART_BYTES, MOST_NODES = 8 << 20, 1024
+#: Words of bitmaps that are compared at once.
+BLOCK_WORDS = 1 << 20
 
 
-def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
-    from xxhash import xxh64_digest
+#: Odd factors, by place in a shingle, of its words' hashes.
+_FACTORS = np.random.default_rng(12).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles: sums of its words' XXH64, each by the factor of
+    its place, so that shingles that differ in one word never have one hash."""
+    from xxhash import xxh64_intdigest
 
     split = text.lower().split()
     if not split:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(split)
-    if len(split) <= words:
-        return np.frombuffer(xxh64_digest(joined, SEED), ">u8").astype(np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
-    starts = [0, *(ends[:-words] + 1).tolist()]
-    digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
+    hashes = np.fromiter(map(xxh64_intdigest, split), np.uint64, len(split))
+    most = max(1, len(split) - WORDS + 1)
+    total = np.zeros(most, np.uint64)
+    for i in range(min(WORDS, len(split))):
+        total += hashes[i : i + most] * _FACTORS[i]
+    total ^= total >> np.uint64(32)  # so that all bits depend on all words
+    total *= _FACTORS[0]
+    total ^= total >> np.uint64(29)
+    return np.unique(total)
 
 
 def prefix_size(n: int) -> int:
@@ -153,32 +166,41 @@ def bucket_count(shingles: int) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1, shingles / PER_BUCKET)))))
 
 
-def frequent_levels(docs: DataFrame, buckets: int, shingles: int) -> np.ndarray:
-    """For each bucket of shingles the logarithm of its texts if it is frequent, else zero: at most
-    MOST_BUCKETS bytes, of which a quarter at most come to the driver as rows."""
+def frequency_levels(docs: DataFrame, buckets: int) -> np.ndarray:
+    """For each bucket of shingles a logarithm of its texts. Tasks send counts by slices of the table, which
+    others add up as they come; a byte for each bucket comes to the driver, MOST_BUCKETS at most."""
+    slices = max(1, buckets // SLICE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(buckets, np.int64)
+        held = np.zeros(buckets, np.uint32)
         for b in batches:
             for _, texts in chunks(b.column("text")):
-                found = [shingle_set(t) & np.uint64(buckets - 1) for t in texts]
-                at, times = np.unique(np.concatenate(found), return_counts=True)
-                held[at] += times
-        some = np.flatnonzero(held)
-        for i in range(0, len(some), 1 << 16):
-            at = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["bucket", "times"])
-
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "bucket int, times long")
-    least = max(LEAST_FREQUENT, FREQUENT * shingles // buckets)
-    heavy = counted.groupBy("bucket").agg(F.sum("times").alias("times")).where(F.col("times") > least).toPandas()
-    levels = np.zeros(buckets, np.uint8)
-    levels[heavy["bucket"].to_numpy(np.int64)] = np.log2(heavy["times"].to_numpy(np.float64)).astype(np.uint8)
-    return levels
+                found = np.concatenate([shingle_set(t) & np.uint64(buckets - 1) for t in texts])
+                np.add.at(held, found, 1)
+        for i, x in enumerate(held.reshape(slices, -1)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column("slice").to_pylist(), b.column("counts"), strict=True):
+                counts = np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64)
+                held[i] = held[i] + counts if i in held else counts
+        for i, x in held.items():
+            levels = (LEVELS * np.log2(1 + x)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+
+    shape = "slice int, counts binary"
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, shape)
+    out = np.zeros((slices, buckets // slices), np.uint8)
+    for row in counted.repartition(min(slices, partitions(docs.sparkSession)), "slice").mapInArrow(add, shape).toLocalIterator():
+        out[row.slice] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
+    return out.ravel()
 
 
 def emitted(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
-    """key, node, n: the prefix of every text's set in the common order."""
+    """key, node, n, at: the prefix of every text's set, placed in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +220,10 @@ def emitted(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
                 if keys:
                     times = [len(k) for k in keys]
                     columns = [np.concatenate(keys), np.repeat(np.array(nodes, np.int64), times), np.repeat(np.array(sizes, np.int64), times)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n"])
+                    columns.append(np.concatenate([np.arange(x, dtype=np.int32) for x in times]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, n long")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, n long, at int")
 
 
 def arrays(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
@@ -265,10 +288,10 @@ def _both(pairs: DataFrame, held: DataFrame, what: list[str]) -> DataFrame:
 
 
 def relabelled(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """keys (key, node, n) of which the nodes are not all of one component, with comp."""
+    """keys (key, node, n, at) of which the nodes are not all of one component, with comp."""
     comps = hinted(materialize(components(links), "comps"), 48)
     named = keys.join(comps.select(F.col("key").alias("node"), "root"), "node", "left")
-    named = named.select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
+    named = named.select("key", "node", "n", "at", F.coalesce("root", "node").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return materialize(named.join(open_keys, "key", "left_semi"), "keys")
 
@@ -286,99 +309,108 @@ def led(keys: DataFrame, turn: int) -> DataFrame:
 TILE = ["key", "band", "one", "two"]
 
 
-def part_nodes(band: int) -> int:
-    """Nodes in a part of a tile of a band."""
-    return int(max(16, min(MOST_NODES, PART_BYTES // (8 * BAND ** (band + 1)))))
-
-
 def tiled(keys: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
-    """TILE, node, n, comp, home, part: the rows of every tile. keys: key, node, n, comp."""
-    # The same steps as band_of, whose bands a bitmap's width rests on.
+    """TILE, node, n, comp, home, part, known: the rows of every tile. keys: key, node, n, at, comp.
+
+    known are the node's keys before this one. Two nodes that both know a key have met there (or before:
+    at the first key that they share they know none in common), and needn't meet again."""
+    before = W.partitionBy("node").orderBy("at").rowsBetween(-KNOWN_KEYS, -1)
+    keys = keys.withColumn("known", F.collect_list("key").over(before))
     band = F.floor(F.ln("n") / F.lit(math.log(BAND))).cast("int")
     places = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
-    rows = keys.withColumn("p", places).select("key", "p.band", "node", "n", "comp", "p.home")
-    marks = [F.bit_xor(F.xxhash64("node", "home", F.lit(i))).alias(f"mark{i}") for i in range(2)]
-    groups = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *marks)
-    groups = groups.where((F.col("homes") > 0) & (F.col("lo") < F.col("hi")))
-    # Keys with the same nodes are one.
-    groups = groups.groupBy("band", "nodes", "mark0", "mark1").agg(F.min("key").alias("key"))
+    rows = keys.withColumn("p", places).select("key", "p.band", "node", "n", "comp", "p.home", "known")
+    last = F.try_element_at("known", F.lit(-1))
+    groups = rows.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if("home").alias("homes"),
+        F.min("comp").alias("lo"),
+        F.max("comp").alias("hi"),
+        F.count(last).alias("later"),
+        F.min(last).alias("last_lo"),
+        F.max(last).alias("last_hi"),
+    )
+    met = (F.col("later") == F.col("nodes")) & (F.col("last_lo") == F.col("last_hi"))  # all have met at one key before
+    groups = groups.where((F.col("homes") > 0) & (F.col("lo") < F.col("hi")) & ~F.coalesce(met, F.lit(False)))
     most = F.greatest(F.lit(16), F.least(F.lit(most_nodes), F.floor(F.lit(PART_BYTES) / (8 * F.pow(F.lit(BAND), F.col("band") + 1))).cast("int")))
     groups = materialize(groups.select("key", "band", F.ceil(F.col("nodes") / most).cast("int").alias("parts")), "groups")
     part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
     dealt = rows.join(hinted(groups, 48), ["key", "band"]).withColumn("part", part)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = dealt.select("key", "band", "node", "n", "comp", "home", "part", other)
-    return dealt.select("key", "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "n", "comp", "home", "part")
-
-
-def _partners(tile: pa.Table, bits: np.ndarray, i: int, comp: np.ndarray) -> np.ndarray:
-    """Rows after the i-th that may be similar to it, by sizes and bitmaps, and are of another component."""
-    n, home, part = (np.asarray(tile.column(c)) for c in ("n", "home", "part"))
-    rest = slice(i + 1, None)
-    total = n[i] + n[rest]
-    fit = (comp[rest] != comp[i]) & (home[i] | home[rest]) & (np.minimum(n[i], n[rest]) * 100 >= np.maximum(n[i], n[rest]) * THRESHOLD)
-    if tile.column("one")[0].as_py() != tile.column("two")[0].as_py():
-        fit &= part[rest] != part[i]  # pairs of one part have a tile of their own
-    at = np.flatnonzero(fit)
-    apart = bits_apart(bits[i + 1 + at], bits[i])
-    return i + 1 + at[(total[at] - apart) // 2 >= least_shared(total[at])]
+    dealt = dealt.select("key", "band", "node", "n", "comp", "home", "part", "known", other)
+    return dealt.select("key", "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "n", "comp", "home", "part", "known")
+
+
+def _partners(tile: pa.Table) -> Iterator[tuple[int, list[int]]]:
+    """Rows of a tile with those after them that may be similar by sizes and bitmaps, are of another
+    component and haven't met before. Blocks of rows are compared with all at once."""
+    bits = _bitmaps(tile)
+    n, comp, home, part = (np.asarray(tile.column(c)) for c in ("n", "comp", "home", "part"))
+    known = [set(x.as_py()) for x in tile.column("known")]
+    parted = tile.column("one")[0].as_py() != tile.column("two")[0].as_py()
+    every, step = np.arange(len(n)), max(1, BLOCK_WORDS // bits.size)
+    for start in range(0, len(n), step):
+        rows = slice(start, start + step)
+        total = n[rows, None] + n
+        fit = (comp[rows, None] != comp) & (home[rows, None] | home) & (every > every[rows, None])
+        fit &= np.minimum(n[rows, None], n) * 100 >= np.maximum(n[rows, None], n) * THRESHOLD
+        if parted:
+            fit &= part[rows, None] != part  # pairs of one part have a tile of their own
+        if not fit.any():
+            continue
+        fit &= (total - bits_apart(bits[rows, None], bits)) // 2 >= least_shared(total)
+        for i in np.flatnonzero(fit.any(axis=1)).tolist():
+            found = [j for j in np.flatnonzero(fit[i]).tolist() if known[start + i].isdisjoint(known[j])]
+            if found:
+                yield start + i, found
 
 
 def _bitmaps(tile: pa.Table) -> np.ndarray:
-    width = tile_bits(tile.column("band")[0].as_py())
-    return np.stack([folded(x.as_py(), width) for x in tile.column("bits")])
+    held = [x.as_py() for x in tile.column("bits")]
+    width = min(tile_bits(tile.column("band")[0].as_py()), *(8 * len(x) for x in held))
+    return np.stack([folded(x, width) for x in held])
 
 
 def _needed(tile: pa.Table) -> pa.Table:
     """The rows of a tile that have a possible partner."""
-    bits, comp = _bitmaps(tile), np.asarray(tile.column("comp"))
-    has = np.zeros(len(comp), bool)
-    for i in range(len(comp)):
-        found = _partners(tile, bits, i, comp)
-        has[i] |= len(found) > 0
+    has = np.zeros(tile.num_rows, bool)
+    for i, found in _partners(tile):
+        has[i] = True
         has[found] = True
-    return tile.filter(pa.array(has)).drop_columns(["bits"])
+    kept = tile.filter(pa.array(has)).drop_columns(["bits"])
+    return kept.set_column(kept.column_names.index("known"), "known", kept.column("known").cast(pa.list_(pa.int64())))
 
 
 def _linked(tile: pa.Table) -> pa.Table:
     """A forest of links between a tile's nodes of different components."""
-    bits, comp = _bitmaps(tile), tile.column("comp").to_numpy().copy()
-    node = np.asarray(tile.column("node"))
+    comp, node = tile.column("comp").to_numpy().copy(), np.asarray(tile.column("node"))
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("hashes")]
-    found = []
-    for i in range(len(node)):
-        for j in _partners(tile, bits, i, comp).tolist():
+    links = []
+    for i, found in _partners(tile):
+        for j in found:
             if comp[i] != comp[j] and similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
                 comp[comp == comp[j]] = comp[i]
-                found.append((max(node[i], node[j]), min(node[i], node[j])))
-    a, b = zip(*found, strict=True) if found else ((), ())
+                links.append((max(node[i], node[j]), min(node[i], node[j])))
+    a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"key": pa.array(a, pa.int64()), "parent": pa.array(b, pa.int64())})
 
 
 def needed_rows(keys: DataFrame, bits: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
-    """The rows of tiles that have a possible partner, of tiles that need the same nodes in the same way
-    only one."""
-    rows = tiled(keys, most_nodes)
-    with_bits = rows.join(bits.select("node", "bits"), "node").select(*TILE, "node", "n", "comp", "home", "part", "bits")
-    shape = "key long, band int, one int, two int, node long, n long, comp long, home boolean, part int"
-    needed = materialize(with_bits.groupBy(*TILE).applyInArrow(_needed, shape), "needed")
-    marks = [F.bit_xor(F.xxhash64("node", "home", "part", F.lit(i))).alias(f"mark{i}") for i in range(2)]
-    same = F.col("one") == F.col("two")
-    groups = needed.groupBy(*TILE).agg(F.count(F.lit(1)).alias("nodes"), *marks)
-    kept = groups.groupBy("band", same.alias("same"), "nodes", "mark0", "mark1").agg(F.min(F.struct("key", "one", "two")).alias("t"))
-    kept = hinted(materialize(kept.select("t.key", "band", "t.one", "t.two"), "kept"), 64)
-    return materialize(needed.join(kept, TILE), "needed")
+    """The rows of tiles that have a possible partner."""
+    held = [*TILE, "node", "n", "comp", "home", "part", "known"]
+    rows = tiled(keys, most_nodes).join(bits.select("node", "bits"), "node").select(*held, "bits")
+    shape = "key long, band int, one int, two int, node long, n long, comp long, home boolean, part int, known array<long>"
+    return materialize(rows.groupBy(*TILE).applyInArrow(_needed, shape), "needed")
 
 
 def tile_links(needed: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
     """key, parent: links between nodes of different components in one tile."""
     full = needed.join(bits.select("node", "bits"), "node").join(sets, "node")
-    return full.select(*TILE, "node", "n", "comp", "home", "part", "bits", "hashes").groupBy(*TILE).applyInArrow(_linked, "key long, parent long")
+    return full.select(*TILE, "node", "n", "comp", "home", "part", "known", "bits", "hashes").groupBy(*TILE).applyInArrow(_linked, "key long, parent long")
 
 
 def similar_nodes(docs: DataFrame, rows: DataFrame, shingles: int, seed: int, most_nodes: int = MOST_NODES, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """key, parent: links that connect what all links between similar nodes connect."""
-    levels = frequent_levels(docs, bucket_count(shingles), shingles)
+    levels = frequency_levels(docs, bucket_count(shingles))
     prefixes = materialize(emitted(docs, levels, seed), "prefixes")
     # Keys that two nodes share; copies give their nodes again.
     shared = prefixes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
