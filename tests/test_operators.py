@@ -345,3 +345,37 @@ def test_messages():
     assert cut_message("") == []
     assert cut_message("aaa\nbbb\nccc ddd", 8) == ["aaa\nbbb", "ccc ddd"]
     assert cut_message("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+
+
+def ranks(scores, k):
+    """The k best of each query, with all that tie with the last."""
+    by_query = {}
+    for r in scores.collect():
+        by_query.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+    out = {}
+    for q, rows in by_query.items():
+        rows.sort()
+        last = rows[min(k, len(rows)) - 1][0]
+        out[q] = [(c, round(s, 5)) for s, c in rows if s <= last + 1e-9]
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 4, 1000])
+def test_pruned_scores_rank_as_full_ones(spark, monkeypatch, k):
+    rng = random.Random(8)
+    words = [f"w{i:03d}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(1, 60))) for _ in range(300)]
+    texts += texts[:5] + ["", None, "w000", "w000 w000"]  # copies tie
+    chunks = spark.createDataFrame([(f"c{i:03d}", t, i) for i, t in enumerate(texts)], "chunk_id string, text string, page_num int")
+    asked = [texts[i] for i in range(0, 60, 4)] + ["w000", "w000 w001", "unknown words", "", "w290 w291 w000 w000", None]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = bm25.build(chunks)
+    seen = []
+    write = bm25.materialize
+    monkeypatch.setattr(bm25, "materialize", lambda df, label: seen.append((label, out := write(df, label))) or out)
+    pruned = bm25.best(index, queries, k, full_postings=0)
+    full = bm25.score(index, queries)
+    assert ranks(pruned, k) == ranks(full, k)
+    stayed = dict(seen)["missing"].select("query_id", "chunk_id").distinct().count()
+    assert k > 4 or stayed < 0.1 * full.count()
