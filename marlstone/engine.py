@@ -17,7 +17,7 @@ MODES = (*fusion.MODES, "graph")
 @dataclass
 class Index:
     """Tables of a corpus. vectors (vec_id, embedding, chunk_id) may be missing: then only sparse
-    search is possible."""
+    search is possible. nodes is the chunk graph by runs of pages."""
 
     chunks: DataFrame
     terms: bm25.Bm25Index
@@ -46,7 +46,7 @@ def index_chunks(chunks: DataFrame, vectors: DataFrame | None = None, files: Dat
     index = bm25.build(chunks)
     index = bm25.Bm25Index(materialize(index.postings, "postings"), materialize(index.terms, "terms"), materialize(index.stats, "stats"))
     narrow = chunks.select("doc_id", "page_num", "chunk_id")
-    nodes = materialize(graph.nodes(narrow, graph.edges(narrow)), "nodes")
+    nodes = materialize(graph.runs(narrow), "nodes")
     return Index(chunks, index, nodes, vectors)
 
 
@@ -79,7 +79,7 @@ def search(index: Index, queries: DataFrame, mode: str = "hybrid", k: int = 5) -
     if mode != "sparse":
         found = dense.search(index.vectors, queries, k)
         near = found.join(index.vectors.select("vec_id", "chunk_id"), "vec_id").select("query_id", "rank", "chunk_id", "score")
-    hits = graph.expand(near, index.nodes, k) if mode == "graph" else fusion.retrieve(mode, near, sparse, k)
+    hits = graph.expand_runs(near, index.nodes, k) if mode == "graph" else fusion.retrieve(mode, near, sparse, k)
     return hits.join(index.chunks, "chunk_id")
 
 

@@ -66,7 +66,7 @@ def chunk_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = materialize(line_chunks(spark, sf_dir).drop("text"), "lines")
-    return graph.stats(chunks, materialize(graph.edges(chunks), "edges"))
+    return graph.run_stats(chunks)
 
 
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = materialize(pages(spark, sf_dir).drop("text"), "pages")
     near = dense.search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 2)
     seeds = near.join(chunks.select(F.col("row_id").alias("vec_id"), "chunk_id"), "vec_id")
-    return graph.expand(seeds, graph.nodes(chunks, graph.edges(chunks)))
+    return graph.expand_runs(seeds, graph.runs(chunks))
 
 
 def qc_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,3 +379,20 @@ def test_pruned_scores_rank_as_full_ones(spark, monkeypatch, k):
     assert ranks(pruned, k) == ranks(full, k)
     stayed = dict(seen)["missing"].select("query_id", "chunk_id").distinct().count()
     assert k > 4 or stayed < 0.1 * full.count()
+
+
+def test_runs_stand_for_the_whole_graph(spark):
+    rng = random.Random(2)
+    rows = [(d, rng.choice([None, 0, -1, 1, 1, 2, 2, 2, 3, 5, 6, 9]), f"{d}{i:03d}") for d in "abc" for i in rng.sample(range(1000), 40)]
+    rows += [("solo", 4, "solo"), ("blank", None, "b1"), ("blank", None, "b2"), ("blank", -1, "b3")]
+    for chosen in (rows, [r for r in rows if r[0] == "solo"], [], [*rows, ("z", 1, rows[0][2])]):  # the last: an id that repeats
+        chunks = spark.createDataFrame(chosen, "doc_id string, page_num int, chunk_id string")
+        want = graph.stats(chunks, graph.edges(chunks)).first()
+        assert graph.run_stats(chunks).first().asDict() == want.asDict()
+    chunks = spark.createDataFrame(rows, "doc_id string, page_num int, chunk_id string")
+    ids = [r[2] for r in rows]
+    seeds = spark.createDataFrame([(q, r, rng.choice(ids), 1.0 / r) for q in range(30) for r in (1, 2, 3)], "query_id long, rank int, chunk_id string, score double")
+    nodes, held = graph.nodes(chunks, graph.edges(chunks)), graph.runs(chunks)
+    for settings in ((5, 2, 2), (9, 3, 4), (1, 1, 1)):
+        full = sorted(map(tuple, graph.expand(seeds, nodes, *settings).collect()))
+        assert sorted(map(tuple, graph.expand_runs(seeds, held, *settings).collect())) == full
