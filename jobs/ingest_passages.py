@@ -75,12 +75,12 @@ def ingest_passages(spark: SparkSession, documents: str, store: str, checkpoint:
         .start()
     )
     query.awaitTermination()
-    read = 0
-    for p in query.recentProgress:
-        read += p["numInputRows"]
-        log.info("batch %s: %s rows read from %s", p["batchId"], p["numInputRows"], documents)
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    registry = spark.read.schema(REGISTRY).parquet(f"{store}/registry")
     held = spark.read.schema(PASSAGES).parquet(f"{store}/passages")
-    log.info("%s rows read; %s holds %s passages", read, store, held.count())
+    for kind, table in (("rows read", registry), ("passages written", held)):
+        counts = table.where(F.col("batch").isin(done)).groupBy("batch").count().orderBy("batch").collect()
+        log.info("%s: %s %s", documents if table is registry else store, kind, {r.batch: r["count"] for r in counts} or "none, as nothing is new")
     return held
 
 
