@@ -145,6 +145,7 @@ def test_everything_runs_without_the_optional_parts(tmp_path):
         if "llm" not in f.relative_to(root).parts:
             assert "marlstone.llm" not in f.read_text(), f
     shutil.copytree(root, tmp_path / "marlstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root.parent / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root.parent / "__spark_entry__.py", tmp_path)
     code = (
         "import __spark_entry__ as e; from marlstone.session import local_session; s = local_session(2, partitions=2); q = e.queries(); "
