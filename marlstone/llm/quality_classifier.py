@@ -10,8 +10,9 @@ punctuation dropped); and how large a share of the words has each of a few shape
 at the end, bare signs, a repetition of the word before). Whole texts are read; a word's hashes are
 kept in a bounded cache.
 
-The regression learns from at most about SAMPLE_DOCS labelled rows, chosen by a hash of their id; a
-long text counts like any other. Buckets that don't tell grades apart are found by a sum over the
+The regression learns from at most about SAMPLE_DOCS labelled rows, chosen by a hash of their id and
+text and counted before any is fetched, so the bound holds however often an id repeats; rows equal in
+both are learned once. A long text counts like any other. Buckets that don't tell grades apart are found by a sum over the
 written sample, so only the others' are gathered. Everything else covers all rows.
 
 Defined results: a null or blank text has no features; it gets the score of the features' absence
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.runtime import chunks, materialize, ship, worker_cache
@@ -188,18 +189,31 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     n = rated.count()
     if not n:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < int(min(1.0, sample_docs / n) * (1 << 30))
-    drawn = F.broadcast(rated.where(draw))  # about sample_docs rows of two numbers
+
+    def share(n: int, *of) -> Column:
+        """Whether a hash of `of` is among the first sample_docs of n, about."""
+        return F.pmod(F.xxhash64(*of, F.lit(10)), F.lit(1 << 30)) < int(min(1.0, sample_docs / n) * (1 << 30))
+
+    drawn = F.broadcast(rated.where(share(n, "doc_id")))  # about sample_docs rows of two numbers
+    # Documents that share an id are drawn among one another, by their texts.
+    printed = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    prints = materialize(printed.join(drawn, "doc_id").select("doc_id", "print", "grade").distinct(), "drawn")
+    chosen = F.broadcast(prints.where(share(max(1, prints.count()), "doc_id", "print")))  # about sample_docs, too
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # no more than are chosen
         for b in batches:
+            keys = list(zip(b.column("doc_id").to_pylist(), b.column("print").to_pylist(), strict=True))
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            b = b.take(pa.array(new, pa.int64()))
             found = [text_features(x.as_py() or b"") for x in b.column("text")]
             buckets, shares = (pa.array([f[i] for f in found], t) for i, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64()))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), buckets, shares, b.column("grade")], ["doc_id", "buckets", "shares", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), buckets, shares, b.column("grade")], ["doc_id", "print", "buckets", "shares", "grade"])
 
-    texts = docs.select("doc_id", "text").join(drawn, "doc_id")
-    texts = texts.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("grade").cast("int").alias("grade"))
-    sample = materialize(texts.mapInArrow(features, "doc_id long, buckets array<long>, shares array<double>, grade int"), "features")
+    texts = printed.join(chosen, ["doc_id", "print"])
+    texts = texts.select("doc_id", "print", F.col("text").cast("binary").alias("text"), F.col("grade").cast("int").alias("grade"))
+    made = texts.mapInArrow(features, "doc_id long, print long, buckets array<long>, shares array<double>, grade int")
+    sample = materialize(made.dropDuplicates(["doc_id", "print"]).drop("print"), "features")
     rows = sample.select("grade").toArrow()
     if not rows.num_rows:
         return None
