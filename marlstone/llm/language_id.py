@@ -6,19 +6,22 @@ of n-gram hashes with a column for each language. The language of the lowest cro
 character wins; its score is a calibrated softmax over the languages.
 
 The models learn from a bounded sample: about SAMPLE_CHARS characters of each language, in pieces of
-at most PIECE_CHARS characters of its texts, drawn by a hash of their id and place. So no text is
-too long to be learned from. Whole texts are judged.
+at most PIECE_CHARS characters of its texts, drawn by a hash of the row's id and text and of the piece's
+place. So no text is too long to be learned from, and the bound holds however often an id repeats.
+Whole texts are judged.
 
 Rejection is calibrated on texts of their own: one in CALIBRATE_ONE_IN documents, drawn by a hash, is
 never learned from. How far their cross-entropies lie above their language's mean, in deviations for
 their length, gives the limit that FALSE_REJECTION of them exceed; a text beyond it is rejected.
-With too few of them (under LEAST_CALIBRATED) only letterless texts are.
+With too few of them (under LEAST_CALIBRATED) only letterless texts are. Rows that are equal in doc_id,
+text and lang are learned from, or calibrate, once.
 
 Defined results: null or letterless texts (numerals, signs and marks are no letters) get `und`, score
 0 and are rejected. A null doc_id is judged, not held out, and never learned from. Repeated rows get
 equal results. If no row can be learned from, every text gets `und`. Ties go to the alphabetically
 first language. Empty tables give an empty result. Of the columns only doc_id, text and (for
-learning) lang are read. Languages are as many as there are labels: a column of the models each.
+learning) lang are read. Languages are as many as there are labels, a column of the models each; with
+more than MOST_LANGUAGES, learning stops with an error before anything is fitted.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ PIECE_CHARS = 4_000
 CALIBRATE_ONE_IN = 10
 CALIBRATE_PIECES = 400
 LEAST_CALIBRATED = 100
+#: Distinct values of lang that models are fitted to.
+MOST_LANGUAGES = 1_000
 #: Words of the excerpts that calibrate for short texts, and the share of calibrating texts beyond the limit.
 EXCERPT_WORDS = 8
 FALSE_REJECTION = 0.002
@@ -304,35 +309,41 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, order: int = ORDER) -> Models | None:
     """Models of docs (doc_id, text, lang), without those held out."""
     ship(docs.sparkSession)
-    usable = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(
+    usable = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("row")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(CALIBRATE_ONE_IN)) == 0
+    apart = F.pmod(F.xxhash64("row", F.lit("apart")), F.lit(CALIBRATE_ONE_IN)) == 0
     pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / PIECE_CHARS))
     chars = F.sum(F.when(~apart, F.length("text")).otherwise(0))
-    found = usable.groupBy("lang").agg(chars.alias("chars"), F.sum(F.length("text")).alias("all"), F.sum(F.when(apart, pieces).otherwise(0)).alias("pieces")).collect()
+    different = [F.least(F.lit(1.0), F.try_divide(F.approx_count_distinct(F.when(c, F.col("row"))), F.count_if(c))).alias(n) for n, c in (("new", ~apart), ("new_apart", apart))]
+    sizes = [chars.alias("chars"), F.sum(F.length("text")).alias("all"), F.sum(F.when(apart, pieces).otherwise(0)).alias("pieces")]
+    found = usable.groupBy("lang").agg(*sizes, *different).limit(MOST_LANGUAGES + 1).collect()
     if not found:
         return None
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} distinct values")
     # A language that only such documents have is learned from them.
     apart = apart & ~F.col("lang").isin([r["lang"] for r in found if not r["chars"]])
     rate = F.lit(0.0)
-    for r in found:
-        of = F.when(apart, min(1.0, CALIBRATE_PIECES / max(1, r["pieces"]))).otherwise(min(1.0, SAMPLE_CHARS / max(1, r["chars"] or r["all"])))
+    for r in found:  # equal rows are drawn together and count once
+        sizes = r["pieces"] * (r["new_apart"] or 1.0), r["chars"] * r["new"] if r["chars"] else r["all"] * (r["new_apart"] or 1.0)
+        of = F.when(apart, min(1.0, CALIBRATE_PIECES / max(1, sizes[0]))).otherwise(min(1.0, SAMPLE_CHARS / max(1, sizes[1])))
         rate = F.when(F.col("lang") == r["lang"], of).otherwise(rate)
 
     def drawn(place: Column) -> Column:
-        return F.pmod(F.xxhash64("doc_id", place), F.lit(1 << 30)) < F.floor(F.col("rate") * (1 << 30))
+        return F.pmod(F.xxhash64("row", place), F.lit(1 << 30)) < F.floor(F.col("rate") * (1 << 30))
 
     places = F.explode(F.filter(F.sequence(F.lit(0), (pieces - 1).cast("int")), drawn)).alias("place")
     cut = F.substr(F.col("text"), F.col("place") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text")
-    sample = usable.select("*", apart.alias("apart"), rate.alias("rate")).select("doc_id", "lang", "text", "apart", places)
-    counted = sample.where("not apart").select("lang", cut).mapInArrow(_count_runs, "lang string, run string, n long")
+    sample = usable.select("*", apart.alias("apart"), rate.alias("rate")).select("doc_id", "row", "lang", "text", "apart", places)
+    sample = sample.select("doc_id", "row", "place", "lang", "apart", cut).distinct()
+    counted = sample.where("not apart").select("lang", "text").mapInArrow(_count_runs, "lang string, run string, n long")
     counted = counted.groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
     if not counted.num_rows:
         return None
     models = fit(counted, order)
     models.name = f"{counted.num_rows}:{pc.sum(counted.column('n')).as_py()}:{abs(hash(tuple(np.round(models.grams[-1][1][:50].ravel(), 6).tolist())))}"
-    calibrate(models, sample.where("apart").select("doc_id", "place", "lang", cut).toPandas().sort_values(["doc_id", "place", "lang", "text"]))
+    calibrate(models, sample.where("apart").select("doc_id", "place", "lang", "text").toPandas().sort_values(["doc_id", "place", "lang", "text"]))
     worker_cache("", lambda: None)  # the driver keeps no words
     return models
 
