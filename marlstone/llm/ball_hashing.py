@@ -4,8 +4,9 @@ variant within half of it, so every point emits its ball of variants and those t
 A ball is emitted in two steps, so that the shuffle stays small. A point is sent to every prefix that
 some variant of it has; the task of a prefix completes the variants. Points travel packed, as one
 binary for each batch and prefix. A prefix to which more than `most` points are sent is divided into
-longer ones, until it is a whole variant; points that share a whole variant are dealt into chunks of
-about `most`, other ones in each band. So no task gets an unbounded group.
+longer ones, until it is a whole variant. Points that share a whole variant are dealt into chunks of
+about half of `most`, and each two chunks make a group: so no task gets an unbounded group, and each two
+points still meet. A caller that takes all points of such a variant alike asks for the chunks alone.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BALLS = "depth int, prefix long, n long, points binary"
 DEEPER = 4
 #: Bytes of points that are dealt together.
 DEAL_BYTES = 32 << 20
+#: The chunk of groups that are no part of a crowded variant.
+WHOLE = -1
 
 
 @cache
@@ -74,24 +77,45 @@ def _deeper(depth: int, step: int, width: int, half: int, kind: np.dtype, point:
     return divide
 
 
-def dealt(balls: DataFrame, width: int, prefix_bits: int, half: int, most: int, kind: np.dtype, point: Callable) -> DataFrame:
-    """balls with the column chunk: rows of one (depth, prefix, chunk) make a group of bounded size.
-    point(records, band) are the points of records of type kind."""
+def _sliced(most: int, kind: np.dtype):
+    """Cut packed points into pieces of at most `most` points."""
+    size = most * kind.itemsize
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for depth, prefix, blob in zip(*(b.column(c).to_pylist() for c in ("depth", "prefix", "points")), strict=True):
+                pieces = [blob[i : i + size] for i in range(0, len(blob), size)]
+                n = len(pieces)
+                columns = [pa.array([depth] * n, pa.int32()), pa.array([prefix] * n, pa.int64()), pa.array([len(x) // kind.itemsize for x in pieces], pa.int64()), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BALLS.split(", ")])
+
+    return cut
+
+
+def dealt(balls: DataFrame, width: int, prefix_bits: int, half: int, most: int, kind: np.dtype, point: Callable, paired: bool = True) -> DataFrame:
+    """balls with the columns chunk and other: rows of one (depth, prefix, chunk, other) make a group of
+    bounded size. Where a whole variant is crowded, a group is two of its chunks if paired, else one;
+    elsewhere chunk is WHOLE. point(records, band) are the points of records of type kind."""
     table, ready, depth = materialize(balls, "balls"), [], prefix_bits
+    whole = [F.lit(WHOLE).cast("long").alias(c) for c in ("chunk", "other")]
     while True:
-        sizes = table.groupBy("prefix").agg(F.sum("n").alias("points")).where(F.col("points") > most)
+        sizes = table.groupBy("prefix").agg(F.sum("n").alias("crowd")).where(F.col("crowd") > most)
         crowded = materialize(sizes, "crowded")
         if not crowded.limit(1).count():
-            return _union([*ready, table.withColumn("chunk", F.lit(0).cast("long"))])
+            return _union([*ready, table.select("*", *whole)])
         crowded = hinted(crowded, 32)
+        ready.append(table.join(crowded.select("prefix"), "prefix", "left_anti").select("depth", "prefix", "n", "points", *whole))
+        table = table.join(crowded.select("prefix"), "prefix", "left_semi").select("depth", "prefix", "n", "points")
         if depth == width:
-            chunks = F.ceil(F.col("points") / most).cast("long")
-            chunk = F.coalesce(F.pmod(F.xxhash64("points_of"), chunks), F.lit(0).cast("long"))
-            last = table.withColumnRenamed("points", "points_of").join(crowded, "prefix", "left")
-            return _union([*ready, last.select("depth", "prefix", "n", F.col("points_of").alias("points"), chunk.alias("chunk"))])
-        ready.append(table.join(crowded.select("prefix"), "prefix", "left_anti").withColumn("chunk", F.lit(0).cast("long")))
+            pieces = table.mapInArrow(_sliced(max(1, most // 8), kind), BALLS).join(crowded, "prefix")
+            pieces = pieces.withColumn("chunks", F.ceil(2 * F.col("crowd") / most).cast("long"))
+            pieces = pieces.withColumn("own", F.pmod(F.xxhash64("points"), F.col("chunks")))
+            if not paired:
+                return _union([*ready, pieces.select("depth", "prefix", "n", "points", F.col("own").alias("chunk"), F.col("own").alias("other"))])
+            partner = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: c != F.col("own"))).alias("partner")
+            pairs = pieces.select("depth", "prefix", "n", "points", "own", partner)
+            return _union([*ready, pairs.select("depth", "prefix", "n", "points", F.least("own", "partner").alias("chunk"), F.greatest("own", "partner").alias("other"))])
         step = min(DEEPER, width - depth)
-        table = table.join(crowded.select("prefix"), "prefix", "left_semi").select("depth", "prefix", "n", "points")
         table = materialize(table.mapInArrow(_deeper(depth, step, width, half, kind, point), BALLS), "balls")
         depth += step
 

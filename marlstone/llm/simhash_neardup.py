@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.ball_hashing import BALLS, DEAL_BYTES, ball, dealt, emitted, forest, group_of, meetings, roots
+from marlstone.llm.ball_hashing import BALLS, DEAL_BYTES, WHOLE, ball, dealt, emitted, forest, group_of, meetings, roots
 from marlstone.llm.components import components
 from marlstone.llm.runtime import chunks, hinted, materialize, ship, worker_cache
 
@@ -237,7 +237,7 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, at_once: int =
 
     balls = distinct.select("bits").mapInArrow(emit, BALLS)
     groups = dealt(balls, BITS, prefix_bits, half, most, _PRINT, lambda records, band: records["point"])
-    return groups.groupBy("depth", "prefix", "chunk").applyInArrow(ask, "key long, parent long")
+    return groups.groupBy("depth", "prefix", "chunk", "other").applyInArrow(ask, "key long, parent long")
 
 
 # Texts of similar shingle sets ---------------------------------------------------------------------
@@ -255,8 +255,9 @@ def _signs(b: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u8").reshape(b.num_rows, SIGNATURE // 64)
 
 
-def _dealt_bands(nodes: DataFrame, each: int, most: int, kind: np.dtype, records_of: Callable, point: Callable) -> DataFrame:
+def _dealt_bands(nodes: DataFrame, each: int, most: int, kind: np.dtype, records_of: Callable, point: Callable, paired: bool) -> DataFrame:
     """The groups of a ball hashing of nodes (signature, bands: a bit for each band that takes part)."""
+    ship(nodes.sparkSession)
     prefix_bits, half = min(BAND_BITS, prefix_bits_for(nodes.count(), each)), BAND_RADIUS // 2
     step = max(1, DEAL_BYTES // (kind.itemsize * BANDS * (prefix_bits + 1)))
 
@@ -269,7 +270,8 @@ def _dealt_bands(nodes: DataFrame, each: int, most: int, kind: np.dtype, records
                 points = _bands(signs)[band, node]
                 yield emitted(points.astype(np.uint64), band, records_of(signs[node], points), BAND_BITS, prefix_bits, half)
 
-    return dealt(nodes.select("signature", "bands").mapInArrow(emit, BALLS), BAND_BITS, prefix_bits, half, most, kind, point).groupBy("depth", "prefix", "chunk")
+    balls = nodes.select("signature", "bands").mapInArrow(emit, BALLS)
+    return dealt(balls, BAND_BITS, prefix_bits, half, most, kind, point, paired).groupBy("depth", "prefix", "chunk", "other")
 
 
 def _band_group(rows: pa.Table, kind: np.dtype) -> tuple[int, int, int, np.ndarray]:
@@ -291,8 +293,9 @@ def suspects(nodes: DataFrame) -> DataFrame:
         depth, band, prefix, records = _band_group(rows, _NODE)
         keys = records["key"].view(np.uint64) if len(records) else np.zeros(0, np.uint64)
         variant, at = meetings(records["point"].astype(np.uint64), prefix, depth, BAND_BITS, BAND_RADIUS // 2)
-        found = np.zeros(len(keys), bool)
-        left = np.arange(len(variant))
+        crowd = len(rows) > 0 and rows.column("chunk")[0].as_py() != WHOLE
+        found = np.full(len(keys), crowd)  # of a variant too crowded for one task, all
+        left = np.arange(0 if crowd else len(variant))
         for k in range(1, CROWDED + 1):  # each with the k-th behind it
             left = left[left + k < len(variant)]
             left = left[variant[left] == variant[left + k]]
@@ -308,7 +311,7 @@ def suspects(nodes: DataFrame) -> DataFrame:
         return pa.table({"bits": pa.array(near, pa.int64()), "band": pa.array(np.full(len(near), band), pa.int64())})
 
     nodes = nodes.withColumn("bands", F.lit((1 << BANDS) - 1))
-    groups = _dealt_bands(nodes, BAND_NODES, MOST_NODES, _NODE, records_of, lambda records, band: records["point"].astype(np.uint64))
+    groups = _dealt_bands(nodes, BAND_NODES, MOST_NODES, _NODE, records_of, lambda records, band: records["point"].astype(np.uint64), paired=False)
     found = groups.applyInArrow(ask, "bits long, band long").select("bits", F.expr("shiftleft(1L, cast(band as int))").alias("bands"))
     return found.groupBy("bits").agg(F.bit_or("bands").alias("bands"))
 
@@ -362,7 +365,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
         x, y = keys[a[taken]], keys[b[taken]]
         return pa.table({"key": np.maximum(x, y), "parent": np.minimum(x, y), "apart": apart[taken]})
 
-    groups = _dealt_bands(nodes, SUSPECT_NODES, MOST_SUSPECTS, _SUSPECT, records_of, point)
+    groups = _dealt_bands(nodes, SUSPECT_NODES, MOST_SUSPECTS, _SUSPECT, records_of, point, paired=True)
     return groups.applyInArrow(ask, "key long, parent long, apart long").distinct()
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marlstone.llm import bestfit_packing as packing
@@ -177,6 +178,28 @@ def test_crowded_bands_are_divided(spark, monkeypatch, most):
     assert kept == set(similar_components(texts))
 
 
+@pytest.mark.parametrize("most", [16, 10**6])
+def test_pairs_of_one_crowded_variant(spark, monkeypatch, most):
+    """100 pairs that meet in a single variant of a single band: each is linked, whatever the limit."""
+    monkeypatch.setattr(simhash_neardup, "MOST_NODES", most)
+    monkeypatch.setattr(simhash_neardup, "MOST_SUSPECTS", most)
+    rng = np.random.default_rng(31)
+    one = rng.integers(0, 2**63, (100, 16), np.uint64)
+    one[:, 0] &= ~np.uint64(2**32 - 1)  # the first band of all is zero
+    two = one.copy()
+    for row in two:
+        for bit in rng.choice(np.arange(32, 1024), 100, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    two[:, 0] = one[:, 0] ^ np.uint64(2**40)
+    pairs = {frozenset((int(a), int(b))) for a, b in zip(one[:, 0].view(np.int64), two[:, 0].view(np.int64), strict=True)}
+    signs = [x.tobytes() for x in np.concatenate([one, two])]
+    found = simhash_neardup.near_links(spark.createDataFrame([(x, 1) for x in signs], "signature binary, bands long")).collect()
+    assert {frozenset((r.key, r.parent)) for r in found} == pairs
+    nodes = spark.createDataFrame([(int.from_bytes(x[:8], "little", signed=True), x) for x in signs], "bits long, signature binary")
+    suspected = {r.bits for r in simhash_neardup.suspects(nodes).collect() if r.bands & 1}
+    assert suspected == {k for p in pairs for k in p}
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i - 1) for i in range(1, 200)] + [(500, 300), (500, 400), (600, 400)], "key long, parent long")
     found = dict(components.components(links).collect())
@@ -345,9 +368,44 @@ def test_rejection_catches_other_languages(spark):
     assert sum(r.rejected for r in got if r.doc_id >= 5000) >= 95
 
 
+def test_languages_of_repeated_ids(spark, monkeypatch):
+    """30,000 rows of one doc_id don't all come to the driver, whether their texts are equal or not."""
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 20_000)
+    monkeypatch.setattr(language_id, "CALIBRATE_PIECES", 50)
+    taken = []
+    calibrate = language_id.calibrate
+    monkeypatch.setattr(language_id, "calibrate", lambda models, rows: (taken.append(len(rows)), calibrate(models, rows))[1])
+    for changing in (True, False):
+        text = F.concat(F.lit("some words "), F.translate((F.col("id") if changing else F.lit(7)).cast("string"), "0123456789", "abcdefghij"))
+        hot = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), text.alias("text"), F.lit("x").alias("lang"))
+        others = spark.range(100, 400).select(F.col("id").alias("doc_id"), F.lit("anderes wort").alias("text"), F.lit("y").alias("lang"))
+        models = language_id.learn(hot.unionByName(others))
+        assert models.languages == ["x", "y"]
+        assert taken.pop() <= 200
+    many = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 50)
+    with pytest.raises(ValueError, match="more than 50"):
+        language_id.learn(many)
+
+
 # Quality -----------------------------------------------------------------------------------------
 
 
+def test_quality_of_repeated_ids(spark, monkeypatch):
+    """30,000 rows of one doc_id, of equal texts or not: the sample keeps to its bound."""
+    fitted = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda of, column, shapes, grades: (fitted.append(len(grades)), fit(of, column, shapes, grades))[1])
+    others = spark.range(1, 150).select(F.col("id").alias("doc_id"), F.concat(F.lit("fine words "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(150).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    for changing in (True, False):
+        text = F.concat(F.lit("zzbad "), (F.col("id") if changing else F.lit(7)).cast("string"))
+        hot = spark.range(30_000).select(F.lit(0).cast("long").alias("doc_id"), text.alias("text"))
+        quality.learn(hot.unionByName(others), labels, sample_docs=1000)
+        n = fitted.pop()
+        assert 850 <= n <= 1150 if changing else n == 150
+
+
 def test_quality(spark, empty):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
