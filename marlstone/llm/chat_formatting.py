@@ -262,6 +262,17 @@ def _peel(rows: pa.Table) -> pa.Table:
     return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(_PLACED.split(", "), columns, kinds, strict=True)})
 
 
+def _ranges(wants: DataFrame, start: DataFrame, part_calls: int) -> DataFrame:
+    """conv, call_id, turn, answered, part of the calls that refer to others: ranges of about part_calls
+    references, cut by the rank of the calls, so neither a late turn nor many calls of one turn fill one."""
+    sizes = wants.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("refs")).groupBy("conv")
+    sizes = hinted(materialize(sizes.agg(F.ceil(F.sum("refs") / part_calls).alias("parts"), F.count(F.lit(1)).alias("callers")), "ranges"), 64)
+    callers = start.join(wants.select("conv", "call_id"), ["conv", "call_id"], "left_semi")
+    placed = ranked(callers, ["conv"], ["turn", "call_id"], "nth").join(sizes, "conv")
+    part = F.floor((F.col("nth") - 1) * F.col("parts") / F.col("callers")).alias("part")
+    return placed.select("conv", "call_id", "turn", "answered", part)
+
+
 def _levels(calls: DataFrame, answers: DataFrame, part_calls: int = PART_CALLS) -> DataFrame:
     """conv, call_id, level, depth, cyclic of linked calls that refer to others, directly or not."""
     wants = calls.select("conv", "call_id", F.explode("refs").alias("dep"))
@@ -269,13 +280,8 @@ def _levels(calls: DataFrame, answers: DataFrame, part_calls: int = PART_CALLS)
     start = calls.join(answers.select("conv", "call_id", F.col("turn").alias("answered")), ["conv", "call_id"], "left").select("conv", "call_id", "turn", "answered")
     if not wants.limit(1).count():
         return start.select("conv", "call_id", F.col("turn").alias("level"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic")).where("false")
-    # Ranges of turns by their share of the conversation's.
-    sizes = wants.groupBy("conv").agg(F.ceil(F.count(F.lit(1)) / part_calls).alias("parts"))
-    span = calls.groupBy("conv").agg(F.max("turn").alias("last"))
-    sizes = hinted(materialize(sizes.join(span, "conv"), "ranges"), 64)
     start = materialize(start, "calls")
-    waits = wants.join(start, ["conv", "call_id"]).join(sizes, "conv")
-    waits = waits.withColumn("part", F.floor(F.greatest("turn", F.lit(0)) * F.col("parts") / (F.greatest("last", F.lit(0)) + 1))).drop("parts", "last")
+    waits = wants.join(_ranges(wants, start, part_calls), ["conv", "call_id"])
     waits = materialize(waits.join(start.select("conv", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"), F.col("answered").alias("dep_answered")), ["conv", "dep"]), "waits")
     # A call that refers to none has the place of its turn.
     idle = waits.select("conv", F.col("dep").alias("call_id"), "dep_turn").distinct().join(wants, ["conv", "call_id"], "left_anti")

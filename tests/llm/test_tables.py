@@ -202,6 +202,19 @@ def test_turns_repeat(spark):
     assert got == Counter([("call", "linked", True), ("call", "duplicate", True), ("result", "linked", True), ("result", "orphan", True), ("call", "unanswered", False)])
 
 
+def test_ranges_of_calls(spark):
+    """An outlying turn, or all calls in one turn, leaves ranges of about the size asked for."""
+    for turn in (lambda t: 10**9 if t == 399 else t, lambda t: 5):
+        calls = spark.createDataFrame([("1", f"{t:04}", turn(t), None) for t in range(400)], "conv string, call_id string, turn long, answered long")
+        wants = calls.where("call_id < '0399'").select("conv", "call_id", F.lit("0399").alias("dep"))
+        sizes = [r["count"] for r in chat._ranges(wants, calls, 20).groupBy("part").count().collect()]
+        assert len(sizes) == 20 and max(sizes) <= 21
+    many = [{"id": str(i), "name": "find", "arguments": {"q": f"$call:{i + 1}"}} for i in range(200)]
+    turns = spark.createDataFrame([(1, 5, "assistant", json.dumps({"tool_calls": many}))], "conv_id long, turn long, role string, text string")
+    rows = {r.call_id: (r.level, r.depth) for r in chat.format_turns(turns, TOOLS, part_calls=80).collect()}
+    assert rows == {str(i): (5, 199 - i) for i in range(200)}
+
+
 @pytest.mark.parametrize("part_calls", [400, 10**6])
 def test_long_chains_and_a_cycle(spark, part_calls):
     """Each call of a long conversation refers to the next one; two refer to each other at its end."""
