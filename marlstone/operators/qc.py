@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import page_breaks, preview
+from marlstone.scratch import hinted, materialize
 
 SHORT_PREVIEW = 30
 
@@ -36,16 +37,18 @@ def status(pages: DataFrame, preview_chars: int = 200) -> DataFrame:
 def samples(pages: DataFrame, preview_chars: int = 400) -> DataFrame:
     """doc_id, total_pages, the first page with text at the beginning (10 pages), in the middle (5 on
     either side) and at the end (10), its text, and a verdict."""
-    rows = pages.select("doc_id", "page_num", page_breaks(F.col("text")).alias("clean"))
-    sized = rows.join(rows.groupBy("doc_id").agg(F.max("page_num").alias("total_pages")), "doc_id")
+    # Numbers first, so that only pages of the three bands carry their text on.
+    sizes = materialize(pages.where("doc_id is not null").groupBy("doc_id").agg(F.max("page_num").alias("total_pages")), "sizes")
     i, n = F.col("page_num") - 1, F.col("total_pages")
     middle = F.floor(n / 2)
     bands = {"begin": i < 10, "mid": (i >= middle - 5) & (i < middle + 5), "end": i >= n - 10}
+    rows = pages.select("doc_id", "page_num", page_breaks(F.col("text")).alias("clean")).join(hinted(sizes, 64), "doc_id")
+    rows = rows.where((bands["begin"] | bands["mid"] | bands["end"]) & (F.col("clean") != ""))
+    rows = rows.select("doc_id", "page_num", "total_pages", preview(F.col("clean"), preview_chars).alias("shown"))
     found = []
-    for name, band in bands.items():
-        here = band & (F.col("clean") != "")
-        found += [F.min(F.when(here, F.col("page_num"))).alias(f"{name}_page"), F.min_by(F.when(here, preview(F.col("clean"), preview_chars)), F.when(here, F.col("page_num"))).alias(f"{name}_text")]
-    out = sized.groupBy("doc_id").agg(F.first("total_pages").alias("total_pages"), *found)
+    for name, here in bands.items():
+        found += [F.min(F.when(here, F.col("page_num"))).alias(f"{name}_page"), F.min(F.when(here, F.struct("page_num", "shown")))["shown"].alias(f"{name}_text")]
+    out = sizes.join(rows.groupBy("doc_id").agg(*found), "doc_id", "left")
     begin, mid, end = (F.col(f"{b}_page").isNotNull() for b in bands)
     verdict = F.when(begin & mid & end, "everywhere").when(begin & mid, "check the end").when(mid | end, "unstable").otherwise("poor")
     return out.withColumn("verdict", verdict)
