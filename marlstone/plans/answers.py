@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import names, text
-from marlstone.operators import answer, bm25, citations, evaluate, transcripts
+from marlstone.operators import answer, bm25, citations, evaluate, resume, transcripts
 from marlstone.plans.retrieval import BENCHMARK_SQL, INDEX_SQL, SCORED_SQL, benchmark_queries
-from marlstone.scratch import materialize
+from marlstone.scratch import materialize, new_path
 from marlstone.sources.corpus import pages
 from marlstone.sources.tables import table
 
@@ -26,6 +26,21 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(rich.withColumn("url", url), "hits")
 
 
+def answers_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as questions, asked by two runs over growing input that share a ledger, of a model that has no
+    time at first for some."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"), "role")
+
+    def ask(part: DataFrame) -> DataFrame:
+        late = (F.length("question") % 3 == 0) & (F.col("attempt") == 1)
+        status = F.when(late, "timeout").when(F.trim("question") == "", "invalid_input").otherwise("ok")
+        return part.select("question_id", status.alias("status"), text.preview(F.col("question"), 200).alias("answer"))
+
+    ledger = new_path(spark, "ledger")
+    resume.answered(turns.where("role = 'user'"), ask, ledger, batch_questions=20_000)
+    return resume.answered(turns, ask, ledger, batch_questions=20_000).select("question_id", "key", "attempt", "status", "answer")
+
+
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.contexts(benchmark_hits(spark, sf_dir))
 
@@ -174,7 +189,7 @@ QUERIES = {
     for f in (
         context_build, citation_best_chunk, citation_assign, citation_renumber, citation_validity, answer_envelope,
         eval_records, eval_summary, analysis_rows, analysis_totals, page_range_expand, text_predicates, url_fields,
-        transcript_answers, transcript_sources, message_split,
+        transcript_answers, transcript_sources, message_split, answers_resumed,
     )
 }
 
@@ -302,6 +317,9 @@ SELECT doc_id, count(part)::INTEGER AS n_parts, coalesce(max(length(part)), 0)::
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 ORACLES = {
     "answer_envelope": ENVELOPE_SQL,
+    "answers_resumed": """SELECT conv_id || '-' || turn AS question_id, sha256(q) AS key, CASE WHEN length(q) % 3 = 0 THEN 2 ELSE 1 END::INTEGER AS attempt,
+        CASE WHEN trim(q) = '' THEN 'invalid_input' ELSE 'ok' END AS status, CASE WHEN length(q) <= 200 THEN q ELSE left(q, 200) || '...' END AS answer
+      FROM (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations)""",
     "message_split": MESSAGES_SQL,
     "transcript_answers": f"""WITH {HITS_SQL} SELECT query_id AS question_id, CASE WHEN query_id % 6 = 0 THEN 'В источниках нет ответа.' ELSE 'Yes [1],' || chr(10) || chr(10) || ' no ' || query_id END AS model_answer, count(*)::INTEGER AS n_sources FROM hits GROUP BY 1""",
     "transcript_sources": f"""WITH {HITS_SQL} SELECT query_id AS question_id, rank AS index, CASE WHEN rank % 2 = 1 THEN 'Book of ' || doc_id ELSE '/data/%D1%8F/' || source_pdf || ', стр. ' || page_start END AS title,

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from marlstone import __main__ as shell
-from marlstone.operators import models, transcripts
+from marlstone.operators import models, resume, transcripts
 from marlstone.settings import Settings
 from marlstone.sources import readers, writers
 
@@ -188,3 +188,63 @@ def test_commands_answer_questions(spark):
     assert [rows[i].status for i in "1234"] == ["ok", "cli_error", "timeout", "invalid_input"]
     assert (rows["1"].stdout, rows["2"].returncode, rows["3"].duration_sec >= 3) == ("Answer: good\n", 1, True)
     assert {r.question_id: r.model_answer for r in transcripts.parse(spark.createDataFrame([("1", rows["1"].stdout)], "question_id string, stdout string")).collect()} == {"1": "good"}
+
+
+def test_calls_are_tried_again():
+    def flaky(errors):
+        def call(x):
+            if errors:
+                raise errors.pop(0)
+            return x + 1
+
+        return call
+
+    soon = resume.Retry(attempts=3, first_wait=0.001, per_second=1000)
+    assert resume.retried(flaky([TimeoutError(), ConnectionError()]), soon)(1) == 2
+    with pytest.raises(TimeoutError):
+        resume.retried(flaky([TimeoutError()] * 3), soon)(1)
+    wrong = [ValueError(), ValueError()]
+    with pytest.raises(ValueError):
+        resume.retried(flaky(wrong), soon)(1)
+    assert len(wrong) == 1  # errors of other kinds aren't tried again
+
+
+def test_lost_runs_go_on(spark, tmp_path):
+    """A run that is lost in its second batch, then one that ends: each question is asked once, but for
+    those of the batch that was lost and those that failed."""
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+    (tmp_path / "down").touch()
+    asked = spark.createDataFrame([(str(i), f"q{i % 30}") for i in range(40)] + [("n", None), ("e", "")], "question_id string, question string")
+
+    def model(question, attempt):
+        import uuid
+
+        (calls / f"{question}-{attempt}-{uuid.uuid4().hex}").touch()
+        if len(list(calls.iterdir())) > 20 and (tmp_path / "down").exists():
+            raise RuntimeError("lost")
+        return "timeout" if question == "q3" and attempt == 1 else "error" if question == "q4" else "ok"
+
+    def ask(part):
+        def run(frames):
+            for f in frames:
+                f = f[f.question != "q5"]
+                yield f.assign(status=[model(q, a) for q, a in zip(f.question, f.attempt, strict=True)])[["question_id", "status"]]
+
+        return part.mapInPandas(run, "question_id string, status string")
+
+    with pytest.raises(FAILURES, match="lost"):
+        resume.answered(asked, ask, ledger, batch_questions=8, attempts=2)
+    kept = spark.read.parquet(ledger).count()
+    assert 0 < kept < 31
+    (tmp_path / "down").unlink()
+    before = len(list(calls.iterdir()))
+    rows = resume.answered(asked, ask, ledger, batch_questions=8, attempts=2).collect()
+    assert len(list(calls.iterdir())) - before <= 31 - kept + 2
+    got = {r.question_id: (r.status, r.attempt) for r in rows}
+    assert len(rows) == 42 and got["3"] == got["33"] == ("ok", 2) and got["4"] == ("error", 2) and got["5"] == (None, 2)
+    assert all(v == ("ok", 1) for k, v in got.items() if k not in ("3", "33", "4", "34", "5", "35"))
+    before = len(list(calls.iterdir()))
+    assert {(r.question_id, r.status) for r in resume.answered(asked, ask, ledger, attempts=2).collect()} == {(k, v[0]) for k, v in got.items()}
+    assert len(list(calls.iterdir())) == before  # nothing is left to ask
+    assert resume.answered(asked.where("false"), ask, str(tmp_path / "none")).count() == 0
