@@ -687,6 +687,15 @@ def test_suffix_tree_scores(spark, monkeypatch, frequent, share, common, owner):
         assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
 
 
+def test_weights_of_any_size():
+    """Copies are counted whole, also beyond what three bytes hold."""
+    columns = [np.array([1, 2**24 - 1, 0]), np.array([5, 6, 7])]
+    for weight in ([1, 0, 2**24 - 1], [2**24, 3, 2**40 + 2**24 + 9]):
+        got, above = suffix_tree_lm._unpack(suffix_tree_lm._pack(columns, np.array(weight)), 3, 3)
+        assert (got[:2] == columns).all()
+        assert (got[2] + (0 if above is None else above)).tolist() == weight
+
+
 def test_contexts_stay_as_texts_are_added(spark):
     """A text that occurs twice is told apart, however much else is learned from."""
     rng = random.Random(7)
