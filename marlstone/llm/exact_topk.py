@@ -9,10 +9,12 @@ the largest distance from it, and writes the tiles. Queries go to the tiles in b
    and sends each query's best k scores. The k-th best over all tasks is a score that k rows reach: a
    safe cutoff.
 2. The cutoffs go to all tasks. In a list j no vector of a tile can score above
-   query_j . centre_j + |query_j| radius_j. A row that reaches the cutoff must reach cutoff / lists in
-   one list at least, and the lists' bounds must reach the cutoff together: only tiles where both hold
-   are collected; no product is made with the others.
-3. The scores of the collected tiles are resolved exactly. Each task returns at most k rows of a query that
+   query_j . centre_j + |query_j| radius_j; tiles whose lists' bounds don't reach the cutoff together are
+   left out whole. In the others the local score lists are made, in single precision, each score widened
+   by more than its rounding. A row that reaches the cutoff must reach the uniform threshold, cutoff / lists,
+   in one list at least: entries that do are collected, and of these stay the rows whose local scores
+   reach the cutoff together.
+3. What has been collected is resolved exactly. Each task returns at most k rows of a query that
    reach its cutoff; ties go to the smaller vec_id.
 
 Scores are whole numbers and never rounded: products that a double cannot hold are made with Python's
@@ -164,13 +166,26 @@ class Block:
         return np.stack([np.sqrt((v[:, c] ** 2).sum(axis=1)) for c in cuts], axis=1)
 
 
-def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products: doubles if these hold them, else Python's integers."""
+def _exact_kind(queries: np.ndarray, vectors: np.ndarray) -> type:
+    """Doubles if these hold the products, else Python's integers."""
     largest = int(np.abs(queries.astype(np.float64)).max(initial=0)) * int(np.abs(vectors.astype(np.float64)).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float64 if largest < 2**53 else object
+    return np.float64 if largest < 2**53 else object
+
+
+def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products of all queries with all vectors."""
+    kind = _exact_kind(queries, vectors)
     return queries.astype(kind) @ vectors.astype(kind).T
 
 
+def pair_scores(queries: np.ndarray, vectors: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of queries a with vectors b, pair by pair."""
+    kind = _exact_kind(queries, vectors)
+    step = max(1, SCORES_AT_ONCE // max(1, queries.shape[1]))
+    parts = [(queries[a[i : i + step]].astype(kind) * vectors[b[i : i + step]].astype(kind)).sum(axis=1) for i in range(0, len(a), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def bounds(block: Block, own: list[Tile], lists: int) -> np.ndarray:
     """(list, query, tile): what a vector of the tile can score in the list at most."""
     cuts = list_cuts(own[0].dims, lists)
@@ -183,9 +198,23 @@ def bounds(block: Block, own: list[Tile], lists: int) -> np.ndarray:
 
 def collected(block: Block, own: list[Tile], lists: int) -> np.ndarray:
     """(query, tile): whether a vector of the tile may reach the query's cutoff."""
-    upper = bounds(block, own, lists)
-    cutoff = block.cutoffs[:, None]
-    return (upper >= cutoff / len(upper)).any(axis=0) & (upper.sum(axis=0) >= cutoff)
+    return bounds(block, own, lists).sum(axis=0) >= block.cutoffs[:, None]
+
+
+def admitted(queries: np.ndarray, cutoffs: np.ndarray, tile: Tile, lists: int) -> np.ndarray:
+    """(query, vector): whether one local score reaches the uniform threshold, and all together the cutoff."""
+    small = tile.vectors.dtype.itemsize <= 4 and np.abs(queries.astype(np.float64)).max(initial=0) < 2.0**31
+    kind, unit = (np.float32, 2.0**-23) if small else (np.float64, 2.0**-52)
+    cuts, cutoff = list_cuts(tile.dims, lists), cutoffs[:, None]
+    reaches = np.zeros((len(queries), len(tile.vectors)), bool)
+    total = np.zeros(reaches.shape)
+    for c in cuts:
+        q, v = queries[:, c].astype(np.float64), tile.vectors[:, c].astype(np.float64)
+        rounding = (len(c) + len(cuts) + 4) * unit * np.outer(np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1)))
+        local = q.astype(kind) @ v.astype(kind).T + rounding
+        reaches |= local >= cutoff / len(cuts)
+        total += local
+    return reaches & (total >= cutoff)
 
 
 class Best:
@@ -216,17 +245,23 @@ class Best:
         return all_rows[:, nth < self.k]
 
 
-def _resolve(best: Best, block: Block, queries: np.ndarray, tile: Tile) -> None:
-    """Score the tile's vectors with some of the block's queries, and keep those that reach the cutoff."""
+def _resolve(best: Best, block: Block, queries: np.ndarray, tile: Tile, lists: int) -> None:
+    """Score with some of the block's queries the tile's vectors, or with cutoffs only those that their local
+    scores admit, and keep what reaches the cutoff."""
     step = max(1, SCORES_AT_ONCE // max(1, len(tile.ids)))
     for i in range(0, len(queries), step):
         some = queries[i : i + step]
-        found = scores(block.vectors[some], tile.vectors)
-        keep = tile.places[None, :] != block.places[some][:, None]
+        wanted = tile.places[None, :] != block.places[some][:, None]
+        if block.cutoffs is not None:
+            wanted &= admitted(block.vectors[some], block.cutoffs[some], tile, lists)
+        a, b = np.nonzero(wanted)
+        if 4 * len(a) > wanted.size:  # so many that a product of matrices is less work
+            found = scores(block.vectors[some], tile.vectors)[a, b]
+        else:
+            found = pair_scores(block.vectors[some], tile.vectors, a, b)
         if block.cutoffs is not None:
-            keep &= (found >= block.cutoffs[some][:, None]).astype(bool)
-        a, b = np.nonzero(keep)
-        found = found[a, b]
+            keep = (found >= block.cutoffs[some][a]).astype(bool)
+            a, b, found = a[keep], b[keep], found[keep]
         if found.dtype == object:
             found = np.array([max(-_LARGEST - 1, min(_LARGEST, int(x))) for x in found], np.int64)
         best.add(some[a], tile.ids[b], found.astype(np.int64))
@@ -258,7 +293,7 @@ def _phase(shared, k: int, lists: int, leading: int):
                     else:
                         wanted = collected(part, own, lists)
                     for t in np.flatnonzero(wanted.any(axis=0)).tolist():
-                        _resolve(best[own[t].dims], block, i + np.flatnonzero(wanted[:, t]), own[t])
+                        _resolve(best[own[t].dims], block, i + np.flatnonzero(wanted[:, t]), own[t], lists)
         for dims, found in best.items():
             query, ids, score = found.rows()
             columns = (blocks[dims].places[query], blocks[dims].ids[query], ids, score)

@@ -78,6 +78,44 @@ def test_threshold_spares_products():
         assert wanted[:, t][(every[:, tile.ids] >= block.cutoffs[:, None]).any(axis=1)].all()
 
 
+def admitted_share(matrix, queries, lists=4, k=10):
+    """What the local scores admit of all products, in tiles that bounds don't spare; every row that reaches a cutoff is in."""
+    every = queries @ matrix.T
+    cutoffs = np.sort(every, axis=1)[:, -k]
+    made = 0
+    for rows in exact_topk.tiles_of(matrix, 128):
+        v = matrix[rows]
+        tile = exact_topk.Tile(matrix.shape[1], rows, rows, np.zeros(len(rows), bool), v, v.mean(axis=0), np.zeros(lists))
+        wanted = exact_topk.admitted(queries, cutoffs, tile, lists)
+        assert wanted[every[:, rows] >= cutoffs[:, None]].all()
+        a, b = np.nonzero(wanted)
+        assert (exact_topk.pair_scores(queries, v, a, b) == every[a, rows[b]]).all()
+        made += wanted.sum()
+    return made / every.size
+
+
+def test_entries_spare_products(spark):
+    """Of the given vectors, where no tile is spared, few products are resolved."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    matrix = np.floor(1024 * np.stack(rows.embedding).astype(np.float64))
+    assert admitted_share(matrix, matrix[rows.vec_id % 100 == 0]) < 0.1
+
+
+@pytest.mark.parametrize("largest", [3, 2**20, 2**40])
+def test_entries_that_tie_or_are_huge(largest):
+    """Rounding of local scores never keeps out a row that reaches its cutoff."""
+    rng = np.random.default_rng(largest)
+    matrix = rng.integers(-largest, largest + 1, (300, 7)).astype(object)
+    queries = matrix[::30]
+    every = queries @ matrix.T
+    cutoffs = np.array(np.sort(every, axis=1)[:, -10], np.float64)
+    cutoffs = np.where(np.abs(cutoffs) < 2.0**53, cutoffs, cutoffs - 2.0**-50 * np.abs(cutoffs))
+    v = matrix.astype(np.int64)
+    tile = exact_topk.Tile(7, np.arange(300), np.arange(300), np.zeros(300, bool), v, np.zeros(7), np.zeros(4))
+    wanted = exact_topk.admitted(queries.astype(np.int64), cutoffs, tile, 4)
+    assert wanted[(every >= cutoffs[:, None]).astype(bool)].all()
+
+
 # URL filters -------------------------------------------------------------------------------------
 
 
