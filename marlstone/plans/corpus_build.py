@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import names
 from marlstone.functions.text import prose_sentences
-from marlstone.operators import chunk, clean, graph, qc, registry
+from marlstone.operators import chunk, clean, graph, qc, registry, reports
 from marlstone.scratch import materialize
 from marlstone.sources.corpus import LINES_SQL, PAGES_SQL, line_chunks, pages
 from marlstone.sources.tables import table
@@ -88,6 +88,15 @@ def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.samples(pages(spark, sf_dir))
 
 
+def header_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lined = materialize(clean.page_lines(pages(spark, sf_dir)), "lines")
+    return reports.header_report(lined, clean.repeated_lines(lined, RATIO))
+
+
+def sample_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sample_report(qc.samples(pages(spark, sf_dir)))
+
+
 def _url_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file name for each page: its address' last part, with an accent and a suffix."""
     url = F.regexp_replace("url", r"[?#].*$", "")
@@ -133,7 +142,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_lines, repeated_header_footer, cleaned_pages, preprocess_report, sentence_split, chunk_documents, chunk_stats, chunk_stats_by_doc,
-        chunk_graph_edges, chunk_graph_nodes, chunk_graph_stats, graph_expand, qc_status, page_samples, filename_key, evaluation_filename_key,
+        chunk_graph_edges, chunk_graph_nodes, chunk_graph_stats, graph_expand, qc_status, page_samples, header_report, sample_report, filename_key, evaluation_filename_key,
         stable_point_id, registry_enrich, new_sources_anti,
     )
 }
@@ -266,6 +275,14 @@ CHUNKS_SQL = rf"""{PAGES_SQL}, paragraphs AS (
 )"""
 
 
+def _sample_report_sql() -> str:
+    bands = " || ".join(f"['', '{title}', '{reports.PAGE}' || coalesce({b}_page::VARCHAR, '-'), '{reports.SHOWN}' || coalesce(nullif({b}_text, ''), '-')]" for b, title in reports.BANDS.items())
+    verdict = " ".join(f"WHEN '{name}' THEN '{text}'" for name, text in reports.VERDICTS.items())
+    return f"""WITH l AS (SELECT doc_id, ['{reports.RULE}', '{reports.FILE}' || doc_id, '{reports.TOTAL}' || total_pages] || {bands}
+        || ['', '{reports.VERDICT}', '{reports.STATUS}' || CASE verdict {verdict} END, ''] AS lines FROM ({_samples_sql()}))
+      SELECT doc_id, unnest(range(len(lines)))::INTEGER AS at, unnest(lines) AS line FROM l"""
+
+
 def _oracles() -> dict[str, str]:
     from marlstone.plans.retrieval import DENSE_SQL
 
@@ -296,6 +313,11 @@ def _oracles() -> dict[str, str]:
           SELECT doc_id, CASE WHEN text_pages = 0 THEN 'bad' WHEN length(preview) < 30 THEN 'acceptable' WHEN empty_pages / total_pages > 0.5 THEN 'bad' WHEN empty_pages / total_pages > 0.2 THEN 'acceptable' ELSE 'good' END AS status,
             total_pages, text_pages, empty_pages, first_text_page, preview FROM c""",
         "page_samples": _samples_sql(),
+        "header_report": f"""WITH {LINED_SQL}, {REPEATED_SQL}, k AS (SELECT doc_id, list(line ORDER BY line) FILTER (kind = 'header') AS headers, list(line ORDER BY line) FILTER (kind = 'footer') AS footers FROM repeated GROUP BY 1
+          ), l AS (SELECT doc_id, ['{reports.RULE}', '{reports.FILE}' || doc_id, 'Headers{reports.FOUND}' || coalesce(len(headers), 0)] || coalesce(list_transform(headers, lambda x: '[HEADER] ' || x), ['[HEADER] {reports.NONE}'])
+            || ['Footers{reports.FOUND}' || coalesce(len(footers), 0)] || coalesce(list_transform(footers, lambda x: '[FOOTER] ' || x), ['[FOOTER] {reports.NONE}']) || [''] AS lines FROM sizes LEFT JOIN k USING (doc_id))
+          SELECT doc_id, unnest(range(len(lines)))::INTEGER AS at, unnest(lines) AS line FROM l""",
+        "sample_report": _sample_report_sql(),
         "filename_key": f"WITH {URL_FILES_SQL} SELECT page_id, filename, trim(regexp_replace(regexp_replace(lower(strip_accents(filename)), '\\.pdf$', ''), '[^a-z0-9]+', ' ', 'g')) AS key FROM files",
         "evaluation_filename_key": f"WITH {URL_FILES_SQL} SELECT page_id, lower({spaced.format('filename')}) AS key FROM files",
         "stable_point_id": f"WITH {PAGES_SQL} SELECT chunk_id, (('0x' || left(sha1(source_pdf || ':' || chunk_id), 16))::UBIGINT)::VARCHAR AS point_id FROM pages_view",

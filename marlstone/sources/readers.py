@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.functions import media
 from marlstone.functions.names import basename, slug
 from marlstone.functions.text import first_filled, positive_int, stripped
-from marlstone.scratch import ship
+from marlstone.scratch import hinted, materialize, ship
 
 # The field names that files of different ages use.
 PAGE_FIELDS = ("page_num", "page", "page_no", "page_number", "pdf_page")
@@ -34,15 +35,25 @@ GOLD = (
 
 def raw_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """value, _file, _line of the lines of a folder's files and of those below it, without BOMs and blank
-    lines. Later lines of a file have larger numbers; numbers of several files don't compare."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    return raw.withColumn("value", stripped(F.translate("value", "﻿", ""))).where("value <> ''")
+    lines. _line is the line's number in its file, from 1. A large file is read in parts by several tasks:
+    the lines of each part are counted first, which reads the files once more but moves only counts."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    parts = text.select(*place).groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("_file").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(parts.select("_file", "_part", (before + 1 - F.col("first")).alias("_start")), "parts")
+    raw = text.select("value", *place).join(hinted(starts, 256), ["_file", "_part"])
+    return raw.select(stripped(F.translate("value", "\ufeff", "")).alias("value"), "_file", (F.col("_row") + F.col("_start")).alias("_line")).where("value <> ''")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl", mode: str = "FAILFAST") -> DataFrame:
-    """Rows of JSON lines; a line that is no JSON stops the job. `_file` and `_line` say where a row is from."""
-    row = F.from_json("value", schema, {"mode": mode})
-    return raw_lines(spark, path, pattern).select("_file", "_line", row.alias("r")).select("_file", "_line", "r.*")
+    """Rows of JSON lines. `_file` and `_line` say where a row is from. A line that is no JSON stops the job
+    with its file and number, if the mode is FAILFAST; so does one of other types, without them."""
+    lines, value = raw_lines(spark, path, pattern), F.col("value")
+    if mode == "FAILFAST":
+        wrong = F.concat("_file", F.lit(":"), F.col("_line").cast("string"), F.lit(": no JSON: "), F.left("value", F.lit(200)))
+        value = F.when(F.get_json_object("value", "$").isNotNull(), value).otherwise(F.raise_error(wrong).cast("string"))
+    return lines.select("_file", "_line", F.from_json(value, schema, {"mode": mode}).alias("r")).select("_file", "_line", "r.*")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -59,13 +70,14 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 _PAGE = "_file string, doc_id string, title string, source string, page string, text string"
 
 
-def _flat_pages(value: str, file: str) -> Iterator[tuple]:
+def _flat_pages(value: str, file: str, line: int | None = None) -> Iterator[tuple]:
     """The pages of an object that may hold lists of pages, to any depth. What a page does not say of its
     document is that of the object around it."""
     try:
         todo = [(json.loads(value), {})]
     except ValueError as e:
-        raise ValueError(f"{file}: {e}: {value[:200]}") from None
+        where = file if line is None else f"{file}:{line}"
+        raise ValueError(f"{where}: {e}: {value[:200]}") from None
     while todo:
         found, around = todo.pop()
         if isinstance(found, list):
@@ -88,17 +100,18 @@ def _flat_pages(value: str, file: str) -> Iterator[tuple]:
 
 
 def page_texts(objects: DataFrame) -> DataFrame:
-    """doc_id, title, source_pdf, page_num, text of page objects (value as JSON, _file). Pages without a
-    number or text drop out; a value that is no JSON stops the job."""
+    """doc_id, title, source_pdf, page_num, text of page objects (value as JSON, _file, and _line if they
+    are lines). Pages without a number or text drop out; a value that is no JSON stops the job, which says where it is."""
     ship(objects.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _PAGE.split(", ")]
         for b in batches:
-            rows = [r for v, f in zip(b.column("value").to_pylist(), b.column("_file").to_pylist(), strict=True) for r in _flat_pages(v, f)]
+            rows = [r for v, f, n in zip(*(b.column(c).to_pylist() for c in ("value", "_file", "_line")), strict=True) for r in _flat_pages(v, f, n)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * len(names), names)
 
-    rows = objects.select("value", "_file").mapInArrow(run, _PAGE)
+    line = F.col("_line") if "_line" in objects.columns else F.lit(None)
+    rows = objects.select("value", "_file", line.cast("long").alias("_line")).mapInArrow(run, _PAGE)
     stem = F.regexp_replace(basename(F.col("_file")), r"\.[^.]*$", "")
     source = F.coalesce("source", F.concat(stem, F.lit(".pdf")))
     name = F.regexp_replace(basename(source), r"\.[^.]*$", "")
@@ -108,12 +121,12 @@ def page_texts(objects: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of the JSON lines and JSON files of a folder. A folder without any stops the job."""
-    lines = raw_lines(spark, path).select("value", "_file")
+    lines = raw_lines(spark, path)
     whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     whole = whole.select(stripped(F.translate("value", "\ufeff", "")).alias("value"), F.col("_metadata.file_path").alias("_file")).where("value <> ''")
     if not lines.limit(1).count() and not whole.limit(1).count():
         raise FileNotFoundError(f"no JSON or JSONL in {path}")
-    return page_texts(lines.unionByName(whole))
+    return page_texts(lines.unionByName(whole, allowMissingColumns=True))
 
 
 #: content of a file -> the texts of its pages
@@ -206,6 +219,5 @@ def latest_file(spark: SparkSession, path: str, pattern: str = "baseline*.jsonl"
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """filename, sha256, bytes, mime of all files below a folder."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    mime = F.when(suffix == ".pdf", "application/pdf").when(suffix.isin(".txt", ".md"), "text/plain").when(suffix == ".json", "application/json").when(suffix == ".html", "text/html").when(suffix == ".csv", "text/csv").when(suffix == ".png", "image/png").when(suffix.isin(".jpg", ".jpeg"), "image/jpeg").when(suffix == ".zip", "application/zip").when(suffix == ".docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("application/octet-stream")
-    return rows.select(basename(F.col("path")).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), mime.alias("mime"), suffix.alias("suffix"))
+    name = basename(F.col("path"))
+    return rows.select(name.alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), media.mime(name).alias("mime"), F.lower(media.suffix(name)).alias("suffix"))

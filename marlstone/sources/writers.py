@@ -35,6 +35,12 @@ def write_text(lines: DataFrame, path: str, column: str = "line") -> None:
     lines.select(column).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines of a report (doc_id, at, line) in the order of documents and lines, over ordered files."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    lines.repartitionByRange(n, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("line").write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").json(path)
 
@@ -64,7 +70,7 @@ def utc_now() -> Column:
 
 def with_object_keys(files: DataFrame) -> DataFrame:
     """Where a file's content goes: by its digest."""
-    return files.withColumn("s3_key", F.concat(F.lit("raw/"), "sha256", "suffix"))
+    return files.withColumn("s3_key", F.concat(F.lit("raw/"), "sha256", F.coalesce(F.nullif("suffix", F.lit("")), F.lit(".bin"))))
 
 
 def upload_sources(spark: SparkSession, folder: str, objects: str, registry_path: str, bucket: str) -> int:

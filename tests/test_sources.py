@@ -1,6 +1,8 @@
 """Readers, writers, streams, the engine and the registered queries."""
 
 import json
+import mimetypes
+import os
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from marlstone import engine
+from marlstone.functions import media, names
+from marlstone.operators import qc, reports
 from marlstone.sources import readers, writers
 from marlstone.streaming import ingest
 
@@ -37,6 +41,49 @@ def test_bad_lines_stop(spark, tmp_path):
         readers.read_pages(spark, str(tmp_path)).collect()
 
 
+def test_lines_are_numbered_over_the_parts_of_files(spark, tmp_path):
+    """Files that several tasks read in parts: numbers are those of the file, and errors name them."""
+    lines = [json.dumps({"chunk_id": str(i % 7), "source_pdf": "f.pdf", "text": f"{i} " + "x" * (i % 50)}) for i in range(400)]
+    put(tmp_path / "c", "a.jsonl", "", *lines[:150], bom=True)
+    put(tmp_path / "c", "b.jsonl", *lines[150:300], "", " ", *lines[300:])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    try:
+        rows = readers.raw_lines(spark, str(tmp_path / "c"))
+        assert rows.rdd.getNumPartitions() > 5
+        got = {r._file.rsplit("/", 1)[1][0] + str(r._line): r.value for r in rows.collect()}
+        want = {f"a{i + 3}": x for i, x in enumerate(lines[:150])} | {f"b{i + 1}": x for i, x in enumerate(lines[150:300])} | {f"b{i + 153}": x for i, x in enumerate(lines[300:])}
+        assert got == want
+        last = {r.chunk_id: int(r.text.split()[0]) for r in readers.last_by_id(readers.read_chunks(spark, str(tmp_path / "c"))).collect()}
+        assert last == {str(i % 7): i for i in range(393, 400)}
+        put(tmp_path / "bad", "c.jsonl", *lines[:200], '{"text": ', *lines[200:])
+        with pytest.raises(FAILURES, match=r"c\.jsonl:201: no JSON"):
+            readers.read_chunks(spark, str(tmp_path / "bad")).select("chunk_id").collect()
+        with pytest.raises(FAILURES, match=r"c\.jsonl:201: "):
+            readers.read_pages(spark, str(tmp_path / "bad")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("name", ["a.pdf", "A.PDF", "b.tar.gz", "b.tgz", "c.TGZ", "d.txt.gz", "e.svgz", ".bashrc", "..x", "noext", "f.", "g.docx", "h.unknown", "i.jpeg", "j.md", "k.html", "l.tar.Z", "m.gz"])
+def test_media_types(spark, name):
+    want = mimetypes.MimeTypes().guess_type(name)[0] or "application/octet-stream"
+    row = spark.createDataFrame([(f"/some.dir/{name}",)], "path string").select(media.mime(F.col("path")).alias("mime"), media.suffix(names.basename(F.col("path"))).alias("suffix")).first()
+    assert (row.mime, row.suffix) == (want, "" if name == "f." else os.path.splitext(name)[1])
+
+
+def test_reports(spark, tmp_path):
+    docs = spark.createDataFrame([("b",), ("a",), ("a",)], "doc_id string")
+    repeated = spark.createDataFrame([("a", "z", "header"), ("a", "c", "header")], "doc_id string, line string, kind string")
+    writers.write_report(reports.header_report(docs, repeated), str(tmp_path / "r"))
+    written = "".join(f.read_text() for f in sorted((tmp_path / "r").glob("part-*.txt"))).split("\n")
+    rule = "=" * 120
+    assert written == [rule, "Файл: a", "Headers найдено: 2", "[HEADER] c", "[HEADER] z", "Footers найдено: 0", "[FOOTER] нет", "", rule, "Файл: b", "Headers найдено: 0", "[HEADER] нет", "Footers найдено: 0", "[FOOTER] нет", "", ""]
+    pages = spark.createDataFrame([("d", 1, None), ("d", 2, "hello there")], "doc_id string, page_num int, text string")
+    lines = [r.line for r in reports.sample_report(qc.samples(pages)).orderBy("at").collect()]
+    assert lines[:7] == [rule, "Файл: d", "Всего страниц: 2", "", "[НАЧАЛО]", "Страница: 2", "Фрагмент: hello there"]
+    assert lines[-2:] == ["Статус: текст найден в начале, середине и конце документа.", ""]
+
+
 def test_chunks_registry_graph_gold(spark, tmp_path):
     put(tmp_path / "c", "c.jsonl", {"chunk_id": "1", "source_pdf": "d/f.pdf", "page_num": 2, "text": "old"}, {"chunk_id": "1", "source_pdf": "f.pdf", "page_start": 3, "text": "new"}, {"chunk_id": "2", "text": " "}, {"text": "nameless"})
     chunks = readers.read_chunks(spark, str(tmp_path / "c"))
