@@ -44,7 +44,7 @@ def index_chunks(chunks: DataFrame, vectors: DataFrame | None = None, files: Dat
         chunks = registry.enrich(chunks, files)
     chunks = materialize(chunks, "chunks")
     index = bm25.build(chunks)
-    index = bm25.Bm25Index(materialize(index.postings, "postings"), materialize(index.terms, "terms"), materialize(index.stats, "stats"))
+    index = bm25.Bm25Index(materialize(index.postings, "postings"), materialize(index.terms, "terms"), materialize(index.stats, "stats"), index.rows)
     narrow = chunks.select("doc_id", "page_num", "chunk_id")
     nodes = materialize(graph.runs(narrow), "nodes")
     return Index(chunks, index, nodes, vectors)

@@ -396,3 +396,49 @@ def test_runs_stand_for_the_whole_graph(spark):
     for settings in ((5, 2, 2), (9, 3, 4), (1, 1, 1)):
         full = sorted(map(tuple, graph.expand(seeds, nodes, *settings).collect()))
         assert sorted(map(tuple, graph.expand_runs(seeds, held, *settings).collect())) == full
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_search_moves_no_postings(spark, monkeypatch, small):
+    """Hits are those of the full scores, ties by page and id, in blocks of any size; neither postings nor scores of
+    pairs are written, and a saved index, which has no rows of chunks, gives the same."""
+    rng = random.Random(5)
+    words = [f"w{i:03d}" for i in range(80)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(80)], k=rng.randint(0, 40))) for _ in range(200)]
+    texts += texts[:30] + [None, "w001 w001"]
+    chunks = spark.createDataFrame([(f"c{i:03d}", t, rng.choice([None, -1, 1, 2, 3])) for i, t in enumerate(texts)], "chunk_id string, text string, page_num int").cache()
+    page = {r.chunk_id: r.page_num if r.page_num and r.page_num > 0 else bm25.LAST_PAGE for r in chunks.collect()}
+    queries = spark.createDataFrame(list(enumerate([*texts[:40:2], "w000 w000 w079", "none", None])), "query_id long, query string")
+    index = bm25.build(chunks)
+    if small:
+        for name, value in {"QUERIES_AT_ONCE": 9, "TOKENS_AT_ONCE": 50, "SCORES_AT_ONCE": 64, "DENSE_WORDS": 3}.items():
+            monkeypatch.setattr(bm25, name, value)
+    scores = {}
+    for r in bm25.score(index, queries).collect():
+        scores.setdefault(r.query_id, []).append((-r.score, page[r.chunk_id], r.chunk_id))
+    want = sorted((q, n, c, -s) for q, found in scores.items() for n, (s, _, c) in enumerate(sorted(found)[:7], 1))
+    seen, write = [], bm25.materialize
+    monkeypatch.setattr(bm25, "materialize", lambda df, label: seen.append(label) or write(df, label))
+    for held in (index, bm25.Bm25Index(index.postings, index.terms, index.stats)):
+        got = bm25.search(held, queries, chunks, 7).collect()
+        assert sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in got) == want
+    assert seen == ["query_terms", "weights", "query_terms", "rows", "weights"]
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group has one task read all its rows, however many splits it has."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from marlstone import scratch
+
+    pq.write_table(pa.table({"i": list(range(20_000))}), f"{tmp_path}/x.parquet", row_group_size=1 << 20)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        df = spark.read.parquet(f"{tmp_path}/x.parquet")
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in scratch.spread(df).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 10_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
