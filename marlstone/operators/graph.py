@@ -21,27 +21,32 @@ DECAY = 0.95
 
 def edges(chunks: DataFrame) -> DataFrame:
     """src, dst, edge_type of chunks (doc_id, page_num, chunk_id); an edge that several rules give is
-    credited to the first of KINDS."""
+    credited to the first of KINDS. Pairs that follow each other are left out of the other rules by their places,
+    so edges need not meet to be made distinct; only if chunk ids repeat are they grouped."""
     rows = chunks.select("doc_id", "page_num", "chunk_id")
     page_key = F.when(F.col("page_num") > 0, F.col("page_num")).otherwise(LAST_PAGE)
-    placed = ranked(rows.withColumn("page_key", page_key), ["doc_id"], ["page_key", "chunk_id"], "at")
+    placed = materialize(ranked(rows.withColumn("page_key", page_key), ["doc_id"], ["page_key", "chunk_id"], "at").drop("page_key"), "placed")
+    repeated = placed.groupBy("chunk_id").count().where("count > 1").limit(1).count() > 0
     here = placed.select("doc_id", "at", F.col("chunk_id").alias("a"))
     after = placed.select("doc_id", (F.col("at") - 1).alias("at"), F.col("chunk_id").alias("b"))
     follow = here.join(after, ["doc_id", "at"])
-    known = rows.where("page_num is not null")
-    left = known.select("doc_id", "page_num", F.col("chunk_id").alias("a"))
-    right = known.select("doc_id", "page_num", F.col("chunk_id").alias("b"))
-    same = left.join(right, ["doc_id", "page_num"]).where("a < b")
+    known = placed.where("page_num is not null")
+    left = known.select("doc_id", "page_num", F.col("at").alias("a_at"), F.col("chunk_id").alias("a"))
+    right = known.select("doc_id", "page_num", F.col("at").alias("b_at"), F.col("chunk_id").alias("b"))
+    apart = F.lit(True) if repeated else F.abs(F.col("a_at") - F.col("b_at")) != 1
+    same = left.join(right, ["doc_id", "page_num"]).where((F.col("a") < F.col("b")) & apart)
     next_page = right.withColumn("page_num", F.col("page_num") - 1)
-    adjacent = left.join(next_page, ["doc_id", "page_num"]).where("a <> b")
+    adjacent = left.join(next_page, ["doc_id", "page_num"]).where((F.col("a") != F.col("b")) & apart)
 
     def both_ways(pairs: DataFrame, kind: int) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
         return pairs.select(ends.alias("e")).select("e.src", "e.dst", F.lit(kind).alias("kind"))
 
     every = both_ways(follow, 0).unionByName(both_ways(same, 1)).unionByName(both_ways(adjacent, 2))
+    if repeated:
+        every = every.groupBy("src", "dst").agg(F.min("kind").alias("kind"))
     names = F.array(*map(F.lit, KINDS))
-    return every.groupBy("src", "dst").agg(F.min("kind").alias("kind")).select("src", "dst", F.get(names, F.col("kind")).alias("edge_type"))
+    return every.select("src", "dst", F.get(names, F.col("kind")).alias("edge_type"))
 
 
 def nodes(chunks: DataFrame, links: DataFrame) -> DataFrame:

@@ -442,3 +442,26 @@ def test_rows_of_one_row_group_are_spread(spark, tmp_path):
         assert sum(sizes) == 20_000 and max(sizes) < 10_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_edges_are_not_grouped(spark):
+    """Edges are distinct as they are made: nothing holds them all to group them, unless chunk ids repeat."""
+    rng = random.Random(3)
+    rows = [(d, rng.choice([None, 0, -1, 1, 1, 2, 3, 3, 5, 6]), f"{d}{i:03d}") for d in "ab" for i in rng.sample(range(1000), 30)]
+    for chosen in (rows, [*rows, ("z", 1, rows[0][2]), ("z", 2, rows[0][2]), ("z", 2, "z1")]):
+        found = {}
+        keyed = {}
+        for d, p, c in chosen:
+            keyed.setdefault(d, []).append((p if p and p > 0 else graph.LAST_PAGE, c, p))
+        for held in keyed.values():
+            held.sort(key=lambda x: x[:2])
+            for i, (_, a, p) in enumerate(held):
+                for j, (_, b, r) in enumerate(held):
+                    known = p is not None and r is not None
+                    kind = 0 if abs(i - j) == 1 else 1 if known and p == r and a != b else 2 if known and abs(p - r) == 1 and a != b else None
+                    if kind is not None:
+                        found[a, b] = min(kind, found.get((a, b), 9))
+        got = graph.edges(spark.createDataFrame(chosen, "doc_id string, page_num int, chunk_id string"))
+        assert sorted(map(tuple, got.collect())) == sorted((a, b, graph.KINDS[k]) for (a, b), k in found.items())
+        if chosen is rows:
+            assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
