@@ -5,13 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import WHITE_SPACE
 from marlstone.scratch import ship
 
 SIZE, SHORT_TAIL = 900, 180
+#: Bytes of text that a task cuts at once.
+CUT_AT_ONCE = 1 << 20
+#: A page has chunks if it has a character that is none of these.
+BLANK = WHITE_SPACE + "\x1c\x1d\x1e\x1f"
 FULL_ENOUGH, TAIL_ROOM = 0.6, 1.35
 # Where texts may be cut.
 SENTENCE_BREAK = re.compile(r'(?<=[.!?…])\s+(?=[A-ZА-ЯЁ0-9"«(])')
@@ -94,12 +101,23 @@ def chunked(pages: DataFrame, size: int = SIZE, short_tail: int = SHORT_TAIL) ->
     pages (doc_id, title, source_pdf, page_num, text)."""
 
     ship(pages.sparkSession)
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: page_chunks(t or "", size, short_tail))
-
-    rows = pages.select("doc_id", "title", "source_pdf", "page_num", F.posexplode(cut("text")).alias("at", "chunk"))
+    kept, at_once = ("doc_id", "title", "source_pdf", "page_num"), CUT_AT_ONCE
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy()) // at_once
+            cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts, cuts[1:], strict=False):  # so that what is held doesn't grow with the batch
+                part = b.slice(start, stop - start)
+                lists = [page_chunks(t or "", size, short_tail) for t in part.column("text").to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), pa.int64())
+                at = pa.array([i for x in lists for i in range(len(x))], pa.int32())
+                cut_texts = pa.array([c for x in lists for c in x], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in kept), at, cut_texts], [*kept, "at", "chunk"])
+
+    pages = pages.select(*kept, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema if f.name != "text")
+    rows = pages.mapInArrow(cut, f"{kinds}, at int, chunk string")
     return rows.select(
         "doc_id", "title", "source_pdf", "page_num",
         F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"),

@@ -465,3 +465,14 @@ def test_edges_are_not_grouped(spark):
         assert sorted(map(tuple, got.collect())) == sorted((a, b, graph.KINDS[k]) for (a, b), k in found.items())
         if chosen is rows:
             assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_cut_in_slices(spark, monkeypatch):
+    """A task holds some bytes of text at once, not a batch; the chunks are the same."""
+    rng = random.Random(6)
+    texts = [None, "", *(" ".join(rng.choices(["Word", "и", "end.", "next;"], k=rng.randint(1, 400))) for _ in range(60))]
+    pages = spark.createDataFrame([("d", "t", "p", i, t) for i, t in enumerate(texts)], "doc_id string, title string, source_pdf string, page_num int, text string")
+    want = sorted((i, n, c) for i, t in enumerate(texts) for n, c in enumerate(chunk.page_chunks(t or ""), 1))
+    for at_once in (1, 1000, 1 << 20):
+        monkeypatch.setattr(chunk, "CUT_AT_ONCE", at_once)
+        assert sorted(map(tuple, chunk.chunked(pages).select("page_num", "chunk_index", "text").collect())) == want
