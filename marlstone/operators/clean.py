@@ -26,6 +26,12 @@ def _bottom(lines: Column) -> Column:
     return F.slice(lines, F.greatest(F.size(lines) - (ZONE - 1), F.lit(1)), ZONE)
 
 
+def zone_lines(lines: Column) -> Column:
+    """The lines of the two zones, which are all that repeated_lines looks at; empty those that are too long for it."""
+    zones = F.when(F.size(lines) > 2 * ZONE, F.concat(F.slice(lines, 1, ZONE), _bottom(lines))).otherwise(lines)
+    return F.transform(zones, lambda x: F.when(F.length(F.lower(x)) <= LONGEST, x).otherwise(""))
+
+
 def repeated_lines(lined: DataFrame, min_ratio: float = MIN_RATIO, min_repeats: int = MIN_REPEATS) -> DataFrame:
     """doc_id, line, kind (header or footer), top_count, bottom_count. Pages without lines count."""
     sizes = lined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))

@@ -11,17 +11,27 @@ from marlstone.scratch import hinted, materialize
 SHORT_PREVIEW = 30
 
 
+def shown(pages: DataFrame, preview_chars: int = 200) -> DataFrame:
+    """pages without text, with what a preview shows of it: null if there is none."""
+    text = page_breaks(F.col("text"))
+    rows = pages.withColumn("clean", text)
+    return rows.withColumn("shown", F.when(F.col("clean") != "", preview(F.col("clean"), preview_chars))).drop("text", "clean")
+
+
 def status(pages: DataFrame, preview_chars: int = 200) -> DataFrame:
     """doc_id, status, total_pages, text_pages, empty_pages, first_text_page, preview."""
-    text = page_breaks(F.col("text"))
-    rows = pages.select("doc_id", "page_num", text.alias("clean"))
-    some = F.col("clean") != ""
+    return rated(shown(pages.select("doc_id", "page_num", "text"), preview_chars))
+
+
+def rated(rows: DataFrame) -> DataFrame:
+    """As status, of rows (doc_id, page_num, shown), whose previews have SHORT_PREVIEW characters at least."""
+    some = F.col("shown").isNotNull()
     counts = rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_pages"),
         F.count_if(some).alias("text_pages"),
         F.count_if(~some).alias("empty_pages"),
         F.min(F.when(some, F.col("page_num"))).alias("first_text_page"),
-        F.min_by(F.when(some, preview(F.col("clean"), preview_chars)), F.when(some, F.col("page_num"))).alias("preview"),
+        F.min_by("shown", F.when(some, F.col("page_num"))).alias("preview"),
     )
     empty = F.col("empty_pages") / F.col("total_pages")
     rating = (

@@ -163,3 +163,22 @@ def test_shipped_settings_fit_the_jobs():
 def test_jobs_use_no_optional_part():
     for f in JOBS.glob("*.py"):
         assert "marlstone.llm" not in f.read_text(encoding="utf-8") and "corpus_pipeline" not in f.read_text(encoding="utf-8")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_prepared_texts_are_not_written_on_the_way(spark, tmp_path, monkeypatch, broadcast):
+    """Texts go into pages and chunks alone; with numbers that are too many to broadcast the rows are the same."""
+    from marlstone import scratch
+
+    if not broadcast:
+        monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)
+    seen, write = [], prepare.materialize
+    monkeypatch.setattr(prepare, "materialize", lambda df, label: seen.append(df.columns) or write(df, label))
+    put(spark, f"{tmp_path}/in", *pages_of(*(f"text {i}\nmore" for i in range(40))), *pages_of("\x1c", source="blank", start=90), *pages_of("x", source="", start=95))
+    got = listed(prepare.prepare_corpus(spark, f"{tmp_path}/in", f"{tmp_path}/corpus"))
+    assert got == Counter([*(("a", i + 1, 1, f"text {i} more") for i in range(40)), (None, 1, 1, "x")])
+    assert seen and all("text" not in columns for columns in seen)
+    put(spark, f"{tmp_path}/two", *pages_of("now text", source="blank", start=90))
+    prepare.prepare_corpus(spark, f"{tmp_path}/two", f"{tmp_path}/corpus")
+    put(spark, f"{tmp_path}/three", *pages_of("\x1c", source="blank", start=90))  # no chunk again: the old one goes
+    assert listed(prepare.prepare_corpus(spark, f"{tmp_path}/three", f"{tmp_path}/corpus")) == got
