@@ -13,9 +13,9 @@ word) and the end; a word of a class is drawn from its class. The tree's states
 
 A text is scored from the state of the longest retained suffix at each token.
 
-The tree is never in one place. Its head is in every task: the root, the FREQUENT most frequent words,
-and pairs of them that hold HOT_SHARE of the tokens; in it the symbols that are no frequent words are
-told apart by GROUPS groups. The rest is dealt out by subtrees: every position (its context, its symbol,
+The tree is never in one place. Its head is in every task: the root, the words that hold HOT_SHARE of the
+tokens, and pairs of them that do, each with all symbols that were seen behind it: at most 2 / HOT_SHARE
+times the number of symbols, at any corpus size. The rest is dealt out by subtrees: every position (its context, its symbol,
 its text) goes to the owner of the shortest suffix of its context that is not in the head, packed and
 compressed. An owner counts the contexts of its subtrees over all training positions, retains some, and
 returns what they add to each text's score. So what is gathered grows with the corpus, and no context
@@ -51,16 +51,19 @@ DEPTH = 3
 #: Words that are symbols of their own and whose counts every task holds, about; classes of the others.
 COMMON_WORDS = 200_000
 CLASSES = 1 << 14
-#: Contexts of one word in the head, the groups of other symbols there, and the share of its pairs.
+#: Contexts of one word in the head, at most (HOT_SHARE admits fewer), and the share of its words and pairs.
 FREQUENT = 1023
-GROUPS = 128
 HOT_SHARE = 1e-3
+#: Groups in which the head tells symbols behind the frequent ones apart; 0: each by itself, as the method asks.
+GROUPS = 0
 LEAST_CONTEXT = 2
 DISCOUNT = 0.5
 #: Equal texts of which one stands for all; positions that an owner gets, about, and that a sender packs.
 MANY_COPIES = 100
 OWNER_POSITIONS = 600_000
 SENT_AT_ONCE = 250_000
+#: Positions of hot contexts that a task counts together.
+COUNTED_AT_ONCE = 4_000_000
 #: Bytes of text whose words are made distinct together.
 CHUNK_BYTES = 4 << 20
 _SYMBOL_BITS = 20
@@ -241,32 +244,50 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Head:
-    """reduced: of each symbol (and start), its place in the head's alphabet: frequent words, groups, end,
-    start. state[two, one]: the longest retained suffix in the head; ratios[state, reduced symbol]: log of
-    its probability over the root's. hot[two, one]: pairs that the head holds, retained or not."""
+    """place: of each symbol (and start), its number among the head's words, or one behind the last.
+    states[two, one] by place: the longest retained suffix in the head, 0 for the root; pairs[two, one]: the
+    number of a pair that the head holds, retained or not, or -1. Of a state, keys (state * size + symbol,
+    ascending) and ratios have the symbols seen behind it: log of the probability over the root's. Another
+    symbol has the ratio of the parent state, and the state's back. Symbols are `reduced` (see GROUPS)."""
 
     root: np.ndarray
     reduced: np.ndarray
-    frequent: int
-    state: np.ndarray
+    size: int
+    place: np.ndarray
+    states: np.ndarray
+    pairs: np.ndarray
+    keys: np.ndarray
     ratios: np.ndarray
-    hot: np.ndarray
-    common: int
+    back: np.ndarray
+    parent: np.ndarray
 
     @property
     def start(self) -> int:
         return len(self.root)
 
+    def ratio(self, state: np.ndarray, reduced: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(state))
+        at = np.flatnonzero(state)
+        at = at[np.argsort(state[at].astype(np.int64) * self.size + reduced[at])]  # near keys are looked up together
+        state, reduced = state[at].astype(np.int64), reduced[at]
+        while len(at):
+            key = (state * self.size + reduced).astype(self.keys.dtype)
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            seen = self.keys[i] == key
+            out[at] += np.where(seen, self.ratios[i], self.back[state])
+            state = np.where(seen, 0, self.parent[state])
+            more = np.flatnonzero(state)
+            at, state, reduced = at[more], state[more], reduced[more]
+        return out
+
     def logs(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        r = self.reduced
-        return self.root[symbols] + self.ratios[self.state[r[two], r[one]], r[symbols]]
+        return self.root[symbols] + self.ratio(self.states[self.place[two], self.place[one]], self.reduced[symbols])
 
     def first_depth(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Symbols of the shortest suffix that is not in the head. That of a text's first token, whose
         context is the start alone, is never reached."""
-        r1, r2 = self.reduced[one], self.reduced[two]
-        known = (r1 < self.frequent) & ((r2 < self.frequent) | (two == self.start))
-        return np.where(one == self.start, 1 << 20, np.where(r1 >= self.frequent, 1, np.where(known & self.hot[r2, r1], 3, 2)))
+        p1, p2 = self.place[one], self.place[two]
+        return np.where(one == self.start, 1 << 20, np.where(p1 == len(self.pairs) - 1, 1, np.where(self.pairs[p2, p1] >= 0, 3, 2)))
 
 
 def _smooth(counts: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -278,79 +299,83 @@ def _smooth(counts: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, bool]:
     return p, total >= LEAST_CONTEXT and gain > 0.5 * kinds * math.log(total)
 
 
-def _count_codes(rows: DataFrame, shared, codes: int, code) -> tuple[np.ndarray, np.ndarray]:
-    """(code, n) over the training texts; code(head, symbols, one, two) are below `codes`, or -1."""
-    at_once = SENT_AT_ONCE
+def _count_codes(rows: DataFrame, head: Head, code) -> tuple[np.ndarray, np.ndarray]:
+    """(code, n) over the training texts, by code; code(head, one, two) is a context's number, or -1, and
+    codes are these and the next symbols."""
+    at_once, most, shared = SENT_AT_ONCE, COUNTED_AT_ONCE, rows.sparkSession.sparkContext.broadcast(head)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        some, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(codes, np.int64)
+        h, held, size = shared.value, [], 0
         for b in batches:
             for start, stop in slices(pc.list_value_length(b.column("symbols")).to_numpy(zero_copy_only=False), at_once):
                 symbols, first, _ = _flat(b.slice(start, stop - start))
-                found = code(shared.value, symbols, *contexts(symbols, first, 2, shared.value.start))
-                held += np.bincount(found[found >= 0], minlength=codes)
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some])], ["code", "n"])
-
-    counted = rows.where("not held_out").select("symbols").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return counted.column("code").to_numpy(), counted.column("n").to_numpy()
-
-
-def head_of(rows: DataFrame, v: Words) -> Head:
-    """Two passes over the symbols; what comes back is bounded by the head's alphabet and HOT_SHARE."""
-    sc = rows.sparkSession.sparkContext
+                number = code(h, *contexts(symbols, first, 2, h.start))
+                at = np.flatnonzero(number >= 0)
+                held.append(number[at] * h.size + h.reduced[symbols[at]])
+                size += len(at)
+                if size >= most:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
+
+    found = rows.where("not held_out").select("symbols").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    codes, n = found.column("code").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
+def head_of(rows: DataFrame, v: Words, depth: int = DEPTH) -> Head:
+    """Two passes over the symbols. What comes back is what was seen behind the head's contexts, of which
+    there are at most 1 / HOT_SHARE of each length."""
+    least = max(LEAST_CONTEXT, HOT_SHARE * max(1, v.tokens))
     frequent = min(FREQUENT, v.common)
-    size = frequent + GROUPS + 1  # symbols of the head; start is behind them
-    start = size
-    reduced = np.empty(v.start + 1, np.int64)
-    every = np.arange(v.end, dtype=np.int64)
-    reduced[: v.end] = np.where(every < frequent, every, frequent + (every * 2654435761 >> 15) % GROUPS)
-    reduced[v.end], reduced[v.start] = size - 1, start
-    root = v.root()
-    whole = np.bincount(reduced[:-1], np.exp(root), size)
-    whole = np.maximum(whole, 1e-300)
-    states, hot = np.zeros((size + 1, size + 1), np.int32), np.zeros((size + 1, size + 1), bool)
-    head = Head(root, reduced, frequent, states, np.zeros((1, size), np.float32), hot, v.common)
-
-    def pair(h: Head, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return h.reduced[one] * size + h.reduced[symbols]
-
-    codes, n = _count_codes(rows, sc.broadcast(head), (size + 1) * size, pair)
-    pairs = np.zeros((size + 1, size))
-    pairs[codes // size, codes % size] = n
-    ratios, dists = [np.zeros(size)], [whole]
-    for s in [*range(frequent), start]:
-        if pairs[s].any():
-            p, diverges = _smooth(pairs[s], whole)
-            if diverges:
-                states[:, s] = len(ratios)
-                ratios.append(np.log(p / whole))
-                dists.append(p)
-    # Pairs (two, one) of frequent words; a text begins with start.
-    held = np.zeros((size + 1, size + 1))
-    held[:frequent, :frequent], held[start, :frequent] = pairs[:frequent, :frequent], pairs[start, :frequent]
-    places = np.argwhere(held >= max(LEAST_CONTEXT, HOT_SHARE * max(1, v.tokens)))
-    if len(places):
-        hot[places[:, 0], places[:, 1]] = True
-        number = np.full((size + 1, size + 1), -1, np.int64)
-        number[places[:, 0], places[:, 1]] = np.arange(len(places))
-        numbers = sc.broadcast(number)
-
-        def triple(h: Head, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-            at = numbers.value[h.reduced[two], h.reduced[one]]
-            return np.where(at >= 0, at * size + h.reduced[symbols], -1)
-
-        codes, n = _count_codes(rows, sc.broadcast(head), len(places) * size, triple)
-        counts = np.zeros((len(places), size))
-        counts[codes // size, codes % size] = n
-        for c, (two, one) in zip(counts, places, strict=True):
-            if c.any():
-                p, diverges = _smooth(c, dists[states[two, one]])
+    reduced = np.arange(v.end + 1)
+    if GROUPS:
+        behind = np.arange(frequent, v.end)
+        reduced[frequent : v.end], reduced[v.end] = frequent + (behind * 2654435761 >> 15) % GROUPS, frequent + GROUPS
+    size, root = int(reduced[-1]) + 1, v.root()
+    whole = np.maximum(np.bincount(reduced, np.exp(root), size), 1e-300)
+    held = [*np.flatnonzero(v.counts[:frequent] >= least).tolist(), v.start]
+    place = np.full(v.start + 1, len(held), np.int32)
+    place[held] = np.arange(len(held))
+    states, pairs = np.zeros((len(held) + 1, len(held) + 1), np.int64), np.full((len(held) + 1, len(held) + 1), -1, np.int32)
+    head = Head(root, reduced, size, place, states, pairs, np.zeros(1, np.int64), np.zeros(1, np.float32), np.zeros(1), np.zeros(1, np.int64))
+
+    def retain(codes: np.ndarray, n: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """The state of each context, or that above it; those that diverge enough become states."""
+        out = above.copy()
+        keys, ratios, back, parent = [head.keys], [head.ratios], head.back.tolist(), head.parent.tolist()
+        edges = np.searchsorted(codes, np.arange(len(above) + 1) * size)
+        for c, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+            if i < j:
+                seen = codes[i:j] % size
+                p, diverges = _smooth(n[i:j], whole[seen] * np.exp(head.ratio(np.full(j - i, above[c]), seen)))
                 if diverges:
-                    states[two, one] = len(ratios)
-                    ratios.append(np.log(p / whole))
-                    dists.append(p)
-    head.ratios = np.array(ratios, np.float32)
+                    out[c] = len(back)
+                    keys.append(len(back) * size + seen)
+                    ratios.append(np.log(p / whole[seen]).astype(np.float32))
+                    back.append(math.log(DISCOUNT * (j - i) / n[i:j].sum()))
+                    parent.append(int(above[c]))
+        head.back, head.parent = np.array(back), np.array(parent)
+        head.ratios = np.concatenate(ratios)
+        head.keys = np.concatenate(keys).astype(np.uint32 if len(back) * size < 1 << 32 else np.int64)
+        return out
+
+    codes, n = _count_codes(rows, head, lambda h, one, two: np.where(h.place[one] < len(h.pairs) - 1, h.place[one], -1).astype(np.int64))
+    states[:, :-1] = retain(codes, n, np.zeros(len(held), np.int64))
+    # Pairs (two, one) of its words; a text begins with start.
+    hot = np.flatnonzero((n >= least) & (codes % size < frequent))
+    two, one = codes[hot] // size, place[codes[hot] % size].astype(np.int64)
+    if len(hot) and depth > 1:
+        pairs[two, one] = np.arange(len(hot))
+        codes, n = _count_codes(rows, head, lambda h, one, two: h.pairs[h.place[two], h.place[one]].astype(np.int64))
+        states[two, one] = retain(codes, n, states[two, one])
+    head.states = states.astype(np.int32)
     return head
 
 
@@ -556,7 +581,7 @@ def score(docs: DataFrame, depth: int = DEPTH, owner_positions: int = OWNER_POSI
         drop(table)
     release(spark)
 
-    head = spark.sparkContext.broadcast(head_of(rows, v))  # bounded, see head_of()
+    head = spark.sparkContext.broadcast(head_of(rows, v, depth))  # bounded, see head_of()
 
     # Of many equal texts the one of the least place stands for all.
     text = F.struct(F.xxhash64("symbols"), F.hash("symbols"), "n_tokens").alias("text")

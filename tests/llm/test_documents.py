@@ -687,6 +687,34 @@ def test_suffix_tree_scores(spark, monkeypatch, frequent, share, common, owner):
         assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("common", [10**6, 40])
+def test_head_tells_all_symbols_apart(spark, monkeypatch, common):
+    """Behind a hot context every symbol, frequent or not, has a probability of its own."""
+    monkeypatch.setattr(suffix_tree_lm, "CLASSES", 16)
+    monkeypatch.setattr(suffix_tree_lm, "COMMON_WORDS", common)
+    rng = random.Random(6)
+    after = {"the": range(0, 300, 9), "of": range(1, 300, 11), "to": range(2, 300, 7)}
+    rows = [(i, " ".join(f"{w} w{rng.choice(after[w])}" for w in rng.choices([*after], k=rng.randint(5, 40)))) for i in range(80)]
+    rows += [(80 + i, " ".join(f"of the w{rng.choice((i, 250 + i))} end" for _ in range(20))) for i in range(12)]
+
+    def held(i):
+        return zlib.crc32(str(i).encode()) % 5 == 1
+
+    docs = make(spark, rows).repartition(3)
+    v = suffix_tree_lm.vocabulary(suffix_tree_lm.count_words(docs), sum(not held(i) for i, _ in rows))
+    assert bool(v.class_tokens.sum()) == (common < 100)
+    with monkeypatch.context() as m:  # the plain tree knows each symbol by itself
+        m.setattr(suffix_tree_lm, "FREQUENT", 10**6)
+        m.setattr(suffix_tree_lm, "GROUPS", 1 << 20)
+        want = dict(plain_tree(rows, held, v, 3))
+    monkeypatch.setattr(suffix_tree_lm, "FREQUENT", 3)
+    for share in (1e-3, 0.1):
+        monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", share)
+        monkeypatch.setattr(suffix_tree_lm, "COUNTED_AT_ONCE", 500, raising=False)
+        for r in suffix_tree_lm.score(docs, 3, 300).collect():
+            assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
+
+
 def test_weights_of_any_size():
     """Copies are counted whole, also beyond what three bytes hold."""
     columns = [np.array([1, 2**24 - 1, 0]), np.array([5, 6, 7])]
