@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,23 +65,38 @@ BLOCK_WORDS = 1 << 20
 _FACTORS = np.random.default_rng(12).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles: sums of its words' XXH64, each by the factor of
-    its place, so that shingles that differ in one word never have one hash."""
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its word shingles: sums of its words' XXH64, each by the
+    factor of its place, so that shingles that differ in one word never have one hash."""
     from xxhash import xxh64_intdigest
 
-    split = text.lower().split()
-    if not split:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(xxh64_intdigest, split), np.uint64, len(split))
-    most = max(1, len(split) - WORDS + 1)
-    total = np.zeros(most, np.uint64)
-    for i in range(min(WORDS, len(split))):
-        total += hashes[i : i + most] * _FACTORS[i]
+    split = [t.lower().split() for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    words = int(sizes.sum())
+    # What a shingle reads beyond its text is dropped, or replaced below.
+    hashes = np.zeros(words + WORDS, np.uint64)
+    hashes[:words] = np.fromiter(map(xxh64_intdigest, chain.from_iterable(split)), np.uint64, words)
+    del split
+    total = np.zeros(words, np.uint64)
+    for i in range(WORDS):
+        total += hashes[i : i + words] * _FACTORS[i]
+    stops = np.cumsum(sizes)
+    for a, n in zip((stops - sizes)[sizes < WORDS].tolist(), sizes[sizes < WORDS].tolist(), strict=True):
+        if n:
+            total[a] = (hashes[a : a + n] * _FACTORS[:n]).sum(dtype=np.uint64)
     total ^= total >> np.uint64(32)  # so that all bits depend on all words
     total *= _FACTORS[0]
     total ^= total >> np.uint64(29)
-    return np.unique(total)
+    out = []
+    for a, n in zip((stops - sizes).tolist(), sizes.tolist(), strict=True):
+        held = np.sort(total[a : a + min(n, max(1, n - WORDS + 1))])  # np.unique takes five times as long
+        new = held[1:] != held[:-1]
+        out.append(held if new.all() else held[np.append(True, new)])
+    return out
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 def prefix_size(n: int) -> int:
@@ -144,7 +160,7 @@ def described(docs: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in chunks(b.column("text")):
-                sets = [shingle_set(t) for t in texts]
+                sets = shingle_sets(texts)
                 names = [node_of(s, seed) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -175,8 +191,9 @@ def frequency_levels(docs: DataFrame, buckets: int) -> np.ndarray:
         held = np.zeros(buckets, np.uint32)
         for b in batches:
             for _, texts in chunks(b.column("text")):
-                found = np.concatenate([shingle_set(t) & np.uint64(buckets - 1) for t in texts])
-                np.add.at(held, found, 1)
+                found = np.sort(np.concatenate(shingle_sets(texts)) & np.uint64(buckets - 1))
+                edges = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+                held[found[edges]] += np.diff(np.append(edges, len(found))).astype(np.uint32)
         for i, x in enumerate(held.reshape(slices, -1)):
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["slice", "counts"])
@@ -208,8 +225,7 @@ def emitted(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
         for b in batches:
             for _, texts in chunks(b.column("text")):
                 keys, nodes, sizes, seen = [], [], [], set()
-                for t in texts:
-                    s = shingle_set(t)
+                for s in shingle_sets(texts):
                     if not len(s) or (name := node_of(s, seed)[0]) in seen:
                         continue
                     seen.add(name)
@@ -235,7 +251,7 @@ def arrays(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, held in chunks(b.column("text")):
-                found = {node_of(s, seed)[0]: s for s in map(shingle_set, held) if len(s)}
+                found = {node_of(s, seed)[0]: s for s in shingle_sets(held) if len(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "hashes"])
 
     read = docs.select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("texted")).join(texts, "texted")

@@ -193,6 +193,25 @@ def test_bounds_never_undercut():
         assert abs(jaccard_join.band_of(len(a)) - jaccard_join.band_of(len(b))) <= 1
 
 
+def test_sets_of_many_texts_are_those_of_each():
+    """Texts are hashed together; each keeps to its own words, in any order and neighbourhood."""
+    from xxhash import xxh64_intdigest
+
+    def plain(text):
+        words, out = text.lower().split(), set()
+        for i in range(max(1, len(words) - 4) if words else 0):
+            h = sum(xxh64_intdigest(w) * int(f) for w, f in zip(words[i : i + 5], jaccard_join._FACTORS, strict=False)) % 2**64
+            h = (h ^ (h >> 32)) * int(jaccard_join._FACTORS[0]) % 2**64
+            out.add(h ^ (h >> 29))
+        return sorted(out)
+
+    texts = [(t or "").encode() for _, t in linked_texts() if len(t or "") < 5000]
+    for some in (texts, texts[::-1], [b""], [b"", b"one", b"", b"a b c d", b"a b c d e", b"x y\x0bz " * 9, b" \t"], []):
+        got = jaccard_join.shingle_sets(some)
+        assert [x.tolist() for x in got] == [plain(t) for t in some]
+        assert all(x.dtype == np.uint64 for x in got)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(4)
     for n in range(1, 200):
