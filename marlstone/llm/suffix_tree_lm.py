@@ -63,7 +63,9 @@ MANY_COPIES = 100
 OWNER_POSITIONS = 600_000
 SENT_AT_ONCE = 250_000
 #: Positions of hot contexts that a task counts together.
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 1_000_000
+#: Positions that an owner works on together, about: whole subtrees.
+PIECE = 150_000
 #: Bytes of text whose words are made distinct together.
 CHUNK_BYTES = 4 << 20
 _SYMBOL_BITS = 20
@@ -420,6 +422,16 @@ def _rows(made: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
+def _routes(head: Head, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each position the length and a hash of the shortest suffix that is not in the head."""
+    two = before[1] if len(before) > 1 else np.full(len(before[0]), head.start, np.int32)
+    length, route = head.first_depth(before[0], two), np.zeros(len(two), np.uint64)
+    for d, c in enumerate(before[:3], 1):
+        more = length >= d
+        route[more] = _mixed(route[more], c[more])
+    return length, route
+
+
 def sent(rows: DataFrame, head, owners: int, depth: int) -> DataFrame:
     """The positions of rows (place, weight: how many training texts each stands for, symbols), packed by
     owner and by the slice of rows that they are from."""
@@ -435,11 +447,7 @@ def sent(rows: DataFrame, head, owners: int, depth: int) -> DataFrame:
                 symbols, first, sizes = _flat(part)
                 before = contexts(symbols, first, depth, h.start)
                 two = before[1] if depth > 1 else np.full(len(symbols), h.start, np.int32)
-                length = h.first_depth(before[0], two)
-                route = np.zeros(len(symbols), np.uint64)
-                for d, c in enumerate(before[:3], 1):
-                    more = length >= d
-                    route[more] = _mixed(route[more], c[more])
+                length, route = _routes(h, before)
                 owner = (route % np.uint64(owners)).astype(np.int64)
                 goes = np.flatnonzero(length <= depth)
                 order = goes[np.argsort((owner[goes] << (2 * _SYMBOL_BITS)) | (before[0][goes].astype(np.int64) << _SYMBOL_BITS) | two[goes], kind="stable")]
@@ -495,6 +503,7 @@ def subtree_logs(head: Head, before: list[np.ndarray], symbols: np.ndarray, weig
 
 def _own(head, depth: int):
     """What the contexts of an owner add to the log probability of each text: an answer to each slice."""
+    at_once = PIECE
 
     def score_of(rows: pa.Table) -> pa.Table:
         sizes = rows.column("n").to_numpy()
@@ -510,8 +519,16 @@ def _own(head, depth: int):
             weight = weight.astype(np.int64)
             for at, more in above:
                 weight[at : at + len(more)] += more
-        base, logs = subtree_logs(head.value, list(before), symbols, weight)
-        more, answers, stop = logs - base, [], np.cumsum(sizes)
+        # Whole subtrees at once, as an owner's temporary arrays are many times its positions.
+        pieces = -(-len(symbols) // at_once)
+        piece = (_routes(head.value, before)[1] >> np.uint64(40)) % np.uint64(max(1, pieces))
+        more = np.empty(len(symbols), np.float32)
+        for i in range(pieces):
+            at = np.flatnonzero(piece == i)
+            if len(at):
+                base, logs = subtree_logs(head.value, [c[at] for c in before], symbols[at], weight[at])
+                more[at] = logs - base
+        answers, stop = [], np.cumsum(sizes)
         for i, (a, b) in enumerate(zip((stop - sizes).tolist(), stop.tolist(), strict=True)):
             moved = a + np.flatnonzero(more[a:b])
             place, of = np.unique(texts[moved], return_inverse=True)

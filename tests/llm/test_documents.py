@@ -711,6 +711,7 @@ def test_head_tells_all_symbols_apart(spark, monkeypatch, common):
     for share in (1e-3, 0.1):
         monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", share)
         monkeypatch.setattr(suffix_tree_lm, "COUNTED_AT_ONCE", 500, raising=False)
+        monkeypatch.setattr(suffix_tree_lm, "PIECE", 60, raising=False)
         for r in suffix_tree_lm.score(docs, 3, 300).collect():
             assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
 
