@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from marlstone.scratch import drop, hinted, materialize, release, ship
 
-__all__ = ["chunks", "drop", "give_back", "hinted", "materialize", "partitions", "release", "ship", "worker_cache"]
+__all__ = ["chunks", "drop", "give_back", "hinted", "materialize", "partitions", "release", "ship", "tidy", "worker_cache"]
 
 _cache: tuple[str, Any] = ("", None)
 
@@ -37,6 +37,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, with memory given back before a task and behind it, as Spark keeps idle workers."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from work(batches)
+        give_back()
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import drop, give_back, hinted, materialize, release, ship
+from marlstone.llm.runtime import drop, give_back, hinted, materialize, release, ship, tidy
 
 FOLDS, HELD_FOLD = 5, 1
 DEPTH = 3
@@ -67,7 +67,7 @@ COUNTED_AT_ONCE = 1_000_000
 #: Positions that an owner works on together, about: whole subtrees.
 PIECE = 150_000
 #: Bytes of text whose words are made distinct together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _SYMBOL_BITS = 20
 #: Places of texts are sent as numbers below 2 to this power.
 _PLACE_BITS = 24
@@ -111,7 +111,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
     texts = docs.where(~held_out(F.col("doc_id"))).select("text")
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -176,7 +176,7 @@ def vocabulary(counts: DataFrame, texts: int) -> Words:
 
 # Symbols of all texts ------------------------------------------------------------------------------
 
-CODED = "doc_id long, held_out boolean, place long, n_tokens long, known long, base double, rare array<binary>, times array<int>, symbols array<int>"
+CODED = "doc_id long, held_out boolean, place long, n_tokens long, known long, base double, rare array<binary>, times array<int>, symbols binary"
 
 
 def _lists(values: pa.Array, of: np.ndarray, n: int) -> pa.ListArray:
@@ -185,12 +185,21 @@ def _lists(values: pa.Array, of: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def _packed(symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The symbols of each row by byte planes; as bytes, Spark moves and compares them whole."""
+    at, step = np.arange(len(symbols)) + np.repeat(2 * first, sizes), np.repeat(sizes, sizes)
+    out = np.empty(3 * len(symbols), np.uint8)
+    for k in range(3):
+        out[at + k * step] = (symbols >> (8 * k)) & 255
+    ends = np.append(3 * first, 3 * len(symbols)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+
+
 def coded(docs: DataFrame, words) -> DataFrame:
     """A row for each of docs (doc_id, held_out, place, text), in symbols; rare words, whose counts no
     task holds, also as they are."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         v = words.value
         total, get = v.base_total(), v.index.get
         for b in batches:
@@ -214,12 +223,12 @@ def coded(docs: DataFrame, words) -> DataFrame:
                     [
                         *(part.column(c) for c in ("doc_id", "held_out", "place")), pa.array(sizes), pa.array(np.add.reduceat(common.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)),
                         _lists(pa.array(distinct, pa.binary()).take(pa.array(found % size)), found // size, len(n)), _lists(pa.array(times, pa.int32()), found // size, len(n)),
-                        pa.ListArray.from_arrays(pa.array(np.append(first, len(inner)), pa.int32()), pa.array(symbols)),
+                        _packed(symbols, first, sizes),
                     ],
                     [x.split()[0] for x in CODED.split(", ")],
                 )
 
-    return docs.mapInArrow(code, CODED)
+    return docs.mapInArrow(tidy(code), CODED)
 
 
 def contexts(symbols: np.ndarray, first: np.ndarray, depth: int, start: int) -> list[np.ndarray]:
@@ -234,11 +243,22 @@ def contexts(symbols: np.ndarray, first: np.ndarray, depth: int, start: int) ->
     return out
 
 
+def _sizes(b: pa.RecordBatch) -> np.ndarray:
+    return pc.binary_length(b.column("symbols")).to_numpy(zero_copy_only=False).astype(np.int64) // 3
+
+
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, where each row's begin, and how many each has (one at least)."""
-    lists = b.column("symbols")
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten().to_numpy(), np.cumsum(sizes) - sizes, sizes
+    column, sizes = b.column("symbols"), _sizes(b)
+    _, ends, data = column.buffers()
+    first = np.cumsum(sizes) - sizes
+    begin = int(np.frombuffer(ends, np.int32)[column.offset]) if len(sizes) else 0
+    raw = np.frombuffer(data, np.uint8)[begin:] if len(sizes) else np.zeros(0, np.uint8)
+    at, step = np.arange(int(sizes.sum())) + np.repeat(2 * first, sizes), np.repeat(sizes, sizes)
+    symbols = raw[at].astype(np.int32)
+    for k in (1, 2):
+        symbols |= raw[at + k * step].astype(np.int32) << (8 * k)
+    return symbols, first, sizes
 
 
 # The tree's head -----------------------------------------------------------------------------------
@@ -313,7 +333,7 @@ def _count_codes(rows: DataFrame, head: Head, code) -> tuple[np.ndarray, np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, held, size = shared.value, [], 0
         for b in batches:
-            for start, stop in slices(pc.list_value_length(b.column("symbols")).to_numpy(zero_copy_only=False), at_once):
+            for start, stop in slices(_sizes(b), at_once):
                 symbols, first, _ = _flat(b.slice(start, stop - start))
                 number = code(h, *contexts(symbols, first, 2, h.start))
                 at = np.flatnonzero(number >= 0)
@@ -325,7 +345,7 @@ def _count_codes(rows: DataFrame, head: Head, code) -> tuple[np.ndarray, np.ndar
         if size:
             yield counted(held)
 
-    found = rows.where("not held_out").select("symbols").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.where("not held_out").select("symbols").mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     codes, n = found.column("code").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(codes)
     return codes[order], n[order]
@@ -438,11 +458,10 @@ def sent(rows: DataFrame, head, owners: int, depth: int) -> DataFrame:
     at_once = SENT_AT_ONCE
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         h = head.value
         for b in batches:
             blocks = b.column("place").to_numpy() >> _PLACE_BITS
-            for start, stop in slices(pc.list_value_length(b.column("symbols")).to_numpy(zero_copy_only=False), at_once, blocks):
+            for start, stop in slices(_sizes(b), at_once, blocks):
                 part = b.slice(start, stop - start)
                 symbols, first, sizes = _flat(part)
                 before = contexts(symbols, first, depth, h.start)
@@ -461,7 +480,7 @@ def sent(rows: DataFrame, head, owners: int, depth: int) -> DataFrame:
                 made = [(int(owner[i]), int(place[0]), int(j - i), base, _pack([c[i:j] for c in columns], weight[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
                 yield _rows(made, SENT)
 
-    return rows.select("place", "weight", "symbols").mapInArrow(send, SENT)
+    return rows.select("place", "weight", "symbols").mapInArrow(tidy(send), SENT)
 
 
 def subtree_logs(head: Head, before: list[np.ndarray], symbols: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -558,13 +577,13 @@ def _in_head(head):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
         for b in batches:
-            for start, stop in slices(pc.list_value_length(b.column("symbols")).to_numpy(zero_copy_only=False), at_once):
+            for start, stop in slices(_sizes(b), at_once):
                 part = b.slice(start, stop - start)
                 symbols, first, _ = _flat(part)
                 logs = np.add.reduceat(h.logs(symbols, *contexts(symbols, first, 2, h.start)), first) / math.log(10)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(logs)], [*part.schema.names[:-1], "score"])
 
-    return add
+    return tidy(add)
 
 
 def score(docs: DataFrame, depth: int = DEPTH, owner_positions: int = OWNER_POSITIONS) -> DataFrame:
@@ -576,11 +595,12 @@ def score(docs: DataFrame, depth: int = DEPTH, owner_positions: int = OWNER_POSI
     v = vocabulary(counts, docs.where(~held_out(F.col("doc_id"))).count())
     words = spark.sparkContext.broadcast(v)  # about COMMON_WORDS words
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.monotonically_increasing_id().alias("place"), "text")
-    rich = materialize(coded(rows, words), "coded")
+    rich = materialize(coded(rows, words), "coded", "zstd")
 
     # The counts of rare words.
     pairs = rich.select("place", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    sizes = spark.createDataFrame([(i, float(t + 0.5 * (w + 1))) for i, (t, w) in enumerate(zip(v.class_tokens.tolist(), v.class_words.tolist(), strict=True))], "class long, size double")
+    # From Arrow, as a list of rows would start Python workers of its own, beside those of the operator.
+    sizes = spark.createDataFrame(pa.table({"class": np.arange(len(v.class_tokens)), "size": v.class_tokens + 0.5 * (v.class_words + 1)}))
     seen = F.coalesce("n", F.lit(0))
     late = (
         pairs.join(counts, "word", "left")
@@ -593,7 +613,7 @@ def score(docs: DataFrame, depth: int = DEPTH, owner_positions: int = OWNER_POSI
             F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("late_known"),
         )
     )
-    late, rows = materialize(late, "late"), materialize(rich.drop("rare", "times"), "symbols")
+    late, rows = materialize(late, "late"), materialize(rich.drop("rare", "times"), "symbols", "zstd")
     for table in (counts, rich):
         drop(table)
     release(spark)

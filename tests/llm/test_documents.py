@@ -735,6 +735,45 @@ def test_contexts_stay_as_texts_are_added(spark):
         assert got[1000000] < 0.3 < np.median(list(got.values()))
 
 
+def test_suffix_tree_memory_of_workers(spark, monkeypatch):
+    """A task holds little beside its batch, however large that is, and no Python workers run beside the operator's."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(1000)]
+    batch = pa.record_batch({"doc_id": range(1000), "held_out": [False] * 1000, "place": range(1000), "text": texts})
+    counted = suffix_tree_lm.count_words(make(spark, [(0, "a b")]))
+    v = suffix_tree_lm.vocabulary(counted, 1)
+    task = suffix_tree_lm.coded(SimpleNamespace(mapInArrow=lambda f, schema: f), SimpleNamespace(value=v))
+    rows, before = 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    for made in task(iter([batch])):
+        rows += made.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    del made
+    assert rows == 1000
+    assert peak < 40 << 20
+    assert pa.total_allocated_bytes() - before < 1 << 20
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows through Python workers"))
+        made = suffix_tree_lm.score(spark.range(60).selectExpr("id as doc_id", "concat('a b ', id) as text"))
+    assert made.count() == 60
+
+
+def test_suffix_tree_symbols_as_bytes():
+    """Symbols come back as they were, also from a slice of the rows."""
+    sizes = np.array([1, 3, 2, 700])
+    symbols = np.random.default_rng(1).integers(0, 1 << 20, sizes.sum()).astype(np.int32)
+    packed = suffix_tree_lm._packed(symbols, np.cumsum(sizes) - sizes, sizes)
+    for a, b in ((0, 4), (1, 3), (3, 4), (2, 2)):
+        got, first, n = suffix_tree_lm._flat(pa.record_batch({"symbols": packed}).slice(a, b - a))
+        assert got.tolist() == symbols[sizes[:a].sum() : sizes[:b].sum()].tolist()
+        assert (n.tolist(), first.tolist()) == (sizes[a:b].tolist(), (np.cumsum(sizes[a:b]) - sizes[a:b]).tolist())
+
+
 # Near-dedup by shingles --------------------------------------------------------------------------
 
 
