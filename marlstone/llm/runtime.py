@@ -38,10 +38,9 @@ def give_back() -> None:
 
 
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work, with memory given back before a task and behind it, as Spark keeps idle workers."""
+    """work, with memory given back behind a task, as Spark keeps idle workers."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         yield from work(batches)
         give_back()
 
